@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, packing, warc
+from . import ann, bpe, jaccard, packing, warc
 
-_MODULES = (ann, bpe, packing, warc)
+_MODULES = (jaccard, ann, bpe, packing, warc)
 
 
 def queries() -> dict:
