@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, packing, warc
+from . import ann, bpe, jaccard, packing, substrings, warc
 
-_MODULES = (jaccard, ann, bpe, packing, warc)
+_MODULES = (jaccard, substrings, ann, bpe, packing, warc)
 
 
 def queries() -> dict:
