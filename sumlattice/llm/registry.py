@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, packing, substrings, warc
+from . import ann, bpe, jaccard, packing, pii, substrings, warc
 
-_MODULES = (jaccard, substrings, ann, bpe, packing, warc)
+_MODULES = (jaccard, substrings, pii, ann, bpe, packing, warc)
 
 
 def queries() -> dict:
