@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, packing, pii, substrings, warc
+from . import ann, bpe, classifier, jaccard, packing, pii, quality_rules, substrings, warc
 
-_MODULES = (jaccard, substrings, pii, ann, bpe, packing, warc)
+_MODULES = (jaccard, substrings, pii, quality_rules, ann, classifier, bpe, packing, warc)
 
 
 def queries() -> dict:
