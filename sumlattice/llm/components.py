@@ -17,15 +17,15 @@ def components(stage: Stage, links: DataFrame) -> DataFrame:
     edges = stage.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
+        # Each node hands its larger neighbours to its smallest one, then its smaller ones.
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = stage.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = stage.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         made = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        made = made.unionAll(low.select("u", F.col("m").alias("v")))
-        small = stage.write(made.distinct(), "edges")
+        small = stage.write(made.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = small.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        stage.drop(edges, large)
+        stage.drop(edges)
         edges = small
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())

@@ -5,8 +5,8 @@ order, rare ones first, and of a set only so many of the first count as columns
 the product that two sets above the threshold must share one of them.  The product
 is taken block by block of columns (the shuffle's partitions), adding up how many
 columns two sets share, and a pair is dropped when its sizes and where its last
-shared column stands leave too few shingles for the threshold.  Pairs left are
-compared in full.
+shared column stands leave too few shingles for the threshold, or when the numbers of
+their shingles in each of many hash ranges do.  Pairs left are compared in full.
 
 A column with many members isn't multiplied out.  First each column compares its
 members with its smallest one only; what links then shares a component, and only
@@ -33,8 +33,9 @@ from .components import components
 FREQUENT = 50_000
 #: Rows up to which a table of ids is broadcast rather than shuffled.
 BROADCAST_ROWS = 500_000
-#: Columns whose members are compared with the smallest first.
-STAR_ROUNDS = 2
+#: Shingles for each hash range that a set's counts are kept of, and ranges at most.
+PER_RANGE = 4
+MAX_RANGES = 8192
 COUNT_ROWS = 4096
 
 
@@ -67,7 +68,7 @@ def _frequent(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(id, n, set, columns): size and digest of each document's set, and its first shingles in the order."""
+    """(id, n, set, counts, columns): size, digest and counts of each document's set, and its first shingles in the order."""
     order = np.argsort(frequent, kind="stable")
     shared = texts.sparkSession.sparkContext.broadcast((frequent[order], len(frequent) - order))  # FREQUENT rows at most
 
@@ -75,9 +76,10 @@ def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
         often, weight = shared.value
         for b in words.grouped(batches, 1):
             w = words.find(b.column(1), lower=True)
-            n, digest, columns = [], [], []
+            n, digest, columns, ranges = [], [], [], []
             for i in range(len(w)):
                 s = words.shingle_set(w.of(i), size)
+                ranges.append(counts(s))
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 # Any set that overlaps in ceil(percent % of n) or more has one of these.
@@ -89,9 +91,25 @@ def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                 columns.append(s[:keep].view(np.int64))
             ends = np.cumsum([0, *map(len, columns)]).astype(np.int32)
             flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "set", "columns"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "set", "counts", "columns"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, columns array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, counts binary, columns array<long>")
+
+
+def counts(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of equal ranges; 255 stands for more as well."""
+    bits = min(MAX_RANGES, max(8, len(s) // PER_RANGE)).bit_length() - 1
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
+    """A number that two sets of these counts and sizes can't have more shingles in common than."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if (x == 255).any() or (y == 255).any():
+        return min(n, m)
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -99,28 +117,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _compare(stage: Stage, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = np.array([most_common(x, y, *nm) for x, y, nm in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), zip(n.tolist(), m.tolist()))], np.int64)
+            yield batch.filter(pa.array((100 + percent) * most >= percent * (n + m))).select(["a", "b"])
+
+    of = lambda x, n: sets.select(F.col("rep").alias(x), F.col("n").alias(n), F.col("counts").alias(f"counts_{x}"))
+    both = pairs.join(of("b", "m"), "b").join(of("a", "n"), "a").select("a", "b", "n", "m", "counts_a", "counts_b")
+    pairs = stage.write(both.mapInArrow(bounded, "a long, b long"), "bounded")
     ids = stage.write(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
     own = stage.write(texts.join(_small(ids), "id"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def sets(column: pa.Array) -> list[np.ndarray]:
+        def sets_of(column: pa.Array) -> list[np.ndarray]:
             w = words.find(column, lower=True)
             return [words.shingle_set(w.of(i), size) for i in range(len(w))]
 
         for b in words.grouped(words.grouped(batches, 2), 3):
             a_ids, a_first = np.unique(b.column(0).to_numpy(), return_index=True)
-            first = {}
-            new = [i for k, i in zip(a_ids.tolist(), a_first.tolist()) if k not in kept]
-            for i, s in zip(new, sets(b.column(2).take(pa.array(new, pa.int64())))):
-                first[b.column(0)[i].as_py()] = s
-            held = {k: first[k] if k in first else kept[k] for k in a_ids.tolist()}
-            kept = OrderedDict(list(held.items())[-2:])
+            new = {k: i for k, i in zip(a_ids.tolist(), a_first.tolist()) if k not in kept}
+            fresh = dict(zip(new, sets_of(b.column(2).take(pa.array([*new.values()], pa.int64())))))
+            held = {k: fresh[k] if k in fresh else kept[k] for k in a_ids.tolist()}
+            kept = OrderedDict([*held.items()][-2:])
             hit = []
-            for a, s in zip(b.column(0).to_pylist(), sets(b.column(3))):
+            for a, s in zip(b.column(0).to_pylist(), sets_of(b.column(3))):
                 common = len(np.intersect1d(held[a], s, assume_unique=True))
                 hit.append(100 * common >= percent * (len(held[a]) + len(s) - common))
             yield b.filter(pa.array(hit, pa.bool_())).select(["a", "b"])
@@ -142,47 +168,35 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     stage = Stage(spark, "jaccard")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    frequent = _frequent(texts, size)
-    every = stage.write(_columns(texts, frequent, size, percent), "columns")
+    every = stage.write(_columns(texts, _frequent(texts, size), size, percent), "columns")
     full = every.where("n > 0 AND id IS NOT NULL")
-    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("columns").alias("columns")), "sets")
+    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("columns").alias("columns")), "sets")
     cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    shared = stage.write(shared, "shared")
-    cells = stage.write(cell.join(_small(shared), "key").select("key", "rep", "n", "at", "hub"), "cells")
+    cells = stage.write(cell.join(_small(stage.write(shared, "shared")), "key").where("rep <> hub").select("key", "rep", "n", "at", "hub"), "cells")
 
+    # First each column's members against its smallest one.
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    hubs = sets.select(F.col("rep").alias("hub"), F.col("n").alias("m"))
-    links = None
-    roots = None
-    for turn in range(STAR_ROUNDS):
-        stars = cells.where("rep <> hub")
-        if roots is not None:
-            # Members of one component needn't be compared; nor columns that have only one.
-            cells = stars.drop("hub", "root").join(roots, cells.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-            cells = stage.write(cells, "cells")
-            several = cells.groupBy("key").agg(F.min("rep").alias("hub"), F.min_by("root", "rep").alias("hub_root"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key", "hub", "hub_root")
-            cells = stage.write(cells.join(_small(stage.write(several, "several")), "key"), "cells")
-            stars = cells.where("rep <> hub AND root <> hub_root")
-        pairs = stars.select("rep", "n", "hub").distinct().join(hubs, "hub").where(near).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        new = _compare(stage, stage.write(pairs, "pairs"), texts, size, percent)
-        links = new if links is None else links.unionAll(new)
-        roots = stage.write(components(stage, links), "roots")
-    # What is left is multiplied out, between components only.
-    cells = cells.where("rep <> hub").select("key", "rep", "n", "at").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    pairs = cells.select("rep", "n", "hub").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(near)
+    links = _compare(stage, stage.write(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs"), sets, texts, size, percent)
+    roots = stage.write(components(stage, links), "roots")
+
+    # Then the rest is multiplied out where a column's members lie in different components.
+    cells = cells.select("key", "rep", "n", "at").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     cells = stage.write(cells, "cells")
     several = stage.write(cells.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key"), "several")
-    cells = stage.write(cells.join(_small(several), "key"), "cells")
+    cells = cells.join(_small(several), "key")
     x = cells.select("key", F.col("rep").alias("a"), "n", F.col("at").alias("at_a"), F.col("root").alias("root_a"))
     y = cells.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
     product = x.join(y, "key").where("a < b AND root_a <> root_b").where(near)
     product = product.groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    # Columns of hubs are missing from these counts, so what may have been shared there counts too.
-    product = product.where(f"100 * least(n, m) >= {percent} * greatest(n, m) AND (100 + {percent}) * (least(at_a, at_b) + 1 + least(n - 1 - at_a, m - 1 - at_b)) >= {percent} * (n + m)")
-    new = _compare(stage, stage.write(product.select("a", "b"), "pairs"), texts, size, percent)
-    links = links.unionAll(new)
-    roots = stage.write(components(stage, links), "roots")
+    # Shingles up to the last shared column, shared at most as often as either set has them, and those behind it.
+    product = product.where(f"(100 + {percent}) * (least(at_a, at_b) + 1 + least(n - 1 - at_a, m - 1 - at_b)) >= {percent} * (n + m)")
+    new = _compare(stage, stage.write(product.select("a", "b"), "pairs"), sets, texts, size, percent)
+    if not new.isEmpty():
+        links = links.unionAll(new)
+        roots = stage.write(components(stage, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new)), "roots")
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = sets.select("set", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
     known = stage.write(known.select("set", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
