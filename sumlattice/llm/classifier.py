@@ -151,6 +151,20 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
     return fit(spark, stats.labelled(docs, labels, "quality", rows, ~stats.held_out("id", 4, 2)))
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, model: Model | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    if not isinstance(model, Model):
+        return docs if model >= threshold else docs.limit(0)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.grouped(batches, at):
+            w = words.find(b.column(at))
+            yield b.filter(pa.array(shared.value.score(stats.document_features(w, words.buffers(b.column(at))[1])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(spark, docs, trained(spark, docs, table(spark, sf_dir, "labels")))

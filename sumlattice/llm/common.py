@@ -54,6 +54,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a table of ids is broadcast rather than shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if its rows were counted and are few; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def with_text(df: DataFrame, text: Column, text_col: str = "text") -> DataFrame:
+    """The table with another text; a column ``n_chars`` follows it."""
+    df = df.withColumn(text_col, text)
+    if "n_chars" in df.columns:
+        df = df.withColumn("n_chars", F.char_length(text_col).cast(df.schema["n_chars"].dataType))
+    return df
+
+
 def crc32_of_id(column: str) -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

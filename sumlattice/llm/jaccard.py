@@ -26,13 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Stage, table
+from .common import Stage, small, table
 from .components import components
 
 #: Shingles that are put last in the order, at most; it steers cost only.
 FREQUENT = 50_000
-#: Rows up to which a table of ids is broadcast rather than shuffled.
-BROADCAST_ROWS = 500_000
 #: Shingles for each hash range that a set's counts are kept of, and ranges at most.
 PER_RANGE = 4
 MAX_RANGES = 8192
@@ -112,11 +110,6 @@ def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if its rows were counted and are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
 
@@ -130,7 +123,7 @@ def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
     both = pairs.join(of("b", "m"), "b").join(of("a", "n"), "a").select("a", "b", "n", "m", "counts_a", "counts_b")
     pairs = stage.write(both.mapInArrow(bounded, "a long, b long"), "bounded")
     ids = stage.write(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
-    own = stage.write(texts.join(_small(ids), "id"), "texts")
+    own = stage.write(texts.join(small(ids), "id"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -174,7 +167,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    cells = stage.write(cell.join(_small(stage.write(shared, "shared")), "key").where("rep <> hub").select("key", "rep", "n", "at", "hub"), "cells")
+    cells = stage.write(cell.join(small(stage.write(shared, "shared")), "key").where("rep <> hub").select("key", "rep", "n", "at", "hub"), "cells")
 
     # First each column's members against its smallest one.
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
@@ -186,7 +179,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     cells = cells.select("key", "rep", "n", "at").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     cells = stage.write(cells, "cells")
     several = stage.write(cells.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key"), "several")
-    cells = cells.join(_small(several), "key")
+    cells = cells.join(small(several), "key")
     x = cells.select("key", F.col("rep").alias("a"), "n", F.col("at").alias("at_a"), F.col("root").alias("root_a"))
     y = cells.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
     product = x.join(y, "key").where("a < b AND root_a <> root_b").where(near)
@@ -205,6 +198,18 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the smallest id of each component, one row for each id; rows without id stay."""
+    stage = Stage(spark, "representatives")
+    found = stage.write(join(spark, docs, id_col, text_col, size, percent).where("doc_id IS NOT NULL"), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
+    gone, twice = small(stage.write(gone, "gone")), small(stage.write(twice, "twice"))
+    kept = docs.join(gone, id_col, "left_anti")
+    again = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, id_col, "left_anti").unionByName(again).select(*docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark, table(spark, sf_dir, "documents"), size=4, percent=85)
 

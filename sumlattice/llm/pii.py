@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table
+from .common import table, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -238,7 +238,7 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = [t if t is None else redact(t, s) if (s := find(t)[1]) else t for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return with_text(docs.mapInArrow(run, schema), F.col(text_col), text_col)
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Stage, table
+from .common import Stage, small, table, with_text
 
 #: Words of the sub-windows from which a window's fingerprint is chosen.
 SUB = 6
 #: Batches that one call takes its documents in, by id; and runs from which they are compacted.
 BATCHES = 2
 MAX_RUNS = 4
-BROADCAST_ROWS = 500_000
 
 
 def anchors(key: np.ndarray, window: int, sub: int = SUB) -> np.ndarray:
@@ -149,10 +148,6 @@ def _digest(joined: bytes) -> bytes:
     return hashlib.blake2b(joined, digest_size=16).digest()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, batches: int = BATCHES) -> DataFrame:
     """(doc_id, whole, n_words, n_removed, kept_sha256, kept) of every document.
 
@@ -171,8 +166,8 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     first = stage.write(long.groupBy("whole").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.count("*").alias("n")), "first")
     cells = first.select("first_id", F.explode("anchors").alias("anchor"))
     repeated = stage.write(cells.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
-    hit = stage.write(cells.join(_small(repeated), "anchor").groupBy("first_id").agg(F.collect_set("anchor").alias("repeated")).withColumnRenamed("first_id", "id"), "hit")
-    own = stage.write(texts.join(_small(hit), "id"), "texts")  # anchors of one document: no more than its words
+    hit = stage.write(cells.join(small(repeated), "anchor").groupBy("first_id").agg(F.collect_set("anchor").alias("repeated")).withColumnRenamed("first_id", "id"), "hit")
+    own = stage.write(texts.join(small(hit), "id"), "texts")  # anchors of one document: no more than its words
     copies = first.where("n > 1").select("whole", "first_id")
 
     index, dup = FingerprintIndex(stage), None
@@ -192,7 +187,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     cut = own.join(dup.withColumnRenamed("doc_id", "id"), "id")
     changed = stage.write(_cut(cut, window), "changed").dropDuplicates(["id", "whole"])
     changed = changed.select("id", "whole", F.col("n_removed").alias("r"), F.col("digest").alias("d"), F.col("kept").alias("k"))
-    out = every.select("id", "n", "digest", "whole").join(_small(stage.write(copies, "copies")), "whole", "left")
+    out = every.select("id", "n", "digest", "whole").join(small(stage.write(copies, "copies")), "whole", "left")
     copy = F.col("first_id").isNotNull() & (F.col("id") > F.col("first_id"))
     out = out.select("id", "n", "digest", "whole", F.coalesce(copy, F.lit(False)).alias("copy")).join(changed, ["id", "whole"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -204,6 +199,28 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+    """All rows, with what ``dedup`` keeps of their texts; texts in which nothing repeats stay as they are."""
+    stage = Stage(spark, "without-repeats")
+    found = dedup(spark, docs, id_col, text_col, window).where("n_removed > 0").select(F.col("doc_id").alias(id_col), F.struct("whole", "kept").alias("new"))
+    found = stage.write(found.groupBy(id_col).agg(F.collect_set("new").alias("new_texts")), "changed")  # one for each text of an id
+    ids = small(stage.write(found.select(id_col), "ids"))
+    same = docs.join(ids, id_col, "left_anti")
+    changed = docs.join(ids, id_col, "left_semi").join(found, id_col)
+    schema, at = changed.schema, changed.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.grouped(batches, at):
+            new = []
+            for text, texts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                by = {x["whole"]: x["kept"] for x in texts}
+                new.append(by.get(_digest(b" ".join((text or "").encode().split())), text))
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+
+    changed = changed.mapInArrow(run, schema).select(*docs.columns)
+    return same.select(*docs.columns).unionByName(with_text(changed, F.col(text_col), text_col).select(*docs.columns))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
