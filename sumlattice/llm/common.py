@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
+        self.paths: dict[int, str] = {}
 
     def path(self, label: str) -> str:
         self.count += 1
@@ -39,13 +42,28 @@ class Stage:
     def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         at = self.path(label)
         df.write.options(**options).mode("errorifexists").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.tables.append(out)
+        self.paths[id(out)] = at
+        return out
+
+    def release(self) -> None:
+        """Let the driver collect its garbage, upon which executors delete shuffle files of finished steps."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write a result and delete all other tables of the run."""
+        out = self.write(df, "result")
+        self.drop(*self.tables[:-1])
+        self.release()
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for at in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        for at in [self.paths.pop(id(t)) for t in tables if id(t) in self.paths]:
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(conf).delete(path, True)
 

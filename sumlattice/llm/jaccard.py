@@ -168,12 +168,14 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
     cells = stage.write(cell.join(small(stage.write(shared, "shared")), "key").where("rep <> hub").select("key", "rep", "n", "at", "hub"), "cells")
+    stage.release()
 
     # First each column's members against its smallest one.
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = cells.select("rep", "n", "hub").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(near)
     links = _compare(stage, stage.write(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs"), sets, texts, size, percent)
     roots = stage.write(components(stage, links), "roots")
+    stage.release()
 
     # Then the rest is multiplied out where a column's members lie in different components.
     cells = cells.select("key", "rep", "n", "at").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
@@ -195,7 +197,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     known = stage.write(known.select("set", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     out = every.select("id", "n", "set").join(known, "set", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    return stage.finish(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

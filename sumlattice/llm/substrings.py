@@ -2,7 +2,7 @@
 
 The index is a list of runs: immutable tables of window hashes, each sorted by hash
 within its partitions.  A batch of documents is merge-joined with the runs; a hit is
-verified by a second, independent hash of the window's words; hashes not yet known
+verified by 32 bits of a second, independent hash of the window's words; hashes not yet known
 become a new run, and runs are compacted into one when there are too many.
 
 Only windows that can repeat get that far.  Of each window one short fingerprint is
@@ -75,7 +75,7 @@ class FingerprintIndex:
 
         ``batch`` has (key, check, doc_id, pos).  New windows are added to the index.
         """
-        seen = batch.groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
+        seen = batch.groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
         known = self.known()
         if known is None:
             seen = seen.withColumn("hist", F.lit(False))
@@ -83,7 +83,7 @@ class FingerprintIndex:
             seen = seen.join(known.withColumn("hist", F.lit(True)), ["key", "check"], "left").withColumn("hist", F.coalesce("hist", F.lit(False)))
         seen = self.stage.write(seen, "seen")
         self.add(seen.where("NOT hist"))
-        return seen.where("hist OR first <> last").select("key", "check", "first", "hist")
+        return seen.where("hist OR n > 1").select("key", "check", "first", "hist")
 
 
 def _documents(texts: DataFrame, window: int) -> DataFrame:
@@ -117,11 +117,11 @@ def _windows(own: DataFrame, window: int) -> DataFrame:
                 key = w.of(i)
                 again = np.unique(repeated.values.to_numpy()).view(np.uint64)
                 pos = np.flatnonzero(np.isin(words.windows(key, SUB)[anchors(key, window)], again))
-                keys.append(words.windows(key, window)[pos]), checks.append(words.windows(key, window, 1)[pos]), places.append(pos), ids.append(np.full(len(pos), doc))
+                keys.append(words.windows(key, window)[pos]), checks.append((words.windows(key, window, 1)[pos] >> np.uint64(32)).astype(np.uint32)), places.append(pos), ids.append(np.full(len(pos), doc))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(checks).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "check", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(checks).view(np.int32)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "check", "doc_id", "pos"])
 
-    return own.select("id", "text", "repeated").mapInArrow(run, "key long, check long, doc_id long, pos int")
+    return own.select("id", "text", "repeated").mapInArrow(run, "key long, check int, doc_id long, pos int")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -163,12 +163,14 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     every = stage.write(_documents(texts, window), "documents")
     long = every.where(f"n >= {window} AND id IS NOT NULL")
-    first = stage.write(long.groupBy("whole").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.count("*").alias("n")), "first")
-    cells = first.select("first_id", F.explode("anchors").alias("anchor"))
+    first = long.groupBy("whole").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("whole", "first_id")
+    copies = stage.write(long.select("id", "whole").join(small(stage.write(first, "first")), "whole").where("id > first_id").select("id", "whole").distinct(), "copies")
+    copies = small(copies)
+    cells = long.join(copies, ["id", "whole"], "left_anti").select("id", F.explode("anchors").alias("anchor"))
     repeated = stage.write(cells.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
-    hit = stage.write(cells.join(small(repeated), "anchor").groupBy("first_id").agg(F.collect_set("anchor").alias("repeated")).withColumnRenamed("first_id", "id"), "hit")
+    hit = stage.write(cells.join(small(repeated), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated")), "hit")
     own = stage.write(texts.join(small(hit), "id"), "texts")  # anchors of one document: no more than its words
-    copies = first.where("n > 1").select("whole", "first_id")
+    stage.release()
 
     index, dup = FingerprintIndex(stage), None
     edges = hit.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -184,19 +186,19 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         late = _windows(batch, window).join(known, ["key", "check"]).where("hist OR struct(doc_id, pos) > first").select("doc_id", "pos")
         late = stage.write(late.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "late")
         dup = late if dup is None else dup.unionAll(late)
+        stage.release()
     cut = own.join(dup.withColumnRenamed("doc_id", "id"), "id")
     changed = stage.write(_cut(cut, window), "changed").dropDuplicates(["id", "whole"])
     changed = changed.select("id", "whole", F.col("n_removed").alias("r"), F.col("digest").alias("d"), F.col("kept").alias("k"))
-    out = every.select("id", "n", "digest", "whole").join(small(stage.write(copies, "copies")), "whole", "left")
-    copy = F.col("first_id").isNotNull() & (F.col("id") > F.col("first_id"))
-    out = out.select("id", "n", "digest", "whole", F.coalesce(copy, F.lit(False)).alias("copy")).join(changed, ["id", "whole"], "left")
+    out = every.select("id", "n", "digest", "whole").join(copies.withColumn("copy", F.lit(True)), ["id", "whole"], "left").join(changed, ["id", "whole"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    return out.select(
+    out = out.select(
         F.col("id").alias("doc_id"), "whole", F.col("n").alias("n_words"),
         F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("d", "digest")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit("")).otherwise(F.col("k")).alias("kept"),
     )
+    return stage.finish(out)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
