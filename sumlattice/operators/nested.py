@@ -3,7 +3,7 @@
 Score counts add up, so those of a training set are the whole table's less those of
 its test fold: every candidate is scored once, whatever the number of folds.  A score
 that only the test fold has is not in the training table.  Counts and choices, which
-are small whatever the number of rows, are persisted, as several outputs read them.
+are small whatever the number of rows, are written once, as several outputs read them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, choice
+from ..sources.staging import staged
 from .folds import assign, stratified_folds
 from .ranking import first_per, preselect_order
 from .roc import auc_of, candidate_table, compress, score_frequencies, sum_score, with_metrics
@@ -48,7 +49,7 @@ def train_frequencies(test: DataFrame, keys: Sequence[str], fold_keys: Sequence[
 
 def train_search(folds: DataFrame, candidates: DataFrame, method: str = "youden") -> tuple[DataFrame, DataFrame]:
     """(candidate table for each training set, test counts of each fold) for all candidates."""
-    test = score_frequencies(compress(folds, ["repeat", "fold"]), candidates, ["repeat", "fold"]).persist()
+    test = staged(score_frequencies(compress(folds, ["repeat", "fold"]), candidates, ["repeat", "fold"]), "test-counts")
     keys = ["repeat", "combo_id", "n_items"]
     return candidate_table(train_frequencies(test, keys, ["repeat"], "fold"), ["repeat", "fold", "combo_id", "n_items"], method), test
 
@@ -85,7 +86,7 @@ def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: in
     least = least.withColumn("left", F.sum("c").over(whole) - F.col("c")).groupBy("repeat", F.col("fold").alias("outer_fold")).agg(F.least(F.min("left"), F.lit(k)).alias("k"))
     rows = rows.join(F.broadcast(least), ["repeat", "outer_fold"])
     rows = assign(rows, F.lit(seed) + number + F.col("position"), F.col("k"), keys, "inner")
-    cells = rows.groupBy(*keys, "combo_id", "n_items", "inner", "score").agg(F.sum("y").alias("p"), F.sum(F.lit(1) - F.col("y")).alias("n")).persist()
+    cells = staged(rows.groupBy(*keys, "combo_id", "n_items", "inner", "score").agg(F.sum("y").alias("p"), F.sum(F.lit(1) - F.col("y")).alias("n")), "inner-counts")
     ids = [*keys, "combo_id", "n_items"]
     train = candidate_table(train_frequencies(cells, ids, keys, "inner"), [*ids, "inner"], method)
     test = at_cutoff(cells, train, [*ids, "inner"])
@@ -102,15 +103,15 @@ def nested_cv(rows: DataFrame, candidates: DataFrame, outer_k: int = 5, inner_k:
     meets its test rows once.
     """
     choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method")
-    folds = stratified_folds(rows, outer_k, outer_repeats, seed)
+    folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
     k = folds.agg(F.max("fold")).first()[0]
     search, test = train_search(folds, candidates, method)
     kept = first_per(search, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n)
-    kept = kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id").persist()
+    kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
     inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method)
     best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
     keys = ["repeat", "fold", "combo_id", "n_items"]
-    picked = best.select(*keys, "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys).persist()
+    picked = staged(best.select(*keys, "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
     shown = at_cutoff(test, picked, keys).drop("cutoff")
     name = F.concat(F.lit("Rep"), F.col("repeat").cast("string"), F.lit("_Fold"), F.col("fold").cast("string"))
     out = picked.join(shown, keys).withColumn("outer_fold", name).withColumnRenamed("items", "selected_items")
