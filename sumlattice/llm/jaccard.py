@@ -8,10 +8,11 @@ columns two sets share, and a pair is dropped when its sizes and where its last
 shared column stands leave too few shingles for the threshold, or when the numbers of
 their shingles in each of many hash ranges do.  Pairs left are compared in full.
 
-A column with many members isn't multiplied out.  First each column compares its
-members with its smallest one only; what links then shares a component, and only
-members of different components are paired, so a large group of near copies costs
-about as many comparisons as it has members.
+A column with many members isn't multiplied out into rows.  First each document is
+compared with the smallest member of its columns only, whereupon most of a group shares
+a component.  Columns with several components left are then cut into blocks of members;
+a task multiplies two blocks at a time on arrays, skips pairs within a component, and
+passes on only the pairs that the bounds leave.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ from .components import components
 #: Shingles that are put last in the order, at most; it steers cost only.
 FREQUENT = 50_000
 #: Shingles for each hash range that a set's counts are kept of, and ranges at most.
-PER_RANGE = 4
+PER_RANGE = 2
 MAX_RANGES = 8192
 COUNT_ROWS = 4096
+#: Members of a column that stand in a block, about.
+BLOCK = 256
 
 
 def _frequent(texts: DataFrame, size: int) -> np.ndarray:
     """Hashes of the most frequent shingles, commonest first.
 
-    A task counts over blocks of rows and passes on what is in some rows of a block;
-    a shingle of a thousandth of all documents is in them.
+    A task counts over blocks of rows and passes on what is in a thousandth of a block's
+    rows or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +52,7 @@ def _frequent(texts: DataFrame, size: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= max(4, rows // 500)
+            often = n >= max(4, rows // 1000)
             return pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
 
         for b in words.grouped(batches, 0):
@@ -149,6 +152,51 @@ def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
     return stage.write(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _product(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, that the bounds leave of the pairs within ``x`` or, where ``y`` isn't null, between ``x`` and ``y``."""
+
+    def columns(m: pa.StructArray) -> tuple[np.ndarray, ...]:
+        rep, n, at, root = (m.field(c).to_numpy() for c in ("rep", "n", "at", "root"))
+        order = np.argsort(n, kind="stable")
+        kept = m.field("counts").to_pylist()
+        return rep[order], n[order], at[order], root[order], [kept[i] for i in order]
+
+    def folded(kept: list[bytes], width: int) -> np.ndarray:
+        out = np.empty((len(kept), width), np.int32)
+        for i, c in enumerate(kept):
+            v = np.frombuffer(c, np.uint8).astype(np.int32)
+            v[v == 255] = 1 << 20  # more than 254: no bound
+            out[i] = v.reshape(width, -1).sum(1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = [], []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                a_rep, a_n, a_at, a_root, a_counts = columns(x.values)
+                same = not y.is_valid
+                b_rep, b_n, b_at, b_root, b_counts = (a_rep, a_n, a_at, a_root, a_counts) if same else columns(y.values)
+                for i in range(len(a_rep)):
+                    # Sizes ascend: those near enough stand together.
+                    lo = np.searchsorted(b_n, -(-percent * a_n[i] // 100), "left")
+                    hi = np.searchsorted(b_n, 100 * a_n[i] // percent, "right")
+                    if same:
+                        lo = max(lo, i + 1)
+                    j = np.arange(lo, max(lo, hi))
+                    n, m = a_n[i], b_n[j]
+                    most = np.minimum(a_at[i], b_at[j]) + 1 + np.minimum(n - 1 - a_at[i], m - 1 - b_at[j])
+                    j = j[(b_root[j] != a_root[i]) & (b_rep[j] != a_rep[i]) & ((100 + percent) * most >= percent * (n + m))]
+                    if len(j):
+                        width = min(len(a_counts[i]), min(len(b_counts[k]) for k in j))
+                        most = np.minimum(folded([a_counts[i]], width), folded([b_counts[k] for k in j], width)).sum(1)
+                        j = j[(100 + percent) * most >= percent * (n + b_n[j])]
+                        first.append(np.minimum(a_rep[i], b_rep[j])), second.append(np.maximum(a_rep[i], b_rep[j]))
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
 def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
@@ -167,31 +215,34 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    cells = stage.write(cell.join(small(stage.write(shared, "shared")), "key").where("rep <> hub").select("key", "rep", "n", "at", "hub"), "cells")
+    cells = stage.write(cell.join(small(stage.write(shared, "shared")), "key").select("key", "rep", "n", "at", "hub"), "cells")
+    hubs, cells = cells.where("rep = hub").select("key", "rep", "n", "at"), cells.where("rep <> hub")
     stage.release()
 
-    # First each column's members against its smallest one.
+    # First each document against the smallest member of its columns.
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = cells.select("rep", "n", "hub").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(near)
+    pairs = cells.groupBy("rep", "n").agg(F.min("hub").alias("hub")).join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(near)
     links = _compare(stage, stage.write(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs"), sets, texts, size, percent)
     roots = stage.write(components(stage, links), "roots")
     stage.release()
 
-    # Then the rest is multiplied out where a column's members lie in different components.
-    cells = cells.select("key", "rep", "n", "at").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    cells = stage.write(cells, "cells")
-    several = stage.write(cells.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key"), "several")
-    cells = cells.join(small(several), "key")
-    x = cells.select("key", F.col("rep").alias("a"), "n", F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-    y = cells.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-    product = x.join(y, "key").where("a < b AND root_a <> root_b").where(near)
-    product = product.groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    # Shingles up to the last shared column, shared at most as often as either set has them, and those behind it.
-    product = product.where(f"(100 + {percent}) * (least(at_a, at_b) + 1 + least(n - 1 - at_a, m - 1 - at_b)) >= {percent} * (n + m)")
-    new = _compare(stage, stage.write(product.select("a", "b"), "pairs"), sets, texts, size, percent)
+    # Then the columns whose members lie in different components, block by block.
+    members = cells.select("key", "rep", "n", "at").unionByName(hubs).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    members = stage.write(members, "members")
+    several = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
+    several = stage.write(several.select("key", F.ceil(F.col("k") / BLOCK).alias("blocks")), "several")
+    members = members.join(small(several), "key").join(sets.select("rep", "counts"), "rep")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    blocks = stage.write(members.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "at", "root", "counts")).alias("m")), "blocks")
+    x, y = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
+    alone = x.join(several.where("blocks = 1").select("key"), "key", "left_semi").select("x", F.lit(None).cast(y.schema["y"].dataType).alias("y"))
+    crossed = x.join(several.where("blocks > 1").select("key"), "key", "left_semi").join(y, "key").where("i <= j").select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+    pairs = stage.write(_product(alone, percent).unionAll(_product(crossed, percent)).distinct(), "pairs")
+    new = _compare(stage, pairs, sets, texts, size, percent)
     if not new.isEmpty():
         links = links.unionAll(new)
         roots = stage.write(components(stage, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new)), "roots")
+    stage.release()
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = sets.select("set", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
     known = stage.write(known.select("set", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
