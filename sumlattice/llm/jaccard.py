@@ -35,6 +35,8 @@ FREQUENT = 50_000
 #: Shingles for each hash range that a set's counts are kept of, and ranges at most.
 PER_RANGE = 2
 MAX_RANGES = 8192
+#: Ranges that each member of a column carries counts of into the product, at most.
+BLOCK_RANGES = 64
 COUNT_ROWS = 4096
 #: Members of a column that stand in a block, about.
 BLOCK = 256
@@ -77,10 +79,10 @@ def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
         often, weight = shared.value
         for b in words.grouped(batches, 1):
             w = words.find(b.column(1), lower=True)
-            n, digest, columns, ranges = [], [], [], []
+            n, digest, columns, ranges, few = [], [], [], [], []
             for i in range(len(w)):
                 s = words.shingle_set(w.of(i), size)
-                ranges.append(counts(s))
+                ranges.append(counts(s)), few.append(coarse(ranges[-1]))
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 # Any set that overlaps in ceil(percent % of n) or more has one of these.
@@ -92,9 +94,9 @@ def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                 columns.append(s[:keep].view(np.int64))
             ends = np.cumsum([0, *map(len, columns)]).astype(np.int32)
             flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "set", "counts", "columns"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.array(few, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "set", "counts", "coarse", "columns"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, counts binary, columns array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, counts binary, coarse binary, columns array<long>")
 
 
 def counts(s: np.ndarray) -> bytes:
@@ -103,6 +105,16 @@ def counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def coarse(kept: bytes) -> bytes:
+    """The same counts in at most BLOCK_RANGES ranges."""
+    c = np.frombuffer(kept, np.uint8)
+    if len(c) <= BLOCK_RANGES:
+        return kept
+    wide = c.astype(np.int64)
+    wide[c == 255] = 255  # stays at least 255
+    return np.minimum(wide.reshape(BLOCK_RANGES, -1).sum(1), 255).astype(np.uint8).tobytes()
+
+
 def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     """A number that two sets of these counts and sizes can't have more shingles in common than."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -158,7 +170,7 @@ def _product(blocks: DataFrame, percent: int) -> DataFrame:
     def columns(m: pa.StructArray) -> tuple[np.ndarray, ...]:
         rep, n, at, root = (m.field(c).to_numpy() for c in ("rep", "n", "at", "root"))
         order = np.argsort(n, kind="stable")
-        kept = m.field("counts").to_pylist()
+        kept = m.field("coarse").to_pylist()
         return rep[order], n[order], at[order], root[order], [kept[i] for i in order]
 
     def folded(kept: list[bytes], width: int) -> np.ndarray:
@@ -211,7 +223,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     every = stage.write(_columns(texts, _frequent(texts, size), size, percent), "columns")
     full = every.where("n > 0 AND id IS NOT NULL")
-    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("columns").alias("columns")), "sets")
+    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse"), F.first("columns").alias("columns")), "sets")
     cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
@@ -231,9 +243,9 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     members = stage.write(members, "members")
     several = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
     several = stage.write(several.select("key", F.ceil(F.col("k") / BLOCK).alias("blocks")), "several")
-    members = members.join(small(several), "key").join(sets.select("rep", "counts"), "rep")
+    members = members.join(small(several), "key").join(sets.select("rep", "coarse"), "rep")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    blocks = stage.write(members.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "at", "root", "counts")).alias("m")), "blocks")
+    blocks = stage.write(members.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "at", "root", "coarse")).alias("m")), "blocks")
     x, y = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
     alone = x.join(several.where("blocks = 1").select("key"), "key", "left_semi").select("x", F.lit(None).cast(y.schema["y"].dataType).alias("y"))
     crossed = x.join(several.where("blocks > 1").select("key"), "key", "left_semi").join(y, "key").where("i <= j").select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
