@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import check_level, clopper_pearson, normal_quantile
 
+#: Candidates up to which those kept are broadcast.
+BROADCAST_CANDIDATES = 20_000
 #: Shares with intervals, and the counts they are of: (numerator, denominator).
 SHARES = {
     "sensitivity": ("tp", ("tp", "fn")), "specificity": ("tn", ("tn", "fp")), "accuracy": (("tp", "tn"), ("tp", "tn", "fp", "fn")),
@@ -77,6 +79,7 @@ def with_intervals(top: DataFrame, patterns: DataFrame, level: float = 0.95) ->
     """
     from .roc import score_frequencies
 
-    freq = score_frequencies(patterns, F.broadcast(top))
+    few = top.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+    freq = score_frequencies(patterns, F.broadcast(top) if few else top)
     auc = delong(freq, ("combo_id",), level).select("combo_id", "auc_lower", "auc_upper")
     return share_intervals(top.join(auc, "combo_id"), level)

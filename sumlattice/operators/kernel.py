@@ -130,6 +130,58 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
     return nan_to_null(made)
 
 
+def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], min_items: int, max_items: int, top_n: int, order: Sequence[tuple[str, bool]], method: str = "youden", partitions: int | None = None) -> DataFrame:
+    """The best ``top_n`` candidates of each task for each fold's training set.
+
+    ``counts`` (repeat, fold, x, p, n) are test counts of patterns, MAX_PATTERNS rows at
+    most; a training set has those of its repeat's other folds.  A candidate's scores are
+    added up once for all folds.
+    """
+    rows = counts.limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} distinct rows and folds; search fewer candidates")
+    names, levels = [*items], level_sizes(len(items), min_items, max_items)
+    place = {x: u for u, x in enumerate(dict.fromkeys(tuple(r["x"]) for r in rows))}
+    groups = sorted({(r["repeat"], r["fold"]) for r in rows})
+    own = np.zeros((2, len(groups), len(place)), np.int64)
+    at = {g: i for i, g in enumerate(groups)}
+    for r in rows:
+        own[:, at[r["repeat"], r["fold"]], place[tuple(r["x"])]] += (r["p"], r["n"])
+    repeat = np.array([g[0] for g in groups])
+    train = np.stack([own[:, repeat == r].sum(1) for r in repeat], 1) - own
+    x = np.array([*place], float).reshape(len(place), len(names))
+    shared = spark.sparkContext.broadcast((np.ascontiguousarray(x.T), train, groups))
+    step = max(1, BATCH_BYTES // (8 * max(1, len(place))))
+    by, up = [c for c, _ in order], [not d for _, d in order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, (p, n), of = shared.value
+        held: list[list[pd.DataFrame]] = [[] for _ in of]
+        first = lambda parts: pd.concat(parts).sort_values(by, ascending=up, na_position="last", kind="stable").head(top_n)
+        for b in batches:
+            ids = b["id"].to_numpy()
+            for places, idx in unrank_global(len(names), levels, ids):
+                for lo in range(0, len(places), step):
+                    part, combo = idx[lo : lo + step], ids[places[lo : lo + step]]
+                    scores = columns[part[:, 0]].copy()
+                    for j in range(1, part.shape[1]):
+                        scores += columns[part[:, j]]
+                    for g in range(len(of)):
+                        there = (p[g] + n[g]) > 0
+                        made = pd.DataFrame({"combo_id": combo, "n_items": np.int32(part.shape[1]), **statistics(*histograms(scores[:, there], p[g][there], n[g][there]), method)})
+                        made["item_idx"] = [*part]
+                        held[g] = [first([*held[g], made])]
+        for (r, f), parts in zip(of, held):
+            if parts:
+                out = parts[0].assign(repeat=np.int32(r), fold=np.int32(f))
+                out["items"] = [", ".join(names[i] for i in c) for c in out["item_idx"]]
+                yield out[["repeat", "fold", "combo_id", "n_items", "items", "item_idx", *_FLOATS, "tp", "fp", "fn", "tn", "n_positive", "n_negative"]]
+
+    total = sum(c for _, c in levels)
+    made = spark.range(0, total, 1, partitions or max(1, min(4 * spark.sparkContext.defaultParallelism, total // 2000))).mapInPandas(run, "repeat int, fold int, " + SCHEMA.replace("items string", "items string, item_idx array<int>"))
+    return nan_to_null(made)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 

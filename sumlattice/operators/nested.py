@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, choice
 from ..sources.staging import staged
+from . import kernel
 from .folds import assign, stratified_folds
 from .ranking import first_per, preselect_order
 from .roc import auc_of, candidate_table, compress, score_frequencies, sum_score, with_metrics
@@ -96,18 +97,29 @@ def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: in
     )
 
 
-def nested_cv(rows: DataFrame, candidates: DataFrame, outer_k: int = 5, inner_k: int = 4, outer_repeats: int = 1, preselect_top_n: int = 20, preselect_by: str = "auc", selection_criterion: str = "auc", method: str = "youden", seed: int = 1) -> NestedResult:
+def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, inner_k: int = 4, outer_repeats: int = 1, preselect_top_n: int = 20, preselect_by: str = "auc", selection_criterion: str = "auc", method: str = "youden", seed: int = 1, space: tuple[Sequence[str], int, int] | None = None) -> NestedResult:
     """Nested cross-validation of (row_id, y, x) over the candidates.
 
+    For very many candidates give ``space`` (items, min_items, max_items) instead: the
+    kernel searches it for all folds at once, and only what it keeps is scored as a plan.
+
     Search, cutoffs and choice see an outer fold's training rows only; the chosen set
     meets its test rows once.
     """
     choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method")
     folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
     k = folds.agg(F.max("fold")).first()[0]
-    search, test = train_search(folds, candidates, method)
-    kept = first_per(search, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n)
-    kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
+    if space is None:
+        search, test = train_search(folds, candidates, method)
+        kept = first_per(search, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n)
+        kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
+    else:
+        order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
+        counts = compress(folds, ["repeat", "fold"])
+        found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method)
+        kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
+        pool = kept.select("combo_id", "n_items", "item_idx").distinct()  # preselect_top_n for each fold at most
+        test = staged(score_frequencies(counts, F.broadcast(pool), ["repeat", "fold"]), "test-counts")
     inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method)
     best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
     keys = ["repeat", "fold", "combo_id", "n_items"]

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.combos import PRESETS, candidate_rows, candidates, count_combinations, suggest_preselect, whole
+from ..functions.combos import PRESETS, candidate_rows, count_combinations, suggest_preselect, whole
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, RANK_COLUMNS, choice, item_bounds, resolve_items, resolve_parallel
 from ..operators.nested import NestedResult, nested_cv
 from ..operators.ranking import candidate_order, ranked
@@ -122,8 +122,8 @@ def run_config(df: DataFrame, config: Config, row_id: str) -> NestedResult:
     if rows.groupBy("row_id").count().where("count > 1 OR row_id IS NULL").limit(1).count():
         raise ValueError(f"{row_id} must name each row once")
     total = count_combinations(items, low, high)
-    pool = candidate_rows(df.sparkSession, items, low, high) if total <= RELATIONAL_CANDIDATES else candidates(df.sparkSession, items, low, high)
-    return nested_cv(rows, pool, config.outer_k, config.inner_k, config.outer_repeats, config.preselect(items), config.preselect_by, config.selection_criterion, config.cutoff_method, config.seed)
+    pool, space = (candidate_rows(df.sparkSession, items, low, high), None) if total <= RELATIONAL_CANDIDATES else (None, (items, low, high))
+    return nested_cv(rows, pool, config.outer_k, config.inner_k, config.outer_repeats, config.preselect(items), config.preselect_by, config.selection_criterion, config.cutoff_method, config.seed, space)
 
 
 def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n: int | None = 20, final_rank_by: str = "auc", ci: bool = True, conf_level: float = 0.95, results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, **settings: Any) -> Analysis:

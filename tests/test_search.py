@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sumlattice.functions import combos
 from sumlattice.operators import intervals, nested, roc
 from sumlattice.operators.folds import stratified_folds
 from sumlattice.plans import analyze, search
@@ -136,6 +137,9 @@ def test_nested_and_analysis(spark, tmp_path):
         own = folds.where(F.col("fold") != r["fold"]).select("y", F.expr("x[0]").alias("q1"), F.expr("x[1]").alias("q2")).collect()
         assert (r["auc"], r["cutoff"]) == brute(own, ["q1", "q2"], 2, 2)[0][1:3]
     assert "Outer folds" in str(a)
+    one = nested.nested_cv(rows, combos.candidate_rows(spark, ["q1", "q2"], 1, 2), 2, 2, 1, 2, seed=5)
+    two = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
+    assert sorted(one.outer_results.collect()) == sorted(two.outer_results.collect())
 
 
 def test_store_and_cache(spark, weak, tmp_path):
