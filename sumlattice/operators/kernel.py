@@ -82,7 +82,8 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
     """The candidate table of ranks [start, start + size).
 
     ``patterns`` (x, p, n) are collected and broadcast, MAX_PATTERNS at most; more is an
-    error, for which the relational plan is the way.  ``order`` lists (column, descending).
+    error, for which the relational plan is the way.  ``order`` lists (column, descending);
+    its first column descends.
     """
     rows = patterns.limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
@@ -103,6 +104,7 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, p, n = shared.value
         held: list[pd.DataFrame] = []
+        floor = -np.inf
         for b in batches:
             ids = b["id"].to_numpy()
             for at, idx in unrank_global(len(names), levels, ids):
@@ -111,9 +113,16 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
                     scores = columns[part[:, 0]].copy()
                     for j in range(1, part.shape[1]):
                         scores += columns[part[:, j]]
-                    made = pd.DataFrame({"combo_id": own, "n_items": np.int32(part.shape[1]), **statistics(*histograms(scores, p, n), method)})
-                    made["at"] = [*part]
-                    held.append(best(made))
+                    found = statistics(*histograms(scores, p, n), method)
+                    if top_n is not None:
+                        # Rows below the worst of the best so far needn't become a table.
+                        v = np.nan_to_num(found[order[0][0]].astype(float), nan=-np.inf)
+                        if len(v) > top_n:
+                            floor = max(floor, np.partition(v, len(v) - top_n)[len(v) - top_n])
+                        on = np.flatnonzero(v >= floor)
+                        part, own, found = part[on], own[on], {k: c[on] for k, c in found.items()}
+                    if len(own):
+                        held.append(pd.DataFrame({"combo_id": own, "n_items": np.int32(part.shape[1]), **found, "at": [*part]}))
                     if top_n is not None and len(held) > 8:
                         held = [best(pd.concat(held))]
             if top_n is None and held:
