@@ -227,7 +227,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
     # Columns of one member join nothing.
     shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    cells = stage.write(cell.join(small(stage.write(shared, "shared")), "key").select("key", "rep", "n", "at", "hub"), "cells")
+    cells = stage.write(cell.join(stage.write(shared, "shared"), "key").select("key", "rep", "n", "at", "hub"), "cells")
     hubs, cells = cells.where("rep = hub").select("key", "rep", "n", "at"), cells.where("rep <> hub")
     stage.release()
 
@@ -243,12 +243,14 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     members = stage.write(members, "members")
     several = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
     several = stage.write(several.select("key", F.ceil(F.col("k") / BLOCK).alias("blocks")), "several")
-    members = members.join(small(several), "key").join(sets.select("rep", "coarse"), "rep")
+    members = members.join(several, "key").join(sets.select("rep", "coarse"), "rep")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    blocks = stage.write(members.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "at", "root", "coarse")).alias("m")), "blocks")
-    x, y = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
-    alone = x.join(several.where("blocks = 1").select("key"), "key", "left_semi").select("x", F.lit(None).cast(y.schema["y"].dataType).alias("y"))
-    crossed = x.join(several.where("blocks > 1").select("key"), "key", "left_semi").join(y, "key").where("i <= j").select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+    blocks = members.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("rep", "n", "at", "root", "coarse")).alias("m"))
+    blocks = stage.write(blocks, "blocks")
+    alone = blocks.where("blocks = 1").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
+    many = blocks.where("blocks > 1")
+    x, y = many.select("key", F.col("block").alias("i"), F.col("m").alias("x")), many.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
+    crossed = x.join(y, "key").where("i <= j").select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
     pairs = stage.write(_product(alone, percent).unionAll(_product(crossed, percent)).distinct(), "pairs")
     new = _compare(stage, pairs, sets, texts, size, percent)
     if not new.isEmpty():
