@@ -40,6 +40,13 @@ BLOCK_RANGES = 64
 COUNT_ROWS = 4096
 #: Members of a column that stand in a block, about.
 BLOCK = 256
+#: Sets, and shingles of all of them, that stand in a block when a component's links are counted, about.
+GROUP = 2048
+GROUP_SHINGLES = 1 << 19
+#: Columns that are multiplied at once as a dense matrix, pairs that are added up at once, and how full a dense column is.
+DENSE = 4096
+PAIRS = 1 << 22
+FULL = 200
 
 
 def _frequent(texts: DataFrame, size: int) -> np.ndarray:
@@ -209,14 +216,109 @@ def _product(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the sets ``x`` has in common with each of ``y``.
+
+    The product of the two incidences: full columns as dense matrices, thin ones pair by pair.
+    """
+    key = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(key, every)
+        at[at == len(key)] = 0
+        real = key[at] == every if len(key) else np.zeros(len(every), bool)
+        at, row = at[real], row[real]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order], np.bincount(at, minlength=len(key))
+
+    (a, i, p), (b, j, q) = entries(x), entries(y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    full = p * q * FULL > len(x) * len(y)
+    dense = np.flatnonzero(full)
+    for at in range(0, len(dense), DENSE):
+        some = dense[at : at + DENSE]
+        sides = []
+        for col, row, n in ((a, i, len(x)), (b, j, len(y))):
+            part = slice(np.searchsorted(col, some[0], "left"), np.searchsorted(col, some[-1], "right"))
+            col, row = col[part], row[part]
+            col, row = col[full[col]], row[full[col]]
+            side = np.zeros((n, len(some)), np.float32)
+            side[row, np.searchsorted(some, col)] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)  # at most DENSE each: exact
+    thin = ~full[a]
+    a, i = a[thin], i[thin]
+    n, first = q[a], (np.cumsum(q) - q)[a]
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        k = n[at:to]
+        other = j[np.repeat(first[at:to] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        out += np.bincount(np.repeat(i[at:to], k) * len(y) + other, minlength=out.size).reshape(out.shape)
+        at = to
+    return out
+
+
+def _degrees(stage: Stage, sets: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set, n_links) of every set in a component of several: with how many others of it the set reaches the threshold."""
+    members = stage.write(sets.select("set", "rep", "n").join(roots, F.col("rep") == F.col("node")).select("set", "rep", "n", "root"), "grouped")
+    groups = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    groups = stage.write(groups.select("root", "k", F.expr(f"greatest(ceil(k / {GROUP}), ceil(total / {GROUP_SHINGLES}))").alias("blocks")), "groups")
+    two = members.join(groups.where("k = 2"), "root").select("set", F.lit(1).cast("long").alias("n_links"))  # nothing else makes them one component
+    large = stage.write(members.join(groups.where("k > 2"), "root").select("set", "rep", "root", "blocks"), "large")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.grouped(batches, 0):
+            w = words.find(b.column(0), lower=True)
+            found = [words.shingle_set(w.of(i), size).tobytes() for i in range(len(w))]
+            own = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(found, b.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.binary())], ["set", "root", "blocks", "shingles"]).filter(own)
+
+    own = texts.join(small(large), F.col("id") == F.col("rep")).select("text", "set", "root", "blocks").mapInArrow(shingles, "set binary, root long, blocks long, shingles binary")
+    own = own.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))).repartition("root", "block")
+    # Rows may repeat, a set stands in its block once.
+    own = own.groupBy("root", "block", "set").agg(F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
+    blocks = stage.write(own.groupBy("root", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("set", "shingles")).alias("m")), "group-blocks")
+    alone = blocks.where("blocks = 1").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
+    many = blocks.where("blocks > 1")
+    x = many.select("root", F.col("block").alias("i"), F.col("m").alias("x"))
+    y = many.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block").cast("long"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
+    crossed = x.join(y, ["root", "i"]).select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(m: pa.StructArray) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+            found = [np.frombuffer(s, np.uint64) for s in m.field("shingles").to_pylist()]
+            return m.field("set").to_pylist(), found, np.array([len(s) for s in found], np.int64)
+
+        for batch in batches:
+            ids, degree = [], []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                a_set, a, n = of(x.values)
+                b_set, b, m = of(y.values) if y.is_valid else (a_set, a, n)
+                common = overlaps(a, b)
+                near = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+                if y.is_valid:
+                    ids += b_set
+                    degree.append(near.sum(0))
+                ids += a_set
+                degree.append(near.sum(1) - (0 if y.is_valid else 1))  # not with itself
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(np.concatenate(degree).astype(np.int64))], ["set", "n_links"])
+
+    counted = alone.unionAll(crossed).mapInArrow(run, "set binary, n_links long")
+    return stage.write(counted.unionAll(two).groupBy("set").agg(F.sum("n_links").alias("n_links")), "degrees")
+
+
+def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of
     ``size``-word shingles; a document with fewer words has its whole sequence as its
     one shingle, and one without words links with nothing.  ``component_id`` is the
-    smallest id reachable by links; ``n_links`` counts links that were compared, between
-    different sets.  Repeated rows are copies.  A null id gets a null component and
+    smallest id reachable by links; ``n_links`` counts all links to
+    different sets, each set once however many documents have it; it is null without
+    ``count_links``.  Repeated rows are copies.  A null id gets a null component and
     links with nothing.  Extra columns aren't read; an empty table gives no rows.
     """
     stage = Stage(spark, "jaccard")
@@ -254,21 +356,24 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     pairs = stage.write(_product(alone, percent).unionAll(_product(crossed, percent)).distinct(), "pairs")
     new = _compare(stage, pairs, sets, texts, size, percent)
     if not new.isEmpty():
-        links = links.unionAll(new)
         roots = stage.write(components(stage, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new)), "roots")
     stage.release()
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = sets.select("set", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
-    known = stage.write(known.select("set", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
+    known = sets.select("set", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("root", "rep").alias("root"))
+    if count_links:
+        known = known.join(_degrees(stage, sets, roots, texts, size, percent), "set", "left").select("set", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    else:
+        known = known.withColumn("n_links", F.lit(None).cast("long"))
+    known = stage.write(known, "known")
     out = every.select("id", "n", "set").join(known, "set", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
-    return stage.finish(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).alias("n_links")))
+    n_links = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_links")).otherwise(F.lit(0) if count_links else F.lit(None))
+    return stage.finish(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), n_links.alias("n_links")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of the smallest id of each component, one row for each id; rows without id stay."""
     stage = Stage(spark, "representatives")
-    found = stage.write(join(spark, docs, id_col, text_col, size, percent).where("doc_id IS NOT NULL"), "components")
+    found = stage.write(join(spark, docs, id_col, text_col, size, percent, count_links=False).where("doc_id IS NOT NULL"), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
     gone, twice = small(stage.write(gone, "gone")), small(stage.write(twice, "twice"))

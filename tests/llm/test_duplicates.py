@@ -61,6 +61,29 @@ def test_jaccard_against_all_pairs(spark):
     assert {tuple(r)[:3] for r in jaccard.join(spark, alone).collect()} == {(None, 2, None), (4, 2, 4)}
 
 
+def test_all_links_count(spark, monkeypatch):
+    rows = corpus(3)
+    rows += [(2000 + i, " ".join(f"m{k}" for k in range(300) if k not in (i, 250)), "x") for i in range(40)]  # all near one another
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string").repartition(4)
+    sets = {i: frozenset(shingles(t, 4)) for i, t, *_ in rows}
+    near = lambda s, t: s != t and 100 * len(s & t) >= 85 * len(s | t)
+    want = {(i, sum(near(s, t) for t in set(sets.values()) if s and t)) for i, s in sets.items()}
+    assert max(n for _, n in want) >= 39
+    for group in (2048, 7):  # one block, and several for each component
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        got = jaccard.join(spark, df, size=4, percent=85)
+        assert {(r["doc_id"], r["n_links"]) for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(6)
+    for full, pairs in ((200, 1 << 22), (0, 50), (2, 50), (10**6, 1 << 22)):  # both, thin columns only, few at a time, full only
+        monkeypatch.setattr(jaccard, "FULL", full), monkeypatch.setattr(jaccard, "PAIRS", pairs), monkeypatch.setattr(jaccard, "DENSE", 16)
+        x, y = ([np.unique(rng.integers(0, 150, rng.integers(1, 90)).astype(np.uint64)) for _ in range(n)] for n in (12, 5))
+        for p, q in ((x, y), (x, x), (x[:1], [np.array([999], np.uint64)])):
+            assert jaccard.overlaps(p, q).tolist() == [[len(np.intersect1d(a, b)) for b in q] for a in p]
+
+
 def test_bound_holds():
     rng = np.random.default_rng(5)
     for _ in range(200):
