@@ -1,18 +1,21 @@
-"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
+"""N-gram Jaccard join: a prefix-filter join of sets of n-grams, and a blocked sparse product for link counts.
 
 Of each distinct set of shingles one representative takes part.  Shingles have one
-order, rare ones first, and of a set only so many of the first count as columns of
-the product that two sets above the threshold must share one of them.  The product
-is taken block by block of columns (the shuffle's partitions), adding up how many
-columns two sets share, and a pair is dropped when its sizes and where its last
-shared column stands leave too few shingles for the threshold, or when the numbers of
-their shingles in each of many hash ranges do.  Pairs left are compared in full.
+order, rare ones first, and of a set only so many of the first count as columns
+that two sets above the threshold must share one of them.  Pairs are taken block by
+block of columns, without adding up how many columns two sets share: a pair of one
+shared column is dropped when its sizes and where that column stands leave too few
+shingles for the threshold, or when the numbers of their shingles in each of many hash
+ranges do.  Pairs left are made distinct and compared in full.
 
 A column with many members isn't multiplied out into rows.  First each document is
 compared with the smallest member of its columns only, whereupon most of a group shares
 a component.  Columns with several components left are then cut into blocks of members;
 a task multiplies two blocks at a time on arrays, skips pairs within a component, and
 passes on only the pairs that the bounds leave.
+
+That finds components.  Links are counted afterwards within each component, where the
+overlaps of all its sets are added up column by column.
 """
 
 from __future__ import annotations
