@@ -152,9 +152,13 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Model | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns.
+
+    All rows stay where nothing could be learnt: ``fit`` gives 0.5 without rows only, and 0
+    or 1 where all labels are the same.
+    """
     if not isinstance(model, Model):
-        return docs if model >= threshold else docs.limit(0)
+        return docs if model == 0.5 or model >= threshold else docs.limit(0)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import corpus_pipeline as pipeline
+from sumlattice.llm import classifier
 
 
 def test_stages(spark):
@@ -9,3 +10,11 @@ def test_stages(spark):
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
     for _, f in pipeline.STAGES[1:4]:
         assert f(spark, docs.limit(0), path).columns == docs.columns and f(spark, docs.limit(0), path).count() == 0
+
+
+def test_quality_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a clean text"), (2, None)], "doc_id long, text string")
+    for labels in ([], [(7, 1)]):  # none at all, none of these documents
+        model = classifier.trained(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert {r["doc_id"] for r in classifier.keep_good(spark, docs, model).collect()} == {1, 2}
+    assert classifier.keep_good(spark, docs, 0.0).count() == 0 and classifier.keep_good(spark, docs, 1.0).count() == 2
