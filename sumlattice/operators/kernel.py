@@ -148,7 +148,7 @@ def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], mi
     """
     rows = counts.limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct rows and folds; search fewer candidates")
+        raise ValueError(f"more than {MAX_PATTERNS} distinct rows and folds; use the relational plan")
     names, levels = [*items], level_sizes(len(items), min_items, max_items)
     place = {x: u for u, x in enumerate(dict.fromkeys(tuple(r["x"]) for r in rows))}
     groups = sorted({(r["repeat"], r["fold"]) for r in rows})

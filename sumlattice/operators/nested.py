@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.combos import candidates as subsets
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, choice
 from ..sources.staging import staged
 from . import kernel
@@ -102,6 +103,7 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
 
     For very many candidates give ``space`` (items, min_items, max_items) instead: the
     kernel searches it for all folds at once, and only what it keeps is scored as a plan.
+    Where the kernel can't hold the patterns, all of ``space`` is scored as a plan.
 
     Search, cutoffs and choice see an outer fold's training rows only; the chosen set
     meets its test rows once.
@@ -109,13 +111,15 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
     choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method")
     folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
     k = folds.agg(F.max("fold")).first()[0]
+    counts = compress(folds, ["repeat", "fold"])
+    if space is not None and counts.limit(kernel.MAX_PATTERNS + 1).count() > kernel.MAX_PATTERNS:
+        candidates, space = subsets(rows.sparkSession, *space), None  # more than the kernel holds: the plan, whose results are equal
     if space is None:
         search, test = train_search(folds, candidates, method)
         kept = first_per(search, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n)
         kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
     else:
         order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
-        counts = compress(folds, ["repeat", "fold"])
         found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method)
         kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
         pool = kept.select("combo_id", "n_items", "item_idx").distinct()  # preselect_top_n for each fold at most

@@ -142,6 +142,15 @@ def test_nested_and_analysis(spark, tmp_path):
     assert sorted(one.outer_results.collect()) == sorted(two.outer_results.collect())
 
 
+def test_nested_beyond_the_kernel(spark, clear, monkeypatch):
+    rows = prepare.strict(clear, "y", ["q1", "q2"], row_id="row_id")
+    want = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
+    want = sorted(want.outer_results.collect())
+    monkeypatch.setattr(nested.kernel, "MAX_PATTERNS", 3)
+    got = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
+    assert sorted(got.outer_results.collect()) == want and len(want) == 2
+
+
 def test_store_and_cache(spark, weak, tmp_path):
     run = lambda **kw: search.brute_force(weak, "y", ["Q1", "Q2", "Q3"], **kw)
     plain = run(top_n=None)
