@@ -45,7 +45,7 @@ STAGES = [
     ("PII", personal_data),
     ("best-fit packing", sequences),
 ]
-#: Stages that learn, sketch and encode have no SQL; tests hold run() against a plain version.
+#: Stages that learn, sketch and encode have no SQL; no test holds run() against a plain version yet.
 ORACLE_SQL = None
 
 
