@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, where the session allows more; one row at least.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep rows of long texts from meeting in one large Arrow batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Stage:
     """Tables of one operator run, written to the shared folder and read back.
 
@@ -30,6 +41,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: list[DataFrame] = []
@@ -72,12 +84,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows up to which a table of ids is broadcast rather than shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of ids and other values of fixed width up to which a table is broadcast rather than shuffled: 20 MB about.
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if its rows were counted and are few; else Spark shuffles both sides."""
+    """A table of ids or digests with a broadcast hint if its rows were counted and are few; else Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 

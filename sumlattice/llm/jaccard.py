@@ -1,21 +1,22 @@
-"""N-gram Jaccard join: a prefix-filter join of sets of n-grams, and a blocked sparse product for link counts.
+"""N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 Of each distinct set of shingles one representative takes part.  Shingles have one
-order, rare ones first, and of a set only so many of the first count as columns
-that two sets above the threshold must share one of them.  Pairs are taken block by
-block of columns, without adding up how many columns two sets share: a pair of one
-shared column is dropped when its sizes and where that column stands leave too few
-shingles for the threshold, or when the numbers of their shingles in each of many hash
-ranges do.  Pairs left are made distinct and compared in full.
-
-A column with many members isn't multiplied out into rows.  First each document is
-compared with the smallest member of its columns only, whereupon most of a group shares
-a component.  Columns with several components left are then cut into blocks of members;
-a task multiplies two blocks at a time on arrays, skips pairs within a component, and
-passes on only the pairs that the bounds leave.
+order, rare ones first, and of a set only so many of the first count as columns that
+two sets above the threshold must share one of them.  A column belongs to the block of
+its smallest member, so that the columns of a group of near copies lie in one block.
+A task multiplies a block's incidence with its transpose on arrays, which adds up how
+many of its columns each two members share; the counts of all blocks are added up for
+each pair.  A pair is discarded as soon as its count, with all that other blocks and the
+shingles behind the columns could add, stays below what its sizes ask for.  What is left
+is compared in full.
+
+No rows are made for the pairs of a group: each member is first held against the
+smallest member of its blocks only, whereupon most of a group shares a component, and
+the product then passes over pairs within a component.  Large blocks are cut, and two
+parts at a time are multiplied.
 
 That finds components.  Links are counted afterwards within each component, where the
-overlaps of all its sets are added up column by column.
+overlaps of all its sets are added up column by column, again on arrays.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -38,17 +39,15 @@ FREQUENT = 50_000
 #: Shingles for each hash range that a set's counts are kept of, and ranges at most.
 PER_RANGE = 2
 MAX_RANGES = 8192
-#: Ranges that each member of a column carries counts of into the product, at most.
-BLOCK_RANGES = 64
 COUNT_ROWS = 4096
-#: Members of a column that stand in a block, about.
-BLOCK = 256
-#: Sets, and shingles of all of them, that stand in a block when a component's links are counted, about.
-GROUP = 2048
+#: Members of a block that stand in a part of it, about.
+BLOCK = 1024
+#: Sets, and shingles of all of them, that stand in a part when a component's links are counted, about.
+GROUP = 1024
 GROUP_SHINGLES = 1 << 19
 #: Columns that are multiplied at once as a dense matrix, pairs that are added up at once, and how full a dense column is.
-DENSE = 4096
-PAIRS = 1 << 22
+DENSE = 2048
+PAIRS = 1 << 21
 FULL = 200
 
 
@@ -68,9 +67,8 @@ def _frequent(texts: DataFrame, size: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
 
         for b in words.grouped(batches, 0):
-            w = words.find(b.column(0), lower=True)
-            held += [words.shingle_set(w.of(i), size) for i in range(len(w))]
-            rows += len(w)
+            held += words.find(b.column(0), lower=True).shingle_sets(size)
+            rows += b.num_rows
             if rows >= COUNT_ROWS:
                 yield flush()
                 held, rows = [], 0
@@ -81,32 +79,33 @@ def _frequent(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _columns(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(id, n, set, counts, columns): size, digest and counts of each document's set, and its first shingles in the order."""
+    """(id, n, set, counts, columns, late, last): size, digest and counts of each document's set, its first shingles in the order, and where the last of them stands."""
     order = np.argsort(frequent, kind="stable")
     shared = texts.sparkSession.sparkContext.broadcast((frequent[order], len(frequent) - order))  # FREQUENT rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, weight = shared.value
         for b in words.grouped(batches, 1):
-            w = words.find(b.column(1), lower=True)
-            n, digest, columns, ranges, few = [], [], [], [], []
-            for i in range(len(w)):
-                s = words.shingle_set(w.of(i), size)
-                ranges.append(counts(s)), few.append(coarse(ranges[-1]))
+            n, digest, columns, ranges, lates, lasts = [], [], [], [], [], []
+            for s in words.find(b.column(1), lower=True).shingle_sets(size):
+                ranges.append(counts(s))
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 # Any set that overlaps in ceil(percent % of n) or more has one of these.
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                late = np.zeros(len(s), np.int64)
                 if len(often) and len(s):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     late = np.where(often[at] == s, weight[at], 0)
-                    s = s[np.argsort(late, kind="stable")] if late.any() else s
+                    by = np.argsort(late, kind="stable")
+                    s, late = s[by], late[by]
                 columns.append(s[:keep].view(np.int64))
+                lates.append(int(late[keep - 1]) if keep else 0), lasts.append(int(s[keep - 1]) - (1 << 63) if keep else 0)  # signed, in the same order
             ends = np.cumsum([0, *map(len, columns)]).astype(np.int32)
             flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.array(few, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "set", "counts", "coarse", "columns"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(lates, pa.int64()), pa.array(lasts, pa.int64())], ["id", "n", "set", "counts", "columns", "late", "last"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, counts binary, coarse binary, columns array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, set binary, counts binary, columns array<long>, late long, last long")
 
 
 def counts(s: np.ndarray) -> bytes:
@@ -115,16 +114,6 @@ def counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def coarse(kept: bytes) -> bytes:
-    """The same counts in at most BLOCK_RANGES ranges."""
-    c = np.frombuffer(kept, np.uint8)
-    if len(c) <= BLOCK_RANGES:
-        return kept
-    wide = c.astype(np.int64)
-    wide[c == 255] = 255  # stays at least 255
-    return np.minimum(wide.reshape(BLOCK_RANGES, -1).sum(1), 255).astype(np.uint8).tobytes()
-
-
 def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     """A number that two sets of these counts and sizes can't have more shingles in common than."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -154,8 +143,7 @@ def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
         def sets_of(column: pa.Array) -> list[np.ndarray]:
-            w = words.find(column, lower=True)
-            return [words.shingle_set(w.of(i), size) for i in range(len(w))]
+            return words.find(column, lower=True).shingle_sets(size)
 
         for b in words.grouped(words.grouped(batches, 2), 3):
             a_ids, a_first = np.unique(b.column(0).to_numpy(), return_index=True)
@@ -174,49 +162,84 @@ def _compare(stage: Stage, pairs: DataFrame, sets: DataFrame, texts: DataFrame,
     return stage.write(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _memberships(stage: Stage, sets: DataFrame) -> DataFrame:
+    """(hub, rep, keys, own, total, n, p, late, last): the columns of each set in each block that it is a member of.
+
+    A block is named after its smallest member, the hub.  ``own`` counts the set's
+    columns in the block, ``total`` those in all blocks and ``p`` all its columns;
+    columns of one member join nothing and are in no block.
+    """
+    cell = sets.select("rep", F.explode("columns").alias("key"))
+    shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
+    cells = cell.join(stage.write(shared, "shared"), "key").withColumn("total", F.count("*").over(Window.partitionBy("rep")))
+    members = cells.groupBy("rep", "hub").agg(F.collect_list("key").alias("keys"), F.first("total").alias("total"))  # of one set: no more than its columns
+    facts = sets.select("rep", "n", F.size("columns").cast("long").alias("p"), "late", "last")
+    return members.join(facts, "rep").select("hub", "rep", "keys", F.size("keys").cast("long").alias("own"), "total", "n", "p", "late", "last")
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of each member with its blocks' hubs, unless the counts in the block already rule them out."""
+    facts = ("own", "total", "n", "p", "late", "last")
+    hubs = members.where("rep = hub").select("hub", *(F.col(c).alias(f"hub_{c}") for c in facts))
+    both = members.where("rep <> hub").select("hub", "rep", *facts).join(hubs, "hub")
+    behind, hub_behind = F.col("n") - F.col("p"), F.col("hub_n") - F.col("hub_p")
+    here, there = F.struct("late", "last"), F.struct(F.col("hub_late"), F.col("hub_last"))
+    behind = F.when(here < there, behind).when(here > there, hub_behind).otherwise(F.least(behind, hub_behind))
+    most = F.col("own") + F.least(F.col("total") - F.col("own"), F.col("hub_total") - F.col("hub_own")) + behind
+    asked = F.lit(percent) * (F.col("n") + F.col("hub_n"))
+    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    return both.where(near & (F.lit(100 + percent) * most >= asked)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def _product(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, that the bounds leave of the pairs within ``x`` or, where ``y`` isn't null, between ``x`` and ``y``."""
-
-    def columns(m: pa.StructArray) -> tuple[np.ndarray, ...]:
-        rep, n, at, root = (m.field(c).to_numpy() for c in ("rep", "n", "at", "root"))
-        order = np.argsort(n, kind="stable")
-        kept = m.field("coarse").to_pylist()
-        return rep[order], n[order], at[order], root[order], [kept[i] for i in order]
-
-    def folded(kept: list[bytes], width: int) -> np.ndarray:
-        out = np.empty((len(kept), width), np.int32)
-        for i, c in enumerate(kept):
-            v = np.frombuffer(c, np.uint8).astype(np.int32)
-            v[v == 255] = 1 << 20  # more than 254: no bound
-            out[i] = v.reshape(width, -1).sum(1)
-        return out
+    """(a, b, common, asked), a < b: columns that two members share within ``x`` or, where ``y`` isn't null, between ``x`` and ``y``.
+
+    ``asked`` is how many they must share in all blocks together.  Pairs that can't reach
+    it whatever other blocks add, and pairs within a component, are left out.
+    """
+
+    def columns(m: pa.StructArray) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+        keys = m.field("keys")
+        ends, flat = keys.offsets.to_numpy(), keys.values.to_numpy().view(np.uint64)
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], {c: m.field(c).to_numpy() for c in ("rep", "root", "own", "total", "n", "p", "late", "last")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = [], []
             for x, y in zip(batch.column(0), batch.column(1)):
-                a_rep, a_n, a_at, a_root, a_counts = columns(x.values)
-                same = not y.is_valid
-                b_rep, b_n, b_at, b_root, b_counts = (a_rep, a_n, a_at, a_root, a_counts) if same else columns(y.values)
-                for i in range(len(a_rep)):
-                    # Sizes ascend: those near enough stand together.
-                    lo = np.searchsorted(b_n, -(-percent * a_n[i] // 100), "left")
-                    hi = np.searchsorted(b_n, 100 * a_n[i] // percent, "right")
-                    if same:
-                        lo = max(lo, i + 1)
-                    j = np.arange(lo, max(lo, hi))
-                    n, m = a_n[i], b_n[j]
-                    most = np.minimum(a_at[i], b_at[j]) + 1 + np.minimum(n - 1 - a_at[i], m - 1 - b_at[j])
-                    j = j[(b_root[j] != a_root[i]) & (b_rep[j] != a_rep[i]) & ((100 + percent) * most >= percent * (n + m))]
-                    if len(j):
-                        width = min(len(a_counts[i]), min(len(b_counts[k]) for k in j))
-                        most = np.minimum(folded([a_counts[i]], width), folded([b_counts[k] for k in j], width)).sum(1)
-                        j = j[(100 + percent) * most >= percent * (n + b_n[j])]
-                        first.append(np.minimum(a_rep[i], b_rep[j])), second.append(np.maximum(a_rep[i], b_rep[j]))
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
+                a_keys, a = columns(x.values)
+                b_keys, b = columns(y.values) if y.is_valid else (a_keys, a)
+                n, m = a["n"][:, None], b["n"][None]
+                live = (a["root"][:, None] != b["root"][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                if not y.is_valid:
+                    live = np.triu(live, 1)
+                if not live.any():
+                    continue
+                common = overlaps(a_keys, b_keys)
+                # Shingles behind the columns: those of the set whose last column comes first.
+                place = np.unique(np.stack([np.append(a["late"], b["late"]), np.append(a["last"], b["last"])], 1), axis=0, return_inverse=True)[1].ravel()
+                i, j = place[: len(a_keys), None], place[None, len(a_keys) :]
+                s, t = (a["n"] - a["p"])[:, None], (b["n"] - b["p"])[None]
+                asked = -(-percent * (n + m) // (100 + percent)) - np.where(i < j, s, np.where(i > j, t, np.minimum(s, t)))
+                rest = np.minimum((a["total"] - a["own"])[:, None], (b["total"] - b["own"])[None])
+                at, to = np.nonzero(live & (common > 0) & (common + rest >= asked))
+                if len(at):
+                    first, second = a["rep"][at], b["rep"][to]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(common[at, to]), pa.array(asked[at, to])], ["a", "b", "common", "asked"])
+
+    return blocks.mapInArrow(run, "a long, b long, common long, asked long")
+
+
+def _parts(stage: Stage, members: DataFrame, key: str, label: str) -> DataFrame:
+    """(x, y) of all parts of each ``key`` and all pairs of its parts; ``y`` is null for a part by itself.
+
+    ``members`` has (key, part, parts, m).  A part goes to each of the others once.
+    """
+    parts = stage.write(members.groupBy(key, "part").agg(F.first("parts").alias("parts"), F.collect_list("m").alias("m")), label)
+    alone = parts.select(F.col("m").alias("x"), F.lit(None).cast(parts.schema["m"].dataType).alias("y"))
+    many = parts.where("parts > 1")
+    x = many.select(key, F.col("part").alias("i"), F.col("m").alias("x"))
+    y = many.where("part > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("part").cast("long") - 1)).alias("i"), F.col("m").alias("y"))
+    return alone.unionAll(x.join(y, [key, "i"]).select("x", "y"))
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -273,21 +296,15 @@ def _degrees(stage: Stage, sets: DataFrame, roots: DataFrame, texts: DataFrame,
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.grouped(batches, 0):
-            w = words.find(b.column(0), lower=True)
-            found = [words.shingle_set(w.of(i), size).tobytes() for i in range(len(w))]
+            found = [s.tobytes() for s in words.find(b.column(0), lower=True).shingle_sets(size)]
             own = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(found, b.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.binary())], ["set", "root", "blocks", "shingles"]).filter(own)
 
     own = texts.join(small(large), F.col("id") == F.col("rep")).select("text", "set", "root", "blocks").mapInArrow(shingles, "set binary, root long, blocks long, shingles binary")
-    own = own.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))).repartition("root", "block")
-    # Rows may repeat, a set stands in its block once.
-    own = own.groupBy("root", "block", "set").agg(F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
-    blocks = stage.write(own.groupBy("root", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("set", "shingles")).alias("m")), "group-blocks")
-    alone = blocks.where("blocks = 1").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
-    many = blocks.where("blocks > 1")
-    x = many.select("root", F.col("block").alias("i"), F.col("m").alias("x"))
-    y = many.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block").cast("long"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
-    crossed = x.join(y, ["root", "i"]).select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    # Rows may repeat, a set stands in its part once.
+    own = own.groupBy("root", "part", "set").agg(F.first("blocks").alias("parts"), F.first("shingles").alias("shingles"))
+    both = _parts(stage, own.select("root", "part", "parts", F.struct("set", "shingles").alias("m")), "root", "group-parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(m: pa.StructArray) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
@@ -309,7 +326,7 @@ def _degrees(stage: Stage, sets: DataFrame, roots: DataFrame, texts: DataFrame,
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(np.concatenate(degree).astype(np.int64))], ["set", "n_links"])
 
-    counted = alone.unionAll(crossed).mapInArrow(run, "set binary, n_links long")
+    counted = both.mapInArrow(run, "set binary, n_links long")
     return stage.write(counted.unionAll(two).groupBy("set").agg(F.sum("n_links").alias("n_links")), "degrees")
 
 
@@ -328,35 +345,23 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     every = stage.write(_columns(texts, _frequent(texts, size), size, percent), "columns")
     full = every.where("n > 0 AND id IS NOT NULL")
-    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse"), F.first("columns").alias("columns")), "sets")
-    cell = sets.select("rep", "n", F.posexplode("columns").alias("at", "key"))
-    # Columns of one member join nothing.
-    shared = cell.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    cells = stage.write(cell.join(stage.write(shared, "shared"), "key").select("key", "rep", "n", "at", "hub"), "cells")
-    hubs, cells = cells.where("rep = hub").select("key", "rep", "n", "at"), cells.where("rep <> hub")
+    sets = stage.write(full.groupBy("set").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "counts", "columns", "late", "last"))), "sets")
+    members = stage.write(_memberships(stage, sets), "members")
     stage.release()
 
-    # First each document against the smallest member of its columns.
-    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = cells.groupBy("rep", "n").agg(F.min("hub").alias("hub")).join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(near)
-    links = _compare(stage, stage.write(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "pairs"), sets, texts, size, percent)
+    # First each set against the smallest member of its blocks.
+    links = _compare(stage, stage.write(_stars(members, percent), "pairs"), sets, texts, size, percent)
     roots = stage.write(components(stage, links), "roots")
     stage.release()
 
-    # Then the columns whose members lie in different components, block by block.
-    members = cells.select("key", "rep", "n", "at").unionByName(hubs).join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    members = stage.write(members, "members")
-    several = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
-    several = stage.write(several.select("key", F.ceil(F.col("k") / BLOCK).alias("blocks")), "several")
-    members = members.join(several, "key").join(sets.select("rep", "coarse"), "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    blocks = members.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("rep", "n", "at", "root", "coarse")).alias("m"))
-    blocks = stage.write(blocks, "blocks")
-    alone = blocks.where("blocks = 1").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
-    many = blocks.where("blocks > 1")
-    x, y = many.select("key", F.col("block").alias("i"), F.col("m").alias("x")), many.select("key", F.col("block").alias("j"), F.col("m").alias("y"))
-    crossed = x.join(y, "key").where("i <= j").select("x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
-    pairs = stage.write(_product(alone, percent).unionAll(_product(crossed, percent)).distinct(), "pairs")
+    # Then the blocks whose members lie in different components.
+    members = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    several = members.groupBy("hub").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
+    members = members.join(several.select("hub", F.ceil(F.col("k") / BLOCK).alias("parts")), "hub")
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    both = _parts(stage, members.select("hub", "part", "parts", F.struct("rep", "root", "own", "total", "n", "p", "late", "last", "keys").alias("m")), "hub", "parts")
+    counted = _product(both, percent).groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("asked").alias("asked"))
+    pairs = stage.write(counted.where("common >= asked").select("a", "b"), "pairs")
     new = _compare(stage, pairs, sets, texts, size, percent)
     if not new.isEmpty():
         roots = stage.write(components(stage, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new)), "roots")
@@ -386,7 +391,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark, table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return join(spark, table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
@@ -395,7 +400,7 @@ ORACLES = {
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)])
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
 ), cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
 links AS (
@@ -403,6 +408,12 @@ links AS (
   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
 ), sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
-least_id AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_id ON id = doc_id"""
+least_id AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+alike AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS set_id FROM s),
+counted AS (
+  SELECT x.doc_id, count(DISTINCT y.set_id) AS n_links
+  FROM sides JOIN alike x ON x.doc_id = sides.a JOIN alike y ON y.doc_id = sides.b WHERE x.set_id <> y.set_id GROUP BY x.doc_id
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM s JOIN least_id ON id = s.doc_id LEFT JOIN counted ON counted.doc_id = s.doc_id"""
 }

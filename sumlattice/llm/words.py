@@ -1,14 +1,20 @@
 """Words, shingles and windows of whole batches of texts as arrays of 64-bit hashes.
 
-A word is a run of bytes other than the space and the bytes 9 to 13.  Its hash is a
-polynomial over the bytes with random odd 64-bit values for each of them, taken from
-running sums, so that a batch costs a few array operations whatever its texts are.
+A word is a run of bytes other than the space and the bytes 9 to 13.  The hash of a
+word of up to ``PLACES`` bytes adds up one random number for each byte and place, so
+that a batch costs a few array operations whatever its texts are; longer words, which
+are rare, are hashed one by one.  A window's hash adds up its words' hashes, each times
+a random odd number of its place.  No numbers are powers of one another, so that words
+and windows of a regular build collide no more often than others.  ``base`` chooses
+between independent families of such hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +22,24 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CODE = np.random.default_rng(7919).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_CODE = _CODE.copy()
-_LOWER_CODE[65:91] = _CODE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Bytes of text whose running sums are held at a time.
 PIECE = 1 << 20
-_BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a word that have random numbers of their own.
+PLACES = 64
 
 
-def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd number and of its inverse, modulo 2 to the 64th."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size, out = 1 << max(n, 2).bit_length(), []
-        for value in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
-            steps = np.full(size, value, np.uint64)
-            steps[0] = 1
-            out.append(np.cumprod(steps))
-        _POWERS[base] = (out[0], out[1])
-    a, b = _POWERS[base]
-    return a[:n], b[:n]
+@cache
+def _numbers(base: int) -> np.ndarray:
+    """A random number for each place and byte."""
+    return np.random.default_rng([7919, base]).integers(0, 1 << 64, PLACES * 256, np.uint64)
+
+
+@cache
+def _factors(size: int, base: int) -> np.ndarray:
+    """A random odd number for each word of a window."""
+    return np.random.default_rng([104729, base, size]).integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,6 +65,15 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.key[self.bound[i] : self.bound[i + 1]]
 
+    def windows(self, size: int, base: int = 0) -> list[np.ndarray]:
+        """For each text the hashes of all runs of ``size`` of its words."""
+        every = windows(self.key, size, base)
+        return [every[a : max(a, b - size + 1)] for a, b in zip(self.bound[:-1].tolist(), self.bound[1:].tolist())]
+
+    def shingle_sets(self, size: int) -> list[np.ndarray]:
+        """For each text its ``shingle_set``."""
+        return [np.unique(h) if len(h) else shingle_set(self.of(i), size) for i, h in enumerate(self.windows(size))]
+
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the bounds of its values; null is empty."""
@@ -73,10 +86,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bound[0] : bound[-1]], bound - bound[0]
 
 
-def find(column: pa.Array, lower: bool = False) -> Words:
+def _keys(part: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the words of a piece."""
+    place = np.zeros(len(part), np.int64)
+    place[lo] = lo
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(part)), place, out=place)
+    np.minimum(place, PLACES - 1, out=place)
+    place *= 256
+    place += part
+    sums = np.empty(len(part) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_numbers(base)[place], out=sums[1:])
+    key = mix(sums[hi] - sums[lo])
+    for i in np.flatnonzero(hi - lo > PLACES).tolist():
+        key[i] = int.from_bytes(hashlib.blake2b(part[lo[i] : hi[i]].tobytes(), digest_size=8, salt=bytes([base])).digest(), "little")
+    return key
+
+
+def find(column: pa.Array, lower: bool = False, base: int = 0) -> Words:
     """The words of each text of a column; ``lower`` takes A to Z for a to z."""
     data, bound = buffers(column)
-    code = _LOWER_CODE if lower else _CODE
     begins = np.zeros(len(data) + 1, bool)
     begins[bound] = True
     starts, ends, keys = [], [], []
@@ -99,11 +129,7 @@ def find(column: pa.Array, lower: bool = False) -> Words:
         after = np.append(edge[1:], len(part))
         real = first[edge]
         lo, hi = edge[real], after[real]
-        up, down = powers(len(part))
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(code[part] * up, out=sums[1:])
-        starts.append(lo + at), ends.append(hi + at), keys.append(mix((sums[hi] - sums[lo]) * down[lo] if len(lo) else np.zeros(0, np.uint64)))
+        starts.append(lo + at), ends.append(hi + at), keys.append(_keys(_LOWER[part] if lower else part, lo, hi, base))
         at = to
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
@@ -116,11 +142,11 @@ def windows(key: np.ndarray, size: int, base: int = 0) -> np.ndarray:
     n = len(key) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(key), base)
-    sums = np.empty(len(key) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(key * up, out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size))
+    factor = _factors(size, base)
+    out = key[:n] * factor[0]
+    for j in range(1, size):
+        out += key[j : j + n] * factor[j]
+    return mix(out)
 
 
 def shingle_set(key: np.ndarray, size: int) -> np.ndarray:
