@@ -73,11 +73,12 @@ class Stage:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for at in [self.paths.pop(id(t)) for t in tables if id(t) in self.paths]:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+        self.delete(*[self.paths.pop(id(t)) for t in tables if id(t) in self.paths])
+
+    def delete(self, *paths: str) -> None:
+        for at in paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -234,7 +234,7 @@ def _parts(stage: Stage, members: DataFrame, key: str, label: str) -> DataFrame:
 
     ``members`` has (key, part, parts, m).  A part goes to each of the others once.
     """
-    parts = stage.write(members.groupBy(key, "part").agg(F.first("parts").alias("parts"), F.collect_list("m").alias("m")), label)
+    parts = stage.write(members.repartition(key, "part").groupBy(key, "part").agg(F.first("parts").alias("parts"), F.collect_list("m").alias("m")), label)
     alone = parts.select(F.col("m").alias("x"), F.lit(None).cast(parts.schema["m"].dataType).alias("y"))
     many = parts.where("parts > 1")
     x = many.select(key, F.col("part").alias("i"), F.col("m").alias("x"))

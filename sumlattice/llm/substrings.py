@@ -1,19 +1,25 @@
 """Substring deduplication on a log-structured index of window fingerprints.
 
-The index is a list of runs: immutable tables of window hashes, each sorted by hash
-within its partitions.  A batch of documents is merge-joined with the runs; a hit is
-verified by 32 bits of a second, independent hash of the window's words; hashes not yet known
-become a new run, and runs are compacted into one when there are too many.
-
-Only windows that can repeat get that far.  Of each window one short fingerprint is
-chosen by its words alone (the least hash of its sub-windows), so that equal windows
-choose the same; a window whose fingerprint occurs once in the corpus occurs once.
-Documents that equal an earlier one word for word are removed whole beforehand.
+The index is a folder of runs: immutable bucketed tables, each sorted by hash, of which
+a newer one goes before an older one.  A batch of documents is dealt to the buckets once
+and merge-joined with each run, which stay where they are; what the batch adds becomes a
+run, and too many runs are compacted into one.  An index outlives its session: a later
+batch, given the folder and the documents added so far, is deduplicated against them.
+
+Of each window one fingerprint is chosen by its words alone (the least hash of its
+sub-windows), so that equal windows choose the same.  Fingerprint runs have those of
+all windows ever added, with the document where there has been one only; a window
+whose fingerprint was never met before is new.  When a fingerprint is met again, the
+windows behind it, of the one earlier document too, go to window runs, by a hash of
+64 bits; a match is verified by 32 bits of an independent hash of the bytes of its words.
+Documents that equal an earlier one word for word are removed whole beforehand, on runs
+of digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Stage, small, table, with_text
+from .common import Stage, bound_batches, small, table, with_text
 
 #: Words of the sub-windows from which a window's fingerprint is chosen.
 SUB = 6
-#: Batches that one call takes its documents in, by id; and runs from which they are compacted.
-BATCHES = 2
-MAX_RUNS = 4
+#: Batches that one call takes its documents in, by id; and runs of a kind that aren't compacted.
+BATCHES = 3
+MAX_RUNS = 2
 
 
-def anchors(key: np.ndarray, window: int, sub: int = SUB) -> np.ndarray:
-    """For each window of a text, where its chosen sub-window starts (the first least hash)."""
-    h = words.windows(key, sub)
+def anchors(h: np.ndarray, window: int, sub: int = SUB) -> np.ndarray:
+    """For each window of a text, where its chosen sub-window starts: the first least of the hashes ``h`` of its sub-windows."""
     span = window - sub + 1
     if len(h) < span:
         return np.zeros(0, np.int64)
@@ -48,42 +53,139 @@ def anchors(key: np.ndarray, window: int, sub: int = SUB) -> np.ndarray:
     return np.where(take, at[span - step : span - step + n], at[:n])
 
 
+class Runs:
+    """Immutable tables of rows with distinct keys, bucketed and sorted by them, in one folder.
+
+    A run's folder is named after the batches that it holds.  One without Spark's mark of
+    success, or whose batches a complete one holds as well, is left over from a run that
+    broke off and isn't read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str]):
+        self.spark, self.folder, self.schema, self.keys = spark, folder, schema, keys
+        self.tables: dict[str, str] = {}
+        found = []
+        at = self._path(folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            found = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(self._path(f"{folder}/{s.getPath().getName()}/_SUCCESS"))]
+        span = {n: tuple(map(int, n.split("-")[1:3])) for n in found}
+        self.names = sorted(n for n in found if not any(m != n and span[m][0] <= span[n][0] and span[n][1] <= span[m][1] for m in found))
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = f"run_{uuid.uuid4().hex}"
+            by = ", ".join(self.keys)
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({self.schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(name.split('-')[3])} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(self.tables[name])
+
+    def every(self) -> list[DataFrame]:
+        return [self.read(n) for n in self.names]
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> str:
+        """Rows that were dealt by key are written where they are, as they then lie by bucket."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"run-{first:06d}-{last:06d}-{buckets}"
+        self.tables[name] = f"run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.folder}/{name}").saveAsTable(self.tables[name])
+        return name
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        number = 1 + max((int(n.split("-")[2]) for n in self.names), default=0)
+        self.names.append(self._write(rows, number, number))
+        return self.read(self.names[-1])
+
+    def compact(self, merged) -> None:
+        """One run in place of all; ``merged`` makes one row of those of a key."""
+        rows = None
+        for run in self.every():
+            rows = run if rows is None else rows.unionByName(run)
+        old = self.names
+        self.names = [self._write(merged(rows), int(old[0].split("-")[1]), int(old[-1].split("-")[2]))]
+        self.forget(*old)
+        for n in old:
+            at = self._path(f"{self.folder}/{n}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def forget(self, *names: str) -> None:
+        """Take runs off the session's catalog; their files stay."""
+        for n in names or [*self.tables]:
+            if n in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
+
+
 class FingerprintIndex:
-    """Runs of (key, check): the windows of all documents added so far."""
-
-    def __init__(self, stage: Stage, max_runs: int = MAX_RUNS):
-        self.stage, self.max_runs = stage, max_runs
-        self.runs: list[DataFrame] = []
-
-    def known(self) -> DataFrame | None:
-        """All runs as one table; they have no hash in common."""
-        out = None
-        for run in self.runs:
-            out = run if out is None else out.unionAll(run)
-        return out
-
-    def add(self, fresh: DataFrame) -> None:
-        """Append hashes that are in no run as a sorted run, and compact if there are many."""
-        self.runs.append(self.stage.write(fresh.select("key", "check").sortWithinPartitions("key", "check"), "run"))
-        if len(self.runs) > self.max_runs:
-            old = self.runs
-            self.runs = [self.stage.write(self.known().repartition("key", "check").sortWithinPartitions("key", "check"), "compacted")]
-            self.stage.drop(*old)
-
-    def match(self, batch: DataFrame) -> DataFrame:
-        """(key, check, first, hist): of each window of the batch its first place, and whether a run has it.
-
-        ``batch`` has (key, check, doc_id, pos).  New windows are added to the index.
+    """Fingerprints, repeated windows and digests of all documents added so far, in ``folder``."""
+
+    def __init__(self, spark: SparkSession, folder: str, window: int = 20, max_runs: int = MAX_RUNS):
+        self.spark, self.window, self.max_runs = spark, window, max_runs
+        self.fingerprints = Runs(spark, f"{folder}/fingerprints", "key BIGINT, doc BIGINT, was BIGINT", ["key"])
+        self.windows = Runs(spark, f"{folder}/windows", "key BIGINT, check INT, doc BIGINT, pos INT, hist BOOLEAN, again BOOLEAN", ["key", "check"])
+        self.wholes = Runs(spark, f"{folder}/wholes", "whole BINARY, first BIGINT, hist BOOLEAN", ["whole"])
+
+    def add(self, stage: Stage, docs: DataFrame, texts: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Add a batch; (id, whole) of its whole copies and (id, starts) of its other repeated windows.
+
+        ``docs`` has what ``_documents`` tells of the batch, ``texts`` its (id, text), and
+        ``history`` those of all earlier batches.  What is in the index goes before the
+        batch; within the batch smaller ids go first.
         """
-        seen = batch.groupBy("key", "check").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-        known = self.known()
-        if known is None:
-            seen = seen.withColumn("hist", F.lit(False))
-        else:
-            seen = seen.join(known.withColumn("hist", F.lit(True)), ["key", "check"], "left").withColumn("hist", F.coalesce("hist", F.lit(False)))
-        seen = self.stage.write(seen, "seen")
-        self.add(seen.where("NOT hist"))
-        return seen.where("hist OR n > 1").select("key", "check", "first", "hist")
+        long = docs.where(f"n >= {self.window} AND id IS NOT NULL")
+        first = long.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        for k, run in enumerate(self.wholes.every()):
+            first = first.join(run.select("whole", F.lit(True).alias(f"there{k}")), "whole", "left")
+        hist = F.coalesce(*(F.col(f"there{k}") for k in range(len(self.wholes.names))), F.lit(False))
+        first = self.wholes.add(first.select("whole", F.when(hist | (F.col("first") < F.col("last")), F.col("first")).alias("first"), hist.alias("hist")))
+        twice = first.where("first IS NOT NULL").withColumnRenamed("first", "first_id")
+        copies = stage.write(long.select("id", "whole").join(twice, "whole").where("hist OR id > first_id").select("id", "whole").distinct(), "copies")
+
+        cells = long.join(small(copies), ["id", "whole"], "left_anti").select("id", F.explode("anchors").alias("key"))
+        seen = cells.groupBy("key").agg(F.min("id").alias("doc"), F.count("*").alias("n"))
+        runs = self.fingerprints.every()
+        for k, run in enumerate(runs):
+            seen = seen.join(run.select("key", F.col("doc").alias(f"doc{k}"), F.lit(True).alias(f"there{k}")), "key", "left")
+        known = F.coalesce(*(F.col(f"there{k}") for k in range(len(runs))), F.lit(False))
+        # Of several documents their windows are in the window runs already.
+        met = [F.coalesce(F.col(f"there{k}") & F.col(f"doc{k}").isNull(), F.lit(False)) for k in range(len(runs))]
+        many = F.greatest(*met, F.lit(False), F.lit(False))
+        one = F.coalesce(*(F.col(f"doc{k}") for k in range(len(runs))), F.lit(None).cast("long"))
+        seen = self.fingerprints.add(seen.select("key", F.when((F.col("n") == 1) & ~known, F.col("doc")).alias("doc"), F.when(known & ~many, one).alias("was")))
+        repeated = seen.where("doc IS NULL")
+        hit = stage.write(cells.join(repeated.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("repeated")), "hit")  # of one document: no more than its words
+        own = texts.join(small(hit.select("id")), "id").join(hit, "id")
+        found = _windows(own, self.window).withColumn("hist", F.lit(False))
+        if history is not None and runs:
+            was = stage.write(repeated.where("was IS NOT NULL").groupBy(F.col("was").alias("id")).agg(F.collect_set("key").alias("repeated")), "was")
+            found = found.unionByName(_windows(history.join(small(was.select("id")), "id").join(was, "id"), self.window).withColumn("hist", F.lit(True)))
+        found = stage.write(found, "windows")
+
+        seen = found.groupBy("key", "check").agg(F.min(F.when(~F.col("hist"), F.struct("id", "pos"))).alias("first"), F.count("*").alias("n"), F.max("hist").alias("hist"))
+        runs = self.windows.every()
+        for k, run in enumerate(runs):
+            seen = seen.join(run.select("key", "check", F.lit(True).alias(f"there{k}")), ["key", "check"], "left")
+        hist = F.col("hist") | F.coalesce(*(F.col(f"there{k}") for k in range(len(runs))), F.lit(False))
+        seen = self.windows.add(seen.select("key", "check", F.col("first.id").alias("doc"), F.col("first.pos").alias("pos"), hist.alias("hist"), (hist | (F.col("n") > 1)).alias("again")))
+        late = found.where("NOT hist").drop("hist").join(seen.where("again").select("key", "check", "hist", F.struct("doc", F.col("pos").alias("at")).alias("first")), ["key", "check"])
+        late = late.where(F.col("hist") | (F.struct("id", "pos") > F.col("first"))).groupBy("id").agg(F.collect_list("pos").alias("starts"))
+        late = stage.write(late, "late")
+        stage.drop(found, hit)
+        if len(self.fingerprints.names) > self.max_runs:
+            self.compact()
+        stage.release()
+        return copies, late
+
+    def compact(self) -> None:
+        none = F.lit(None).cast("long")
+        self.fingerprints.compact(lambda r: r.groupBy("key").agg(F.count("*").alias("n"), F.first("doc").alias("doc")).select("key", F.when(F.col("n") == 1, F.col("doc")).alias("doc"), none.alias("was")))
+        self.windows.compact(lambda r: r.groupBy("key", "check").agg(F.lit(True).alias("again")).select("key", "check", none.alias("doc"), F.lit(None).cast("int").alias("pos"), F.lit(True).alias("hist"), "again"))
+        self.wholes.compact(lambda r: r.groupBy("whole").agg(F.lit(True).alias("hist")).select("whole", none.alias("first"), "hist"))
+
+    def close(self) -> None:
+        for runs in (self.fingerprints, self.windows, self.wholes):
+            runs.forget()
 
 
 def _documents(texts: DataFrame, window: int) -> DataFrame:
@@ -94,11 +196,10 @@ def _documents(texts: DataFrame, window: int) -> DataFrame:
             w = words.find(b.column(1))
             _, bound = words.buffers(b.column(1))
             data, n, digest, whole, found = w.data.tobytes(), [], [], [], []
-            for i in range(len(w)):
+            for i, sub in enumerate(w.windows(SUB)):
                 joined = b" ".join(data[bound[i] : bound[i + 1]].split())
-                key = w.of(i)
-                n.append(len(key)), digest.append(hashlib.sha256(joined).hexdigest()), whole.append(_digest(joined))
-                found.append(words.windows(key, SUB)[np.unique(anchors(key, window))].view(np.int64))
+                n.append(len(w.of(i))), digest.append(hashlib.sha256(joined).hexdigest()), whole.append(_digest(joined))
+                found.append(sub[np.unique(anchors(sub, window))].view(np.int64))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "digest", "whole", "anchors"])
@@ -107,21 +208,20 @@ def _documents(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(own: DataFrame, window: int) -> DataFrame:
-    """(key, check, doc_id, pos) of the windows whose anchor is among ``repeated``."""
+    """(key, check, id, pos) of the windows whose anchor is among ``repeated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.grouped(batches, 1, 1 << 18):
-            w = words.find(b.column(1))
+            w, other = words.find(b.column(1)), words.find(b.column(1), base=1)
             keys, checks, ids, places = [], [], [], []
-            for i, (doc, repeated) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
-                key = w.of(i)
+            for doc, repeated, key, sub, h, check in zip(b.column(0).to_pylist(), b.column(2), map(w.of, range(len(w))), w.windows(SUB), w.windows(window), other.windows(window, 1)):
                 again = np.unique(repeated.values.to_numpy()).view(np.uint64)
-                pos = np.flatnonzero(np.isin(words.windows(key, SUB)[anchors(key, window)], again))
-                keys.append(words.windows(key, window)[pos]), checks.append((words.windows(key, window, 1)[pos] >> np.uint64(32)).astype(np.uint32)), places.append(pos), ids.append(np.full(len(pos), doc))
+                pos = np.flatnonzero(np.isin(sub[anchors(sub, window)], again))
+                keys.append(h[pos]), checks.append((check[pos] >> np.uint64(32)).astype(np.uint32)), places.append(pos), ids.append(np.full(len(pos), doc))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(checks).view(np.int32)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "check", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(checks).view(np.int32)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "check", "id", "pos"])
 
-    return own.select("id", "text", "repeated").mapInArrow(run, "key long, check int, doc_id long, pos int")
+    return own.select("id", "text", "repeated").mapInArrow(run, "key long, check int, id long, pos int")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -148,49 +248,42 @@ def _digest(joined: bytes) -> bytes:
     return hashlib.blake2b(joined, digest_size=16).digest()
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, batches: int = BATCHES) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, batches: int = BATCHES, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, whole, n_words, n_removed, kept_sha256, kept) of every document.
 
     A word goes if a window of ``window`` words that covers it starts earlier too, in
     a document of smaller id or further up in its own.  ``kept`` is what is left, words
     joined by one space, where something was removed, else null; ``whole`` is a digest of
-    the document's words.  A null text has no words.  Rows that repeat an id and a text
-    are alike and none of them is the earlier one; if an id has several texts, what
-    repeats in one of them goes from all at that place.  Rows without id are kept whole
-    and are no source.  Extra columns aren't read; an empty table gives no rows.
+    the document's words.  A null text has no words, and texts may be of any length.  Rows
+    that repeat an id and a text are alike and none of them is the earlier one; if an id
+    has several texts, what repeats in one of them goes from all at that place.  Rows
+    without id are kept whole and are no source.  Extra columns aren't read; an empty
+    table gives no rows.
+
+    With a folder ``index`` the documents are added to the index there, and all that
+    earlier calls added goes before them; ``history`` must then have the rows of those
+    calls, in the same columns.
     """
+    bound_batches(spark)
     stage = Stage(spark, "substrings")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    old = history.select(history[id_col].cast("long").alias("id"), history[text_col].alias("text")).where("id IS NOT NULL") if history is not None else None
     every = stage.write(_documents(texts, window), "documents")
-    long = every.where(f"n >= {window} AND id IS NOT NULL")
-    first = long.groupBy("whole").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("whole", "first_id")
-    copies = stage.write(long.select("id", "whole").join(small(stage.write(first, "first")), "whole").where("id > first_id").select("id", "whole").distinct(), "copies")
-    copies = small(copies)
-    cells = long.join(copies, ["id", "whole"], "left_anti").select("id", F.explode("anchors").alias("anchor"))
-    repeated = stage.write(cells.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
-    hit = stage.write(cells.join(small(repeated), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated")), "hit")
-    own = stage.write(texts.join(small(hit), "id"), "texts")  # anchors of one document: no more than its words
-    stage.release()
-
-    index, dup = FingerprintIndex(stage), None
-    edges = hit.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    bounds = [None, *map(int, edges), None] if len(edges) == batches - 1 else [None, None]
+    runs = FingerprintIndex(spark, index or f"{stage.root}/index", window)
+    edges = every.where("id IS NOT NULL").approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    bounds = [None, *sorted({*map(int, edges)}), None]
+    copies = dup = None
     for lo, hi in zip(bounds, bounds[1:]):
-        batch = own
-        if lo is not None:
-            batch = batch.where(F.col("id") > lo)
-        if hi is not None:
-            batch = batch.where(F.col("id") <= hi)
-        found = _windows(batch, window)
-        known = index.match(found)
-        late = _windows(batch, window).join(known, ["key", "check"]).where("hist OR struct(doc_id, pos) > first").select("doc_id", "pos")
-        late = stage.write(late.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "late")
-        dup = late if dup is None else dup.unionAll(late)
-        stage.release()
-    cut = own.join(dup.withColumnRenamed("doc_id", "id"), "id")
+        within = F.lit(True) if lo is None else F.col("id") > lo
+        within = within if hi is None else within & (F.col("id") <= hi)
+        before = None if lo is None else texts.where(F.col("id") <= lo)
+        before = before if old is None else old if before is None else old.unionByName(before)
+        found = runs.add(stage, every.where(within), texts.where(within), before)
+        copies, dup = found if dup is None else (copies.unionByName(found[0]), dup.unionByName(found[1]))
+    cut = texts.join(small(dup.select("id")), "id").join(dup, "id")
     changed = stage.write(_cut(cut, window), "changed").dropDuplicates(["id", "whole"])
     changed = changed.select("id", "whole", F.col("n_removed").alias("r"), F.col("digest").alias("d"), F.col("kept").alias("k"))
-    out = every.select("id", "n", "digest", "whole").join(copies.withColumn("copy", F.lit(True)), ["id", "whole"], "left").join(changed, ["id", "whole"], "left")
+    out = every.select("id", "n", "digest", "whole").join(small(copies).withColumn("copy", F.lit(True)), ["id", "whole"], "left").join(changed, ["id", "whole"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
     out = out.select(
         F.col("id").alias("doc_id"), "whole", F.col("n").alias("n_words"),
@@ -198,7 +291,11 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("d", "digest")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit("")).otherwise(F.col("k")).alias("kept"),
     )
-    return stage.finish(out)
+    out = stage.finish(out)
+    runs.close()
+    if index is None:
+        stage.delete(f"{stage.root}/index")
+    return out
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sumlattice.llm import components, jaccard, substrings, words
 from sumlattice.llm.common import Stage
@@ -148,10 +149,37 @@ def test_substrings_against_plain(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in substrings.dedup(spark, alone).collect()} == {(None, 0), (1, 38)}
 
 
-def test_index_compacts(spark):
-    index = substrings.FingerprintIndex(Stage(spark, "t"), max_runs=2)
-    for k in range(5):
-        batch = spark.createDataFrame([(key, 0, k, 0) for key in range(k * 10, k * 10 + 15)], "key long, check int, doc_id long, pos int")
-        known = {r["key"] for r in index.match(batch).where("hist").collect()}
-        assert known == ({*range(k * 10, k * 10 + 5)} if k else set())
-    assert len(index.runs) <= 2 + 1 and index.known().count() == 55
+def test_index_across_calls(spark, tmp_path):
+    rows = corpus(5)[:-4]  # ids ascend
+    df = spark.createDataFrame(rows, "doc_id long, text string, whole string")
+    got, n = set(), len(rows)
+    for k, (lo, hi) in enumerate(((0, n // 4), (n // 4, n // 2), (n // 2, 3 * n // 4), (3 * n // 4, n))):
+        part = lambda a, b: spark.createDataFrame(rows[a:b], df.schema).repartition(3)
+        found = substrings.dedup(spark if k < 2 else spark.newSession(), part(lo, hi), batches=1, index=str(tmp_path / "index"), history=part(0, lo) if lo else None)
+        got |= {tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
+    assert got == cut(rows, 20)
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert [len(r.names) for r in (index.fingerprints, index.windows, index.wholes)] == [2, 2, 2]  # three were compacted
+    batch = spark.range(5).select("id", F.col("id").alias("key")).groupBy("key").count()
+    plan = batch.join(index.fingerprints.every()[0].hint("merge"), "key")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1  # of the batch; the run stays where it is
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_words_differ(spark):
+    flip = str.maketrans("ab", "ba")
+    for n in (64, 1024, 4096):
+        x = thue_morse(n)
+        keys = words.find(pa.array([f"{x} {x.translate(flip)} {x}"])).key
+        assert keys[0] == keys[2] != keys[1]
+    x = thue_morse(2048)
+    y = x.translate(flip)
+    rows = [(1, " ".join([x] * 30)), (2, " ".join([y] * 30)), (3, " ".join([*"abcdefghijklmnopqrstuv", x])), (4, " ".join([*"abcdefghijklmnopqrstuv", y]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r)[:3] for r in jaccard.join(spark, df, size=4, percent=95).collect()} == components_of(rows, 4, 95)
+    assert {tuple(r) for r in substrings.dedup(spark, df, batches=1).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == cut(rows, 20)
