@@ -96,7 +96,8 @@ class Runs:
     def add(self, rows: DataFrame) -> DataFrame:
         number = 1 + max((int(n.split("-")[2]) for n in self.names), default=0)
         self.names.append(self._write(rows, number, number))
-        return self.read(self.names[-1])
+        # Read without its buckets, so that Spark can split the batch's frequent keys in joins with it.
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.names[-1]}")
 
     def compact(self, merged) -> None:
         """One run in place of all; ``merged`` makes one row of those of a key."""
