@@ -1,11 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut into words as the vocabulary's file prescribes.  A word of up to
-``LEAF`` bytes is encoded by the merge loop; a longer one is halved, the halves
-are encoded independently of each other, and a window of tokens around the join
-is encoded again, growing until its outermost tokens are those that both halves
-already had.  A token sequence is the encoding of its bytes exactly when each
-neighbouring pair is, so from there on both sides stand as they are.
+A text isn't split before it is encoded: it is halved, down to leaves of about ``LEAF``
+characters, wherever a half happens to end.  All leaves of a batch are encoded side by
+side as arrays.  Then neighbours are joined, level by level: a window of words around
+each join is encoded again, those of a level side by side, and grows until its
+outermost words and their tokens are those that both sides already had.  Splitting into
+words looks ahead only, so from there on both sides stand as they are.
+
+A single word of over ``WORD_LEAF`` bytes is halved likewise, with windows of tokens.  A
+token sequence is the encoding of its bytes exactly when each neighbouring pair is.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -25,12 +29,17 @@ from tokenizers import Tokenizer
 from .common import slices, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of a word from which it is halved.
-LEAF = 48
+#: Characters of a text, and bytes of a word, from which it is halved.
+LEAF = 1024
+WORD_LEAF = 48
+#: Words on either side of a join that its first window has.
+WINDOW = 2
 #: Bytes of a word up to which new words are merged side by side.
 SHORT = 32
+#: Characters of a word that have random numbers of their own.
+PLACES = 64
 #: Words that a worker keeps with their ids; at so many it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 def _byte_chars() -> list[str]:
@@ -100,9 +109,9 @@ class WordBpe:
         return s
 
     def _tree(self, s: list[int]) -> list[int]:
-        if len(s) <= LEAF:
+        if len(s) <= WORD_LEAF:
             return self._merge(s)
-        level = [self._merge(s[at : at + LEAF]) for at in range(0, len(s), LEAF)]
+        level = [self._merge(s[at : at + WORD_LEAF]) for at in range(0, len(s), WORD_LEAF)]
         while len(level) > 1:  # each pass joins neighbours, which are independent of the others
             level = [self._join(*level[at : at + 2]) if at + 1 < len(level) else level[at] for at in range(0, len(level), 2)]
         return level[0]
@@ -112,7 +121,7 @@ class WordBpe:
         while True:
             a, b = left[-k:], right[:k]
             base = [x for t in a + b for x in self.parts[t]]
-            window = self._merge(base) if len(base) <= 8 * LEAF else self._heap(base)
+            window = self._merge(base) if len(base) <= 8 * WORD_LEAF else self._heap(base)
             if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             k *= 2
@@ -148,40 +157,100 @@ class WordBpe:
         return self._tree([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]) if data else []
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text.  Words of all texts are found, looked up and, if new, merged together."""
-        plain = [i for i, t in enumerate(texts) if not _UNSURE.search(t) and "<|" not in t]
-        out: list[np.ndarray] = [_NO_IDS] * len(texts)
-        for at in set(range(len(texts))).difference(plain):
-            out[at] = self._by_library_words(texts[at])
-        if plain:
-            ids, ends = self._plain([texts[i] for i in plain])
-            for i, lo, hi in zip(plain, [0, *ends[:-1]], ends):
-                out[i] = ids[lo:hi]
+        """Ids of each text: its parts between special tokens, normalised, are encoded by tree concatenation."""
+        parts: list[str] = []
+        simple: list[bool] = []
+        plan: list[list[int]] = []  # of each text: parts, and special ids as negative numbers
+        for t in texts:
+            if not _UNSURE.search(t) and "<|" not in t:
+                plan.append([len(parts)])
+                parts.append(t.lower()), simple.append(True)
+                continue
+            own, at = [], 0
+            for m in [*self.special_re.finditer(t), None]:
+                own.append(len(parts))
+                parts.append(self.library.normalizer.normalize_str(t[at : m.start() if m else len(t)])), simple.append(False)
+                if m:
+                    own.append(-1 - self.special[m[0]])
+                    at = m.end()
+            plan.append(own)
+        ids = self._tree_of_texts(parts, simple)
+        return [ids[own[0]] if len(own) == 1 else np.concatenate([ids[k] if k >= 0 else np.array([-1 - k], "<u4") for k in own]) for own in plan]
+
+    def _tree_of_texts(self, parts: list[str], simple: list[bool]) -> list[np.ndarray]:
+        """Ids of each part: leaves, then joins level by level."""
+        stores: list[_Spans] = []
+
+        def encoded(pieces: list[tuple[int, int, int]]) -> list[_Node]:
+            """A node for each piece (part, start, end), all encoded side by side."""
+            stores.append(self._spans(pieces, parts, simple))
+            ends = stores[-1].ends
+            return [_Node([(len(stores) - 1, a, b)] if b > a else []) for a, b in zip([0, *ends[:-1]], ends)]
+
+        cuts = [_leaves(t) for t in parts]
+        leaves = encoded([(k, a, b) for k, c in enumerate(cuts) for a, b in zip(c, c[1:])])
+        level, at = [], 0
+        for c in cuts:
+            level.append(leaves[at : at + len(c) - 1])
+            at += len(c) - 1
+        while True:
+            joins = [(k, i) for k, nodes in enumerate(level) for i in range(0, len(nodes) - 1, 2)]
+            if not joins:
+                break
+            pending, width = [(k, i) for k, i in joins if level[k][i].ranges and level[k][i + 1].ranges], WINDOW
+            made = {(k, i): _Node(level[k][i].ranges + level[k][i + 1].ranges) for k, i in joins}  # a side of white space changes nothing
+            while pending:
+                sides = [(level[k][i].last(width), level[k][i + 1].first(width)) for k, i in pending]
+                pieces = [(k, int(stores[x[0]].lo[x[1]]), int(stores[y[0]].hi[y[2] - 1])) for (k, _), ((_, x, _), (_, y, _)) in zip(pending, sides)]
+                again = []
+                for at, node, (left, x, whole_left), (right, y, whole_right) in zip(pending, encoded(pieces), *zip(*sides)):
+                    s, a, b = node.ranges[0]
+                    same = lambda r, i, q, j: stores[r].lo[i] == stores[q].lo[j] and stores[r].hi[i] == stores[q].hi[j]
+                    if (whole_left or same(s, a, x[0], x[1])) and (whole_right or same(s, b - 1, y[0], y[2] - 1)):
+                        made[at] = _Node(left + node.ranges + right)
+                    else:
+                        again.append(at)
+                pending, width = again, 2 * width
+            level = [[made[k, i] if (k, i) in made else nodes[i] for i in range(0, len(nodes), 2)] for k, nodes in enumerate(level)]
+        out = []
+        for nodes in level:
+            found = [stores[s].ids[stores[s].at[a] : stores[s].at[b]] for n in nodes for s, a, b in n.ranges]
+            out.append(found[0] if len(found) == 1 else np.concatenate(found) if found else _NO_IDS)
         return out
 
+    def _spans(self, pieces: list[tuple[int, int, int]], parts: list[str], simple: list[bool]) -> _Spans:
+        """Words of pieces of parts, with their places in the parts and their ids."""
+        plain, odd = [i for i, p in enumerate(pieces) if simple[p[0]]], [i for i, p in enumerate(pieces) if not simple[p[0]]]
+        texts = [parts[k][a:b] for k, a, b in pieces]
+        n_words = np.zeros(len(pieces), np.int64)
+        lo, hi, n, ids, ends = self._plain([texts[i] for i in plain]) if plain else (_NO_PLACES, _NO_PLACES, _NO_PLACES, _NO_IDS, _NO_PLACES)
+        n_words[plain] = np.diff(ends, prepend=0)
+        if not odd:
+            shift = np.repeat([pieces[i][1] for i in plain], n_words[plain])
+            return _Spans(lo + shift, hi + shift, np.append(0, np.cumsum(n)), ids, ends.tolist())
+        found, at, of = [], np.append(0, np.cumsum(n)), dict(zip(plain, zip([0, *ends.tolist()], ends.tolist())))
+        for i, (_, start, _) in enumerate(pieces):
+            if i in of:
+                a, b = of[i]
+                found.append((lo[a:b] + start, hi[a:b] + start, n[a:b], ids[at[a] : at[b]]))
+            else:  # rarer scripts: the library finds the words
+                own = self.library.pre_tokenizer.pre_tokenize_str(texts[i])
+                tokens = [self.word(bytes(map(self.byte_of.__getitem__, w))) for w, _ in own]
+                place = np.array([s for _, s in own], np.int64).reshape(-1, 2) + start
+                found.append((place[:, 0], place[:, 1], np.array([*map(len, tokens)], np.int64), np.array([x for t in tokens for x in t], "<u4")))
+        lo, hi, n, ids = (np.concatenate(x) for x in zip(*found))
+        return _Spans(lo, hi, np.append(0, np.cumsum(n)), ids, np.cumsum([len(f[0]) for f in found]).tolist())
+
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0].tobytes()
 
-    def _by_library_words(self, text: str) -> np.ndarray:
-        """Texts with special tokens or rarer scripts: the library cuts the words."""
-        ids: list[int] = []
-        at = 0
-        for m in [*self.special_re.finditer(text), None]:
-            part = self.library.normalizer.normalize_str(text[at : m.start() if m else len(text)])
-            for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part):
-                ids += self.word(bytes(map(self.byte_of.__getitem__, w)))
-            if m:
-                ids.append(self.special[m[0]])
-                at = m.end()
-        return np.array(ids, "<u4")
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        """Ids of texts of characters below U+0300, end to end, and where each text's ids end."""
-        low = [t.lower() for t in texts]
+    def _plain(self, low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of normalised texts of characters below U+0300: places in their texts, numbers of ids, ids; and where each text's words end."""
         whole = "\n".join(low)
         c = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
+        nothing = _NO_PLACES, _NO_PLACES, _NO_PLACES, _NO_IDS, np.zeros(len(low), np.int64)
         if not len(c):
-            return _NO_IDS, [0] * len(texts)
+            return nothing
         kind = _KIND[c]
         start = np.empty(len(c), bool)
         start[0] = True
@@ -197,15 +266,11 @@ class WordBpe:
         start &= kind != 0
         lo = np.flatnonzero(start)
         if not len(lo):
-            return _NO_IDS, [0] * len(texts)
+            return nothing
         # A word ends where the next one or white space starts.
         edge = np.flatnonzero(start | (kind == 0))
         hi = np.append(edge, len(c))[np.searchsorted(edge, lo) + 1]
-        power, inverse = _powers(len(c))
-        sums = np.empty(len(c) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_CODE[c] * power, out=sums[1:])
-        keys = (sums[hi] - sums[lo]) * inverse[lo]
+        keys = _word_keys(c, lo, hi)
         at = self.table.find(keys)
         if (missing := np.flatnonzero(at < 0)).size:
             new, first = np.unique(keys[missing], return_index=True)
@@ -213,14 +278,20 @@ class WordBpe:
             self.table.add(new, self._ids_of([whole[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist())]))
             at = self.table.find(keys)  # all again, as the table may have started anew
             if (at < 0).any():  # more new words than the table holds
-                half = len(texts) // 2
-                a, b = self._plain(texts[:half]), self._plain(texts[half:])
-                return np.concatenate([a[0], b[0]]), a[1] + [len(a[0]) + x for x in b[1]]
+                if len(low) == 1:
+                    tokens = self._ids_of([whole[a:b] for a, b in zip(lo.tolist(), hi.tolist())])
+                    return lo, hi, np.array([*map(len, tokens)], np.int64), np.concatenate(tokens), np.array([len(lo)])
+                half = len(low) // 2
+                a, b = self._plain(low[:half]), self._plain(low[half:])
+                return *(np.concatenate([x, y]) for x, y in zip(a[:4], b[:4])), np.append(a[4], b[4] + len(a[0]))
         n = self.table.count[at]
         ends = np.cumsum(n)
         ids = self.table.pool[np.repeat(self.table.offset[at] - (ends - n), n) + np.arange(ends[-1])]
-        bound = np.cumsum([len(t) + 1 for t in low]) - 1
-        return ids, np.append(0, ends)[np.searchsorted(lo, bound)].tolist()
+        size = np.array([*map(len, low)], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        words = np.searchsorted(lo, begin + size)
+        shift = np.repeat(begin, np.diff(words, prepend=0))
+        return lo - shift, hi - shift, n, ids, words
 
     def _ids_of(self, words: list[str]) -> list[np.ndarray]:
         """Ids of new words; those of up to SHORT bytes are merged side by side."""
@@ -277,8 +348,8 @@ class WordBpe:
 class _Words:
     """Ids of words met so far, by a 64-bit hash of the word: an open-addressed table.
 
-    With so many entries, a word outside it is taken for one of them with a chance of
-    about 1e-13.
+    Hashes add up random numbers, so that however words are built, one outside the table
+    is taken for one of its entries with a chance of about 1e-14.
     """
 
     def __init__(self, bits: int = 1 + (CACHE_WORDS - 1).bit_length()):
@@ -330,24 +401,80 @@ class _Words:
             at[left] = (at[left] + 1) & self.mask
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+@dataclass
+class _Spans:
+    """Words of pieces that were encoded side by side: places in their parts, where the ids of each begin, ids, and where each piece's words end."""
 
+    lo: np.ndarray
+    hi: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+    ends: list[int]
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 to the 64th."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64))):
-            steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return [p[:n] for p in _POWERS]
 
+@dataclass
+class _Node:
+    """An encoded stretch of a part: ranges (store, first word, end) in order, none of them empty."""
 
+    ranges: list[tuple[int, int, int]]
+
+    def last(self, n: int) -> tuple[list[tuple[int, int, int]], tuple[int, int, int], bool]:
+        """The ranges before the last ``n`` words, the range that these begin in, and whether they are all."""
+        rest = [*self.ranges]
+        while True:
+            s, a, b = rest.pop()
+            if b - a > n:
+                return [*rest, (s, a, b - n)], (s, b - n, b), False
+            if b - a == n or not rest:
+                return rest, (s, a, b), not rest
+            n -= b - a
+
+    def first(self, n: int) -> tuple[list[tuple[int, int, int]], tuple[int, int, int], bool]:
+        """The ranges after the first ``n`` words, the range that these end in, and whether they are all."""
+        rest = self.ranges[::-1]
+        while True:
+            s, a, b = rest.pop()
+            if b - a > n:
+                return [(s, a + n, b), *rest[::-1]], (s, a, a + n), False
+            if b - a == n or not rest:
+                return rest[::-1], (s, a, b), not rest
+            n -= b - a
+
+
+def _leaves(text: str) -> list[int]:
+    """Where the leaves of a text begin and end.  A stretch without white space, as long as a leaf, isn't cut here, but within its words."""
+    out = [0]
+    for at in range(LEAF, len(text) - LEAF // 2, LEAF):
+        if not _UNBROKEN.fullmatch(text, max(0, at - LEAF), at):
+            out.append(at)
+    return [*out, len(text)]
+
+
+def _word_keys(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: random numbers for each character and place are added up; long words are hashed one by one."""
+    place = np.zeros(len(c), np.int64)
+    place[lo] = lo
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(c)), place, out=place)
+    np.minimum(place, PLACES - 1, out=place)
+    place *= 0x300
+    place += c
+    sums = np.empty(len(c) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_NUMBERS[place], out=sums[1:])
+    keys = sums[hi] - sums[lo]
+    for i in np.flatnonzero(hi - lo > PLACES).tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(c[lo[i] : hi[i]].tobytes(), digest_size=8).digest(), "little")
+    return keys
+
+
+_UNBROKEN = re.compile(r"\S+")
+_NO_PLACES = np.zeros(0, np.int64)
 _NO_IDS = np.zeros(0, "<u4")
 _ONE, _TWO = {*"stmd"}, {"re", "ve", "ll"}
-#: White space 0, letters 1, digits 2, others 3; and a random odd number for each character.
+#: White space 0, letters 1, digits 2, others 3; and a random number for each place and character.
 _KIND = np.array([0 if chr(c).isspace() else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x300)], np.int8)
-_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 0x300, np.uint64) * np.uint64(2) + np.uint64(1)
+_NUMBERS = np.random.default_rng(20240229).integers(0, 1 << 64, PLACES * 0x300, np.uint64)
 _FAR = np.int32(2**31 - 1)
 
 
@@ -395,7 +522,7 @@ def load(path: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary) of every row; a null text counts as empty, other columns are left behind."""
+    """(id, ids binary) of every row, repeated ones and those without id too; a null text counts as empty, texts may be of any length, other columns are left behind."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +534,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(id, text) from what ``encode`` returns; a null ids counts as empty."""
+    """(id, text) from what ``encode`` returns; null ids count as empty.  One row for each row, repeated ones too; extra columns aren't read."""
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,9 +128,9 @@ _SPELT = re.compile(rf"\b(?:{_WORD}|[0-9]+)(?:(?:[\s,-]+|\s*\b(?:dot|point|punto
 _SPELT_HINT = re.compile(rf"\b(?:{_WORD})[\s,-]+(?:{_WORD}|dot|point|punto|punkt)\b", re.I)
 _TOKEN = re.compile(rf"(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<dot>dot|point|punto|punkt|\.)|(?P<gap>[\s,-]+)", re.I)
 _PLUS = re.compile(r"\bplus\s+(?=[0-9])", re.I)
-_BRACKET = re.compile(r"\s*[\[({<]\s*(?:(?P<at>at|@|arobase|arroba)|(?:dot|\.|point|punto|punkt))\s*[\])}>]\s*", re.I)
+_BRACKET = re.compile(r"[\[({<]\s*(?:(?P<at>at|@|arobase|arroba)|(?:dot|\.|point|punto|punkt))\s*[\])}>]\s*", re.I)
 _BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arobase|arroba|point|punto|punkt)\s*[\])}>]", re.I)
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\sdot\s|\.)[A-Za-z0-9_%+-]+)*(?:\s(at)\s|@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\sdot\s[A-Za-z0-9-]+)+", re.I)
+_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9_%+-]\sdot\s)[A-Za-z0-9_%+-]+(?:(?:\sdot\s|\.)[A-Za-z0-9_%+-]+)*(?:\s(at)\s|@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\sdot\s[A-Za-z0-9-]+)+", re.I)
 _DOT_HINT = re.compile(r"\sdot\s", re.I)
 
 
@@ -158,7 +158,13 @@ def _spelt_digits(m: Mapped) -> Mapped:
 
 def _at_dot(m: Mapped) -> Mapped:
     """Bracketed at and dot anywhere; bare ones only together, as in a spoken address."""
-    edits = [(x.start(), x.end(), "@" if x["at"] else ".") for x in _BRACKET.finditer(m.text)]
+    edits, done = [], 0
+    for x in _BRACKET.finditer(m.text):
+        at = x.start()
+        while at > done and m.text[at - 1].isspace():
+            at -= 1
+        done = x.end()
+        edits.append((at, done, "@" if x["at"] else "."))
     m = m.rewrite(edits)
     edits = []
     for x in _WORDED.finditer(m.text):

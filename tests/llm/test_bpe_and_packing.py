@@ -29,6 +29,34 @@ def test_equals_library(library):
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_tree_of_texts(library, monkeypatch):
+    rnd = random.Random(3)
+    odd = [x for x in ODD if x != "x" * 60] + ["don't", "we'll ", " 12 ", "x" * 30, "           "]
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 90))) for _ in range(300)] + ["", " " * 50, "\n \n", "'" * 40, "a'r" * 30]
+    for leaf in (2, 5, 16, 64):
+        monkeypatch.setattr(bpe, "LEAF", leaf)
+        own = bpe.WordBpe(PATH)
+        for t, ids in zip(texts, own.encode_many(texts)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, (leaf, t)
+
+
+def test_documents_are_halved(library):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert sum(len(bpe._leaves(t)) > 2 for t in texts) > len(texts) // 4  # joins happen on ordinary documents
+    for t, ids in zip(texts, bpe.load(PATH).encode_many(texts)):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_regular_words(library):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048, 4096):
+        texts = [x[:n], y[:n], f"{x[:n]} {y[:n]}"]
+        assert [i.tolist() for i in bpe.load(PATH).encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_start_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 16)
     own = bpe.WordBpe(PATH)
