@@ -357,7 +357,8 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     # Then the blocks whose members lie in different components.
     members = members.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     several = members.groupBy("hub").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("k")).where("r1 <> r2")
-    members = members.join(several.select("hub", F.ceil(F.col("k") / BLOCK).alias("parts")), "hub")
+    several = stage.write(several.select("hub", F.ceil(F.col("k") / BLOCK).alias("parts")), "several")
+    members = members.join(several, "hub")
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     both = _parts(stage, members.select("hub", "part", "parts", F.struct("rep", "root", "own", "total", "n", "p", "late", "last", "keys").alias("m")), "hub", "parts")
     counted = _product(both, percent).groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("asked").alias("asked"))
