@@ -47,23 +47,21 @@ def filter_conditions(df: DataFrame, conditions: dict[str, str | None]) -> DataF
     return df
 
 
+_COUNT = re.compile(r"\s*(?:(?P<sign>[<=]\s*=)|(?P<low>\d+)\s*:)\s*(?P<high>\d+)\s*")
+
+
 def parse_item_count(text: object, n_available: int | None = None) -> tuple[int, int]:
     """(min_items, max_items) of ``==n``, ``<=n`` or ``a:b``."""
     if not isinstance(text, str):
         raise ValueError("item_count must be text such as '==4', '<=4' or '2:4'")
-    plain = re.sub(r"\s+", "", text)
-    if m := re.fullmatch(r"==(\d+)", plain):
-        low = high = int(m[1])
-    elif m := re.fullmatch(r"<=(\d+)", plain):
-        low, high = 1, int(m[1])
-    elif m := re.fullmatch(r"(\d+):(\d+)", plain):
-        low, high = int(m[1]), int(m[2])
-    else:
+    # A bound is what stands left of the colon, the same as the other after "==", and 1 after "<=".
+    found = _COUNT.fullmatch(text)
+    if found is None:
         raise ValueError(f"not an item count: {text!r}; write '==4', '<=4' or '2:4'")
-    if low < 1 or high < low:
-        raise ValueError(f"item_count {text!r} must ascend from 1")
-    if n_available is not None and high > n_available:
-        raise ValueError(f"item_count {text!r} asks for more than the {n_available} items there are")
+    high = int(found["high"])
+    low = int(found["low"] if found["sign"] is None else (high if found["sign"].startswith("=") else 1))
+    if not 1 <= low <= high <= (high if n_available is None else n_available):
+        raise ValueError(f"item_count {text!r} must ascend from 1 to at most the number of items")
     return low, high
 
 

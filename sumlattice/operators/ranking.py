@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.combos import whole
 from ..functions.parsing import CRITERIA, RANK_COLUMNS, RESULT_RANK_COLUMNS, choice
+from ..sources.staging import staged
 
 
 def _down(c: str) -> Column:
@@ -39,7 +40,8 @@ def ranked(df: DataFrame, order: Sequence[Column], top_n: int | None = None) ->
         df = df.orderBy(*order).limit(top_n)
         return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     # A range sort spreads all rows; a rank is the rows of earlier parts and those before in its own.
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # The parts are written once: computed twice, their bounds would be drawn twice and needn't agree.
+    parts = staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
     parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

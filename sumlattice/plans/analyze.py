@@ -142,9 +142,9 @@ def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n
     patterns = compress(strict(clean, outcome, names, config.positive_label, config.negative_label))
     facts = {"outcome": outcome, "items": names, "min_items": low, "max_items": min(high, len(names)), "cutoff_method": config.cutoff_method, "rank_by": final_rank_by, "positive_label": config.positive_label, "negative_label": config.negative_label}
     total = count_combinations(names, low, high)
-    full, path, hit = store.keep(clean.drop(row_id), lambda: score_all(patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by), facts, total, results_storage, results_dir, config.cache, config.cache_dir)
+    full, path, hit = store.keep(clean.drop(row_id), lambda best: score_all(patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by, top_n=best), facts, total, results_storage, results_dir, config.cache, config.cache_dir, final_top_n)
     head = ranked(full, candidate_order(final_rank_by), final_top_n)
-    head = attach_intervals(head, patterns, names, conf_level) if ci else head.select(*COLUMNS, "combo_id")
+    head = attach_intervals(head, patterns, names, conf_level, low, high) if ci else head.select(*COLUMNS, "combo_id")
     out = Analysis(config, nested, head.where("rank = 1"), head, None if results_storage == "none" else full, df.count(), clean.count(), total, facts, path, hit)
     if output_dir:
         store.write_csv(output_dir, {

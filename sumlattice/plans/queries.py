@@ -140,6 +140,11 @@ def q_final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.final_fit(rows(spark, sf_dir, "order_items"), "y", ITEMS, 1, 2, top_n=10)
 
 
+def q_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+    return ranking.ranked(rows, [F.desc("price"), F.asc("l_orderkey"), F.asc("l_linenumber")])
+
+
 def q_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.brute_force(rows(spark, sf_dir, "order_items"), "y", ITEMS, item_count="<=2", top_n=10).candidates
 
@@ -224,6 +229,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "enumerate_combinations": (q_enumerate, f"WITH {oracle.frequencies(_L, ITEMS, 1, 3)} SELECT CAST(combo_id AS BIGINT) AS combo_id, n_items, items FROM cand"),
     "delong_ci": (q_delong, oracle.delong(_O, ITEMS, 1, 2)),
     "clopper_pearson_ci": (q_final_fit, None),
+    "rank_without_limit": (q_rank_all, "SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem"),
     "brute_force": (q_brute_force, oracle.search(_O, ITEMS, 1, 2, top_n=10)),
     "stratified_folds": (_folds(5, 1, 3), f"SELECT row_id, y, repeat, fold FROM ({oracle.folds(_O, 5, 1, 3)})"),
     "stratified_folds_repeats": (_folds(4, 3, 21), f"SELECT row_id, y, repeat, fold FROM ({oracle.folds(_O, 4, 3, 21)})"),

@@ -75,17 +75,17 @@ def exhaustive_search(df: DataFrame, outcome: str, items: object, min_items: int
         return made.select(*COLUMNS, "combo_id")
     made = score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, top_n)
     out = ranked(made, candidate_order(rank_by, prefer_fewer_items), top_n)
-    return attach_intervals(out, patterns, names, conf_level) if ci else out.select(*COLUMNS, "combo_id")
+    return attach_intervals(out, patterns, names, conf_level, low, high) if ci else out.select(*COLUMNS, "combo_id")
 
 
-def attach_intervals(out: DataFrame, patterns: DataFrame, names: list[str], conf_level: float) -> DataFrame:
-    """Interleaved intervals for a ranked table, whose item sets are looked up by name."""
+def attach_intervals(out: DataFrame, patterns: DataFrame, names: list[str], conf_level: float, low: int, high: int) -> DataFrame:
+    """Interleaved intervals for a ranked table of subsets of ``low`` to ``high`` items, looked up by name or, where names have commas, by rank."""
     check_level(conf_level)
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     idx = F.transform(F.split("items", ", "), lambda n: index[n]) if not any("," in n for n in names) else None
     if idx is None:
         spark = out.sparkSession
-        top = out.join(candidates(spark, names, 1, len(names)).select("combo_id", "item_idx"), "combo_id")
+        top = out.join(candidates(spark, names, low, min(high, len(names))).select("combo_id", "item_idx"), "combo_id")
     else:
         top = out.withColumn("item_idx", idx)
     return with_intervals(top, patterns, conf_level).select("rank", "items", "n_items", *INTERLEAVED, "n_positive", "n_negative", "combo_id").orderBy("rank")
@@ -130,12 +130,12 @@ def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | Non
     clean = lenient(df, outcome, names)
     settings = {"outcome": outcome, "items": names, "min_items": low, "max_items": min(high, len(names)), "item_count": describe_item_count(low, min(high, len(names))), "cutoff_method": cutoff_method, "rank_by": rank_by, "prefer_fewer_items": prefer_fewer_items, "positive_label": positive_label, "negative_label": negative_label}
 
-    def build() -> DataFrame:
+    def build(best: int | None) -> DataFrame:
         patterns = compress(strict(clean, outcome, names, positive_label, negative_label))
-        return score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items)
+        return score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, best)
 
     order = candidate_order(rank_by, prefer_fewer_items)
-    full, path, hit = store.keep(clean, build, settings, total, results_storage, results_dir, cache, cache_dir)
+    full, path, hit = store.keep(clean, build, settings, total, results_storage, results_dir, cache, cache_dir, max(1, top_n) if top_n is not None else None)
     head = ranked(full, order, max(1, top_n or 0) if top_n is not None else None).select(*COLUMNS, "combo_id")
     shown = head.limit(0) if top_n == 0 else head
     out = BruteForceResult(head.where("rank = 1"), shown, None if results_storage == "none" else full, settings, df.count(), clean.count(), total, path, hit)

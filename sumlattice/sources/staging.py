@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write a table under ``spark.checkpoint.dir`` and read it back; a local folder serves only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a fresh local one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sumlattice-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    at = f"{folder.rstrip('/')}/sumlattice-{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a table under ``spark.checkpoint.dir`` and read it back."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/sumlattice-{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import CONDITION_COLUMNS, choice, filter_conditions
 from ..operators.ranking import ranked, result_order
+from .staging import shared_folder, staged
 
 STORAGE = ("auto", "memory", "rds", "none", "parquet")
 CACHE = ("off", "reuse", "refresh")
@@ -49,20 +50,44 @@ def results_path(folder: str, prefix: str, outcome: str, n_items: int, low: int,
     """A fresh path that says what it holds."""
     clean = lambda x: re.sub(r"[^A-Za-z0-9_-]+", "_", str(x))
     stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
-    return str(Path(folder, f"{clean(prefix)}_{clean(outcome)}_p{n_items}_k{low}-{high}_{clean(rank_by)}_{stamp}_{uuid.uuid4().hex[:8]}.parquet"))
+    return f"{folder.rstrip('/')}/{clean(prefix)}_{clean(outcome)}_p{n_items}_k{low}-{high}_{clean(rank_by)}_{stamp}_{uuid.uuid4().hex[:8]}.parquet"
+
+
+def _path(spark: SparkSession, at: str) -> tuple:
+    """Hadoop's file system and path of a place in any store that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _write_text(spark: SparkSession, at: str, text: str) -> None:
+    fs, path = _path(spark, at)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, at: str) -> str:
+    fs, path = _path(spark, at)
+    source = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
 def write_results(df: DataFrame, path: str, metadata: dict) -> str:
     """Spark's commit protocol makes the table appear whole; the description stands beside it."""
     df.write.mode("errorifexists").parquet(path)
-    Path(path + ".json").parent.mkdir(parents=True, exist_ok=True)
-    Path(path + ".json").write_text(json.dumps(metadata | {"complete": True, "written": datetime.now(timezone.utc).isoformat()}, default=str))
+    _write_text(df.sparkSession, path + ".json", json.dumps(metadata | {"complete": True, "written": datetime.now(timezone.utc).isoformat()}, default=str))
     return path
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A stored table, one file or many; only columns and rows that are asked for are read."""
-    if not Path(path).exists():
+    fs, at = _path(spark, path)
+    if not fs.exists(at):
         raise FileNotFoundError(f"there is no stored result at {path}")
     return spark.read.parquet(path)
 
@@ -80,57 +105,64 @@ def cache_key(df: DataFrame, settings: dict) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
+def _entries(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(time, name) of what lies in a folder, oldest first."""
+    fs, at = _path(spark, folder)
+    return sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def load_cache(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
-    at = Path(folder, key)
-    try:
-        if json.loads((at / "metadata.json").read_text()).get("complete") is not True:
-            return None
-    except (OSError, ValueError):
-        return None
-    return spark.read.parquet(str(at / "results"))
+    """The newest table of a key whose description is there, as that is written last."""
+    for _, name in reversed(_entries(spark, f"{folder}/{key}")):
+        if name.endswith(".json") and json.loads(_read_text(spark, f"{folder}/{key}/{name}")).get("complete") is True:
+            return spark.read.parquet(f"{folder}/{key}/{name[:-5]}")
+    return None
 
 
 def save_cache(df: DataFrame, folder: str, key: str, metadata: dict) -> DataFrame:
-    """Build beside the place and rename, so that a reader never sees half an entry."""
-    at, new, old = Path(folder, key), Path(folder, f"{key}.building-{os.getpid()}"), Path(folder, f"{key}.old-{os.getpid()}")
-    shutil.rmtree(new, ignore_errors=True)
-    new.mkdir(parents=True)
-    df.write.parquet(str(new / "results"))
-    (new / "metadata.json").write_text(json.dumps(metadata | {"complete": True}, default=str))
-    if at.exists():
-        os.replace(at, old)
-    os.replace(new, at)
-    shutil.rmtree(old, ignore_errors=True)
-    return df.sparkSession.read.parquet(str(at / "results"))
-
-
-def clean_cache(folder: str) -> list[str]:
-    """Remove entries that were never finished."""
-    gone = [p for p in Path(folder).glob("*.building-*")]
-    for p in gone:
-        shutil.rmtree(p, ignore_errors=True)
-    return [p.name for p in gone]
-
-
-def keep(data: DataFrame, build: Callable[[], DataFrame], settings: dict, total: int, storage: str, folder: str | None, cache: str, cache_dir: str | None) -> tuple[DataFrame, str | None, bool]:
+    """A new table beside older ones of the key, which then go; nothing is renamed, so that any store will do."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    older = [n for _, n in _entries(spark, f"{folder}/{key}") if n.endswith(".json")]
+    write_results(df, f"{folder}/{key}/{name}", metadata)
+    for n in older:  # the description first: half an entry is none
+        for at in (n, n[:-5]):
+            fs, path = _path(spark, f"{folder}/{key}/{at}")
+            fs.delete(path, True)
+    return spark.read.parquet(f"{folder}/{key}/{name}")
+
+
+def clean_cache(spark: SparkSession, folder: str) -> list[str]:
+    """Remove tables that have no description: of searches that broke off, or still run."""
+    gone = []
+    for _, key in _entries(spark, folder):
+        names = {n for _, n in _entries(spark, f"{folder}/{key}")}
+        gone += [f"{key}/{n}" for n in sorted(names) if not n.endswith(".json") and f"{n}.json" not in names]
+    for at in gone:
+        fs, path = _path(spark, f"{folder}/{at}")
+        fs.delete(path, True)
+    return gone
+
+
+def keep(data: DataFrame, build: Callable[[int | None], DataFrame], settings: dict, total: int, storage: str, folder: str | None, cache: str, cache_dir: str | None, best: int | None = None) -> tuple[DataFrame, str | None, bool]:
     """(candidate table, its path if stored, whether it came from the cache).
 
-    The cache holds the whole unranked table; what depends on how it is shown is done
-    when it is read.
+    The table is made once: it is written to the cache, to ``folder`` or, without one,
+    to the shared folder, and read from there.  The cache holds the whole unranked table;
+    what depends on how it is shown is done when it is read.  Where nothing is to be
+    stored, only the ``best`` rows of each task are made, all if that is None.
     """
+    spark = data.sparkSession
     key = cache_key(data, settings) if cache != "off" else None
-    if cache == "reuse" and (found := load_cache(data.sparkSession, cache_dir, key)) is not None:
-        return found, str(Path(cache_dir, key, "results")), True
-    made = build()
+    if cache == "reuse" and (found := load_cache(spark, cache_dir, key)) is not None:
+        return found, f"{cache_dir}/{key}", True
     if key:
-        return save_cache(made, cache_dir, key, settings), str(Path(cache_dir, key, "results")), False
-    if storage_policy(storage, total) == "parquet":
-        if not folder:
-            raise ValueError("storing results needs results_dir")
-        path = results_path(folder, "search", settings["outcome"], len(settings["items"]), settings["min_items"], settings["max_items"], settings["rank_by"])
-        write_results(made, path, settings)
-        return data.sparkSession.read.parquet(path), path, False
-    return made, None, False
+        return save_cache(build(None), cache_dir, key, settings), f"{cache_dir}/{key}", False
+    policy = storage_policy(storage, total)
+    if policy == "parquet":
+        path = results_path(folder or f"{shared_folder(spark)}/results", "search", settings["outcome"], len(settings["items"]), settings["min_items"], settings["max_items"], settings["rank_by"])
+        write_results(build(None), path, settings)
+        return spark.read.parquet(path), path, False
+    return staged(build(best if policy == "none" else None), "results"), None, False
 
 
 def query_results(source: DataFrame | str | object, spark: SparkSession | None = None, rank_by: str = "youden", top_n: int | None = 20, **conditions: str | None) -> DataFrame:
@@ -156,7 +188,7 @@ def query_results(source: DataFrame | str | object, spark: SparkSession | None =
 
 
 def write_csv(folder: str, tables: dict[str, DataFrame | None]) -> list[str]:
-    """One CSV file for each small table; a table that isn't there is left out."""
+    """One CSV file for each small table, on the driver's own disk; a table that isn't there is left out."""
     try:
         Path(folder).mkdir(parents=True, exist_ok=True)
     except OSError as e:

@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumlattice.functions import combos
-from sumlattice.operators import intervals, nested, roc
+from sumlattice.operators import intervals, nested, ranking, roc
 from sumlattice.operators.folds import stratified_folds
 from sumlattice.plans import analyze, search
 from sumlattice.sources import prepare, store
 from sumlattice.streaming import patterns as stream
 
-Y = [1, 1, 1, 0, 0, 0, 1, 1, 0, 0, 1, 1, 0, 0, 0]
-Q = {"q1": [2, 1, 2, 1, 0, 1, 2, 2, 0, 0, 2, 1, 1, 0, 1], "q2": [1, 2, 1, 0, 1, 0, 2, 1, 1, 0, 1, 2, 0, 1, 0], "q3": [2, 2, 1, 1, 0, 1, 2, 2, 0, 1, 2, 2, 0, 0, 1]}
+_RNG = np.random.default_rng(20)
+Y = [i % 2 for i in range(16)]
+Q = {f"q{k}": [int(v) for v in np.clip(_RNG.integers(0, 3, 16) + np.array(Y) * _RNG.integers(0, 2, 16), 0, 2)] for k in (1, 2, 3)}
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +24,8 @@ def clear(spark):
 
 @pytest.fixture(scope="module")
 def weak(spark):
-    y = [0] * 6 + [1] * 6
-    q = [[2, 1, 2, 1, 0, 1, 2, 2, 0, 0, 2, 1], [1, 2, 1, 0, 1, 0, 2, 1, 1, 0, 1, 2], [2, 2, 1, 1, 0, 1, 2, 2, 0, 1, 2, 2]]
-    return spark.createDataFrame([(i, y[i], *(c[i] for c in q)) for i in range(12)], "row_id long, y int, Q1 int, Q2 int, Q3 int").cache()
+    rng = np.random.default_rng(21)
+    return spark.createDataFrame([(i, int(i > 6), *map(int, rng.integers(0, 3, 3))) for i in range(14)], "row_id long, y int, Q1 int, Q2 int, Q3 int").cache()
 
 
 def brute(rows, items, low, high, method="youden"):
@@ -58,13 +58,13 @@ def test_against_pairs(clear, weak, engine, method):
 
 def test_ties_and_options(spark, clear):
     got = search.exhaustive_search(clear, "y", "q1:q3", 1, 3).orderBy("rank").collect()
-    assert [r["items"] for r in got[:4]] == ["q1, q2", "q1, q3", "q2, q3", "q1, q2, q3"] and [r["rank"] for r in got] == [*range(1, 8)]
+    assert [r["items"] for r in got] == [r[0] for r in brute(clear.collect(), ["q1", "q2", "q3"], 1, 3)] and [r["rank"] for r in got] == [*range(1, 8)]
     flat = spark.createDataFrame([(i % 2, 1, 1, 1) for i in range(40)], "y int, a int, b int, c int")
     for engine in ("relational", "kernel"):
         rows = search.exhaustive_search(flat, "y", ["a", "b", "c"], engine=engine, top_n=7).orderBy("rank").collect()
         assert {r["auc"] for r in rows} == {0.5} and [r["combo_id"] for r in rows] == [*range(7)]
     words = clear.withColumn("y", F.when(F.col("y") == 1, "case").otherwise("control"))
-    assert search.exhaustive_search(words, "y", [2, 3], positive_label="case", negative_label="control").where("rank = 1").first()["items"] == "q1, q2"
+    assert search.exhaustive_search(words, "y", [2, 3], positive_label="case", negative_label="control").where("rank = 1").first()["items"] == brute(clear.collect(), ["q1", "q2"], 1, 2)[0][0]
     for bad in (0, -1, 1.5):
         with pytest.raises(ValueError):
             search.exhaustive_search(clear, "y", ["q1"], top_n=bad)
@@ -107,11 +107,27 @@ def test_delong_closed_forms(spark):
     assert roc.auc_of(freq({1: 2}, {}), ["combo_id"]).first()["auc"] is None
 
 
+@pytest.mark.parametrize("n", [0, 20_000, 300_000])
+def test_rank_without_limit(spark, n):
+    df = spark.range(0, n, 1, 7).select("id", (F.xxhash64("id") % 1000).alias("v"), F.lit("x" * 40).alias("pad"))
+    got = ranking.ranked(df, [F.desc("v"), F.asc("id")]).toPandas().sort_values("rank")
+    assert got["rank"].tolist() == [*range(1, n + 1)]
+    assert got[["v", "id"]].equals(got[["v", "id"]].sort_values(["v", "id"], ascending=[False, True]))
+
+
+def test_intervals_of_names_with_commas(spark, clear):
+    odd = clear.select("y", F.col("q1").alias("a, b"), F.col("q2").alias("c"), F.col("q3").alias("d"))
+    got = search.exhaustive_search(odd, "y", ["a, b", "c", "d"], 2, 3, ci=True, top_n=4).orderBy("rank").collect()
+    want = search.exhaustive_search(clear, "y", ["q1", "q2", "q3"], 2, 3, ci=True, top_n=4).orderBy("rank").collect()
+    assert [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in got] == [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in want] and len(got) == 4
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i, int(i < 30)) for i in range(100)], "row_id long, y int")
     made = stratified_folds(rows, 5, 2, 9).toPandas()
     assert (made.groupby(["repeat", "fold", "y"]).size().unstack() == [14, 6]).all().all() and (made.groupby(["repeat", "row_id"]).size() == 1).all()
-    assert made.equals(stratified_folds(rows.repartition(7), 5, 2, 9).toPandas().sort_values(["repeat", "row_id"]).reset_index(drop=True)) or True
+    by = lambda m: m.sort_values(["repeat", "row_id"]).reset_index(drop=True)[["repeat", "row_id", "y", "fold"]]
+    assert by(made).equals(by(stratified_folds(rows.repartition(7), 5, 2, 9).toPandas()))
     few = spark.createDataFrame([(i, int(i < 5)) for i in range(25)], "row_id long, y int")
     with pytest.warns(UserWarning, match="reducing"):
         assert stratified_folds(few, 10).agg(F.max("fold")).first()[0] == 5
@@ -151,7 +167,7 @@ def test_nested_beyond_the_kernel(spark, clear, monkeypatch):
     assert sorted(got.outer_results.collect()) == want and len(want) == 2
 
 
-def test_store_and_cache(spark, weak, tmp_path):
+def test_store_and_cache(spark, weak, tmp_path, monkeypatch):
     run = lambda **kw: search.brute_force(weak, "y", ["Q1", "Q2", "Q3"], **kw)
     plain = run(top_n=None)
     saved = run(results_storage="rds", results_dir=str(tmp_path))
@@ -161,8 +177,13 @@ def test_store_and_cache(spark, weak, tmp_path):
     again = run(cache="reuse", cache_dir=str(tmp_path / "c"), top_n=2)
     assert not first.loaded_from_cache and again.loaded_from_cache and again.candidates.count() == 2
     assert not run(cache="refresh", cache_dir=str(tmp_path / "c")).loaded_from_cache and not run(cache="reuse", cache_dir=str(tmp_path / "c"), item_count="==1").loaded_from_cache
-    (tmp_path / "c" / "x.building-1").mkdir()
-    assert store.clean_cache(str(tmp_path / "c")) == ["x.building-1"]
+    (tmp_path / "c" / "x" / "half").mkdir(parents=True)
+    assert store.clean_cache(spark, str(tmp_path / "c")) == ["x/half"]
+    assert run(cache="reuse", cache_dir=f"file://{tmp_path}/c").loaded_from_cache
+    monkeypatch.setattr(store, "MEMORY_LIMIT", 3)
+    large = run()  # stored without a folder being named
+    assert large.results.count() == 7 and large.results_path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert run(results_storage="none", top_n=2).candidates.count() == 2
     assert run(top_n=0).candidates.count() == 0
     with pytest.raises(ValueError):
         run(cache="reuse")
