@@ -400,14 +400,14 @@ ORACLES = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), s AS (
+), s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
-), cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+), cells AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM cells a JOIN cells b ON a.k = b.k AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
-), sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+), sides AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
 least_id AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
 alike AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS set_id FROM s),
