@@ -20,9 +20,9 @@ from .common import Stage, table
 
 #: Rows the quantiser is fitted on, at most; all rows are coded and searched.
 FIT_ROWS = 8192
-#: Queries that one pass over the index answers; they are what is broadcast.
-QUERY_BLOCK = 2048
-#: Rows scanned at a time, and how many of them are scored exactly for each query.
+#: Components of the queries that one pass over the index answers, 4 MB; they are what is broadcast.
+QUERY_VALUES = 1 << 19
+#: Rows scanned at a time, and how many of them are scored exactly for each query at first.
 SCAN_ROWS = 4096
 RERANK = 128
 CENTRES = 16
@@ -113,24 +113,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def best_of(q: np.ndarray, qid: np.ndarray, rough: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int, rerank: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best (scores, ids) of each query among rows in ascending order of id.
+
+    The ``rerank`` rows of best rough scores are scored exactly.  Where one of the later half
+    of them is among the ``k`` best, and above ``least``, the rough order doesn't settle that
+    query and twice as many are scored, up to all rows.  Equal rough scores go by id.
+    """
+    n, todo = len(ids), np.arange(len(q))
+    best, own = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    take = min(n, max(rerank, 1))
+    while len(todo):
+        unsettled = []
+        step = max(1, 256 * 128 // take)  # so that gathered vectors stay as many
+        for some in (todo[at : at + step] for at in range(0, len(todo), step)):
+            near = np.argpartition(-rough[some], take - 1, 1)[:, :take]
+            near = np.take_along_axis(near, np.lexsort((near, -np.take_along_axis(rough[some], near, 1)), 1), 1)
+            score = np.einsum("qd,qnd->qn", q[some], unit[near])
+            score[ids[near] == qid[some, None]] = -np.inf
+            by = np.lexsort((ids[near], -score), 1)[:, :k]
+            s = np.take_along_axis(score, by, 1)
+            best[some, : s.shape[1]], own[some, : s.shape[1]] = s, np.take_along_axis(ids[near], by, 1)
+            unsettled.append(some[((by >= take // 2) & (s >= least[some, None]) & np.isfinite(s)).any(1)])
+        todo = np.concatenate(unsettled) if take < n else todo[:0]
+        take = min(n, 2 * take)
+    return best, own
+
+
 def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest found of each query by cosine: query_id, rank, vec_id, score.
 
-    ``queries`` has rows of the same columns; a query's own id is no candidate.
-    Vectors that are null, zero, not finite, without id, or not of the commonest
-    number of dimensions take no part.  Equal scores go by the smaller id; of equal
-    vectors a block keeps the k + 1 smallest ids, which no other could displace.
+    ``queries`` has rows of the same columns; a query's own id is no candidate; of several
+    query rows of one id the least vector asks.  Vectors that are null, zero, not finite or
+    without id take no part; those of unlike numbers of dimensions, which have no cosine,
+    are tables of their own, searched one after another.  Equal scores go by the smaller id;
+    of equal vectors a block keeps the k + 1 smallest ids, which no other could displace.
+    ``rerank`` of SCAN_ROWS or more scores all rows exactly.  Extra columns aren't read.
     Without usable vectors or queries the result is empty.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
     stage = Stage(spark, "ann")
-    all_rows = usable(df, id_col, vector_col)
-    sizes = all_rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").take(1)
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dims = sizes[0]["d"]
-    all_rows = all_rows.where(F.size("v") == dims)
-    sample = np.array([r["v"] for r in all_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()])
+    every, asking = usable(df, id_col, vector_col), usable(queries, id_col, vector_col)
+    sizes = [r["d"] for r in asking.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    found = [x for dims in sizes for x in _search(spark, stage, every.where(F.size("v") == dims), asking.where(F.size("v") == dims), dims, k, rerank)]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = found[0]
+    for x in found[1:]:
+        best = best.unionAll(x)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return stage.finish(best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+
+def _search(spark: SparkSession, stage: Stage, rows: DataFrame, asking: DataFrame, dims: int, k: int, rerank: int) -> list[DataFrame]:
+    """What each task of each pass found, for vectors of ``dims`` dimensions."""
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()])
+    if not len(sample):
+        return []
     books, weight = fit(_unit(sample)), eta(dims)
     shared = spark.sparkContext.broadcast(books)
 
@@ -143,21 +181,14 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = 5, i
                 packed = padded[:, ::2] << 4 | padded[:, 1::2]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([row.tobytes() for row in packed], pa.binary())], ["vec_id", "v", "codes"])
 
-    index = stage.write(all_rows.mapInArrow(code, "vec_id long, v array<double>, codes binary"), "index")
-    asked = stage.write(usable(queries, id_col, vector_col).where(F.size("v") == dims).dropDuplicates(["vec_id"]), "queries")
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    found = []
+    index = stage.write(rows.mapInArrow(code, "vec_id long, v array<double>, codes binary"), "index")
+    asked = stage.write(asking.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks, found = -(-asked.count() // max(256, QUERY_VALUES // dims)), []
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK rows
-        if rows:
-            found.append(stage.write(_pass(spark, index, np.array([r["vec_id"] for r in rows]), _unit(np.array([r["v"] for r in rows])), shared, dims, k, rerank), f"block{block}"))
-    if not found:
-        return spark.createDataFrame([], schema)
-    best = found[0]
-    for x in found[1:]:
-        best = best.unionAll(x)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # QUERY_VALUES components about
+        if some:
+            found.append(stage.write(_pass(spark, index, np.array([r["vec_id"] for r in some]), _unit(np.array([r["v"] for r in some])), shared, dims, k, rerank), "block"))
+    return found
 
 
 def _pass(spark: SparkSession, index: DataFrame, ids: np.ndarray, unit: np.ndarray, shared, dims: int, k: int, rerank: int) -> DataFrame:
@@ -187,17 +218,14 @@ def _pass(spark: SparkSession, index: DataFrame, ids: np.ndarray, unit: np.ndarr
                     ids, x, packed = ids[keep], x[keep], packed[keep]
                 codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(ids), -1)[:, : len(cuts)]
                 unit = _unit(x)
-                take = min(len(ids), rerank)
                 for lo in range(0, len(q), 256):
-                    rough = scan(tables[lo : lo + 256], codes)
-                    rough[qid[lo : lo + 256, None] == ids[None]] = -np.inf
-                    near = np.argpartition(-rough, take - 1, 1)[:, :take]
-                    score = np.einsum("qd,qnd->qn", q[lo : lo + 256], unit[near])
-                    own = ids[near]
-                    score[own == qid[lo : lo + 256, None]] = -np.inf
-                    s, i = np.concatenate([top_score[lo : lo + 256], score], 1), np.concatenate([top_id[lo : lo + 256], own], 1)
+                    part = slice(lo, lo + 256)
+                    rough = scan(tables[part], codes)
+                    rough[qid[part, None] == ids[None]] = -np.inf
+                    score, own = best_of(q[part], qid[part], rough, ids, unit, k, rerank, top_score[part, -1])
+                    s, i = np.concatenate([top_score[part], score], 1), np.concatenate([top_id[part], own], 1)
                     by = np.lexsort((i, -s), 1)[:, :k]
-                    top_score[lo : lo + 256], top_id[lo : lo + 256] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
+                    top_score[part], top_id[part] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
         there = np.isfinite(top_score)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, there.sum(1))), pa.array(top_id[there]), pa.array(top_score[there])], ["query_id", "vec_id", "score"])
 
