@@ -14,12 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import stats, words
 from .common import Stage, table
 
-#: Labelled documents that the field is fitted on, at most.
+#: Labelled documents that the field is fitted on, at most; their lines in a chain, and their chains, at most.
 FIT_DOCUMENTS = 3000
+FIT_LINES = 256
+FIT_CHAINS = 4000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_CONTENT = 0.5
@@ -50,6 +53,19 @@ def _padded(values: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.nd
     return out, n
 
 
+def _alike(n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(groups, their members' places, each member's group in this set) of groups whose sizes ``n`` are alike.
+
+    Sizes of one set differ by a factor of two at most, so that padding at most doubles the work.
+    """
+    begin, level = np.cumsum(n) - n, np.ceil(np.log2(np.maximum(n, 1)))
+    for v in np.unique(level[n > 0]):
+        own = np.flatnonzero((level == v) & (n > 0))
+        row = np.repeat(np.arange(len(own)), n[own])
+        first = np.cumsum(n[own]) - n[own]
+        yield own, begin[own][row] + np.arange(len(row)) - first[row], row
+
+
 def viterbi(score: np.ndarray, n: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Likeliest labels of each row of content scores, ``n`` of them; ties go to content."""
     rows, width = score.shape
@@ -101,7 +117,7 @@ def _expected(score: np.ndarray, n: np.ndarray, step: np.ndarray) -> tuple[np.nd
 
 
 def fit(doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 120) -> Field:
-    """A field from lines (document, features) and the labels of their documents.
+    """A field from lines (chain, features) and the labels of their documents; ``doc`` ascends.
 
     Lines take their document's label at first.  A model without transitions then
     relabels lines of rejected documents that look like content, so that the field
@@ -109,7 +125,6 @@ def fit(doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 120) -> Fie
     """
     mean, scale = x.mean(0), x.std(0) + 1e-6
     _, group = np.unique(doc, return_inverse=True)
-    groups = group.max() + 1
     z = np.append(np.ones((len(x), 1)), np.clip((x - mean) / scale, -5, 5), 1)
     target = y.astype(float)
     # Rejected lines are few; both kinds get the same say.
@@ -122,16 +137,19 @@ def fit(doc: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 120) -> Fie
         emission = emission + np.linalg.solve(h, g)
     target = np.where((y == 0) & (z @ emission > 0), 1.0, target)
     step = np.zeros((2, 2))
-    hard, n = _padded(target, group, groups)
-    at = np.arange(hard.shape[1])[None] < n[:, None]
-    pair = at[:, 1:]
-    a, b = hard[:, :-1][pair], hard[:, 1:][pair]
+    sets = [*_alike(np.bincount(group))]
+    pair = group[1:] == group[:-1]
+    a, b = target[:-1][pair], target[1:][pair]
     seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
     m, v = np.zeros(len(emission) + 4), np.zeros(len(emission) + 4)
     for i in range(1, rounds + 1):  # Adam on the likelihood
-        score, _ = _padded(z @ emission, group, groups)
-        content, changes = _expected(score, n, step)
-        grad = np.append(z.T @ (target - content[at]) - 0.5 * emission, (seen - changes).ravel() - 0.5 * step.ravel()) / len(z)
+        score, content, changes = z @ emission, np.zeros(len(z)), np.zeros((2, 2))
+        for own, line, row in sets:
+            wide, n = _padded(score[line], row, len(own))
+            chance, moves = _expected(wide, n, step)
+            content[line] = chance[np.arange(wide.shape[1])[None] < n[:, None]]
+            changes += moves
+        grad = np.append(z.T @ (target - content) - 0.5 * emission, (seen - changes).ravel() - 0.5 * step.ravel()) / len(z)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         emission, step = emission + move[:-4], step + move[-4:].reshape(2, 2)
@@ -148,18 +166,24 @@ def _lines(batch: pa.RecordBatch, column: int) -> tuple[words.Words, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_DOCUMENTS) -> Field:
-    """The field fitted on at most ``rows`` documents labelled for quality; NEUTRAL without both labels."""
+    """The field fitted on at most ``rows`` documents labelled for quality; NEUTRAL without both labels.
+
+    A document of more than FIT_LINES lines is several chains.  FIT_CHAINS of all chains, drawn
+    by a hash of their features, are what the driver holds and fits on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.grouped(batches, 1):
             _, doc, _, x, _ = _lines(b, 1)
             y = b.column(0).to_numpy()[doc]
             first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
+            ends = [*first[1:].tolist(), len(doc)]
+            for lo, hi in ((at, min(at + FIT_LINES, end)) for begin, end in zip(first.tolist(), ends) for at in range(begin, end, FIT_LINES)):
                 yield pa.RecordBatch.from_arrays([pa.array([int(y[lo])], pa.int32()), pa.array([x[lo:hi].astype(np.float32).tobytes()], pa.binary())], ["y", "x"])
 
     own = stats.labelled(docs, labels, "quality", rows, id_col=id_col, text_col=text_col)
-    found = sorted((r["y"], bytes(r["x"])) for r in own.select("y", "text").mapInArrow(run, "y int, x binary").collect())  # FIT_DOCUMENTS rows at most
+    chains = own.select("y", "text").mapInArrow(run, "y int, x binary")
+    found = sorted((r["y"], bytes(r["x"])) for r in chains.orderBy(F.xxhash64("x"), "y").limit(FIT_CHAINS).collect())
     if len({y for y, _ in found}) < 2:
         return NEUTRAL
     parts = [np.frombuffer(x, np.float32).reshape(-1, stats.N_SHARES + 1).astype(float) for _, x in found]
@@ -187,17 +211,12 @@ def judge(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc
             failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
             good = np.zeros(len(w))
             if len(doc):
-                # Rows of like length together, so that one long text doesn't widen all.
                 size = np.bincount(doc, minlength=len(w))
-                score, begin = shared.value.scores(x), np.cumsum(size) - size
-                for lo, hi in ((1, 32), (32, 256), (256, 1 << 62)):
-                    own = np.flatnonzero((size >= lo) & (size < hi))
-                    if len(own):
-                        line = np.concatenate([np.arange(begin[i], begin[i] + size[i]) for i in own])
-                        row = np.repeat(np.arange(len(own)), size[own])
-                        wide, m = _padded(score[line], row, len(own))
-                        label = viterbi(wide, m, shared.value.step)
-                        good[own] = np.bincount(row, chars[line] * label[np.arange(wide.shape[1])[None] < m[:, None]], len(own))
+                score = shared.value.scores(x)
+                for own, line, row in _alike(size):  # rows of like length together, so that one long text doesn't widen all
+                    wide, m = _padded(score[line], row, len(own))
+                    label = viterbi(wide, m, shared.value.step)
+                    good[own] = np.bincount(row, chars[line] * label[np.arange(wide.shape[1])[None] < m[:, None]], len(own))
             share = good / np.maximum(word_chars, 1)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(v.astype(np.int64)) for v in (n, word_chars, stats.count(stats.SYMBOL[w.data], bound), np.array([sum(d) for d in dup]), again)), pa.array(failed), pa.array(~failed & (share >= min_content)), pa.array(share)],
