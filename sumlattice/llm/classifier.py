@@ -103,6 +103,7 @@ def fit(spark: SparkSession, own: DataFrame, seed: int = 3) -> Model | float:
     seen = {(r["y"], r["c"]): r["n"] for r in rows.groupBy("y", (F.col("part") == 0).alias("c")).agg(F.count("*").alias("n")).collect()}
     n = {y: sum(v for (k, _), v in seen.items() if k == y) for y in (0, 1)}
     if not n[0] or not n[1]:
+        stage.drop(rows)
         return n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
     learn = rows.where("part <> 0") if all(seen.get((y, False)) for y in (0, 1)) else rows
     one, two, m = _sums(learn, lambda x, y: [x.sum(0), (x * x).sum(0), np.array([float(len(x))])])
@@ -122,6 +123,7 @@ def fit(spark: SparkSession, own: DataFrame, seed: int = 3) -> Model | float:
     got = aside.select("y", "x").collect()  # FIT_ROWS at most
     raw = model.raw(np.array([np.frombuffer(r["x"], np.float64) for r in got]))
     model.knots, model.values = isotonic(raw, np.array([float(r["y"]) for r in got]))
+    stage.drop(rows)
     return model
 
 

@@ -117,11 +117,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep=Non
     """(id, y, text) of at most ``rows`` labelled documents, those of the least hash of their id.
 
     Rows without id, or whose label is neither 0 nor 1, are left out, and so are ids
-    with labels that disagree.  ``keep`` is a condition on the column ``id``.
+    with labels that disagree.  Of several documents of one id the least text counts, so
+    that repeated rows don't raise the bound.  ``keep`` is a condition on the column ``id``.
     """
     own = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     own = own.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     if keep is not None:
         own = own.where(keep)
     few = own.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(few), "id").select("id", "y", "text")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(few), "id").groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
