@@ -45,7 +45,7 @@ STAGES = [
     ("PII", personal_data),
     ("best-fit packing", sequences),
 ]
-#: Stages that learn and encode have no SQL; each stage's operator is tested by itself, no test holds run() against a plain version yet.
+#: Stages that learn and encode have no SQL; a test holds run() against a plain version whose quality scores are the classifier's.
 ORACLE_SQL = None
 
 

@@ -137,3 +137,85 @@ def test_line_model_and_classifier_on_held_out(spark):
 def test_isotonic():
     knots, values = classifier.isotonic(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0.0, 1, 0, 1, 1, 1]))
     assert np.interp([1, 2, 3, 4, 5], knots, values).tolist() == [0, 0.5, 0.5, 1, 1]
+
+
+def luhn(digits):
+    doubled = [int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def test_numbers_against_plain_patterns():
+    rules = {
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 12 <= sum(c.isdigit() for c in t) <= 19 and luhn([c for c in t if c.isdigit()])),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= sum(c.isdigit() for c in t) <= 15),
+    }
+    rng = np.random.default_rng(5)
+    parts = ["4111111111111111", "4111 1111-1111 1111", "10.0.0.1", "256", ".", " ", "-", "+", "(", ")", "7", "1.2", "00", "x", "378282246310005", "+4915112345678", "é"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts, rng.integers(0, 9)))
+        for kind, (pattern, good) in rules.items():
+            assert [x[1:] for x in pii.find_plain(t) if x[0] == kind] == [m.span() for m in re.finditer(pattern, t) if good(m[0])], (kind, t)
+
+
+def test_base_counts_against_plain(spark):
+    rng = np.random.default_rng(6)
+    texts = [None, ""]
+    for _ in range(300):
+        few = rng.integers(2, 30)
+        texts.append("".join(f"{rng.choice(['a', 'É', '#', '$x', 'wörd'])}{rng.integers(0, few)}{rng.choice([' ', '  ', chr(10), chr(9), chr(0xA0), chr(10) + ' ' + chr(10)])}" for _ in range(rng.integers(0, 80))))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.judge(spark, df, quality_rules.NEUTRAL).collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for i, t in enumerate(texts):
+        t = t or ""
+        w, lines = word.findall(t), [x for x in t.split("\n") if word.search(x)]
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        again = len({p for k, x in enumerate(windows) if windows.count(x) > 1 for p in range(k, k + 8)})
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), again, len(w) < 20 or 100 * again > 30 * len(w))
+        assert got[i] == want, t
+
+
+def test_line_model_learns_lines():
+    rng = np.random.default_rng(7)
+    doc, x, y = [], [], []
+    for d in range(300):
+        bad = d % 3 == 0
+        n = int(rng.integers(1, 700 if d == 0 else 40))
+        doc += [d] * n
+        y += [0 if bad else 1] * n
+        x.append(rng.normal(-1.0 if bad else 1.0, 0.7, (n, stats.N_SHARES + 1)))
+    doc, x, y = np.array(doc), np.concatenate(x), np.array(y)
+    field = quality_rules.fit(doc, x, y, rounds=60)
+    for own, line, row in quality_rules._alike(np.bincount(doc)):
+        wide, n = quality_rules._padded(field.scores(x)[line], row, len(own))
+        label = quality_rules.viterbi(wide, n, field.step)[np.arange(wide.shape[1])[None] < n[:, None]]
+        assert (label == y[line]).mean() > 0.95 and wide.shape[1] < 2 * n.min() + 1
+    assert sorted(i for _, line, _ in quality_rules._alike(np.bincount(doc)) for i in line) == [*range(len(doc))]
+
+
+def test_ridge_against_plain_equations(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    own = stats.labelled(docs, labels, "quality", 200)
+    model = classifier.fit(spark, own)
+    rows = classifier._features(own).toPandas()
+    x, y = np.array([np.frombuffer(v, np.float64) for v in rows["x"]]), rows["y"].to_numpy(float)
+    if (rows["part"] == 0).groupby(rows["y"]).any().all() and rows["y"].nunique() == 2:
+        x, y = x[rows["part"] != 0], y[rows["part"] != 0]
+    p = model.features(x)
+    plain = np.linalg.lstsq(np.vstack([p, np.sqrt(classifier.RIDGE) * np.eye(p.shape[1])]), np.append(y, np.zeros(p.shape[1])), rcond=None)[0]
+    assert np.allclose(p @ model.beta, p @ plain, atol=1e-6)
+
+
+def test_toxicity_on_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(spark, stats.labelled(docs, labels, "toxic", 20_000, ~stats.held_out("id", 3, 1)))
+    y = labels.where(stats.held_out("doc_id", 3, 1)).select("doc_id", "toxic").toPandas().set_index("doc_id")["toxic"]
+    s = toxicity.score(spark, docs, model).toPandas().set_index("doc_id")["score"][y.index]
+    assert ((s >= 0.7) == (y == 1)).mean() > 0.95
+
+
+def test_repeated_rows_are_fitted_on_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (4, 7)], "doc_id long, quality int")
+    assert sorted(map(tuple, stats.labelled(docs, labels, "quality", 10).collect())) == [(1, 1, "a"), (2, 0, None)]

@@ -79,3 +79,36 @@ def test_table_scan_equals_products():
     other = np.concatenate([books[m][plain[:, m]] for m in range(len(books))], 1)
     loss = lambda r: ((x - r) ** 2).sum() + (ann.eta(9) - 1) * (((x - r) * x).sum(1) ** 2).sum()
     assert loss(recon) <= loss(other)
+
+
+def test_rerank_goes_on_where_codes_tie():
+    rng = np.random.default_rng(5)
+    unit, ids = ann._unit(rng.standard_normal((1000, 8))), np.arange(1000)
+    q, qid = unit[:20], np.arange(20)
+    exact = q @ unit.T
+    exact[qid, qid] = -np.inf
+    want = np.argsort(-exact, 1, kind="stable")[:, :5]
+    # The rough scores tell nothing for the first ten queries, all for the others.
+    rough = np.where(np.arange(20)[:, None] < 10, rng.standard_normal(exact.shape), exact).astype(np.float32)
+    least = np.full(20, -np.inf)
+    s, i = ann.best_of(q, qid, rough, ids, unit, 5, 1000, least)
+    assert (i == want).all() and np.allclose(s, np.take_along_axis(exact, want, 1))
+    s, i = ann.best_of(q, qid, rough, ids, unit, 5, 50, least)
+    assert (i[10:] == want[10:]).all() and (i[:10] == want[:10]).mean() > 0.8
+    assert (ann.best_of(q, qid, rough[:, :3], ids[:3], unit[:3], 5, 50, least)[1][5:, 3:] == np.iinfo(np.int64).max).all()
+
+
+def test_search_of_unlike_dimensions_and_repeated_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [*map(float, rng.standard_normal(4 if i % 3 else 6))]) for i in range(300)] + [(50, [9.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = ann.search(spark, df, df.where("vec_id % 50 = 0"), rerank=ann.SCAN_ROWS).toPandas()
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(v)
+    for q in range(0, 300, 50):
+        for dims in {len(v) for v in vectors[q]}:
+            a = np.array(min(v for v in vectors[q] if len(v) == dims))
+            want = sorted((-(a @ np.array(v)) / np.linalg.norm(a) / np.linalg.norm(v), i) for i, v in rows if len(v) == dims and i != q)[:5]
+            own = got[got.query_id == q].sort_values("rank")
+            assert own["vec_id"].tolist() == [i for _, i in want] and np.allclose(own["score"], [-s for s, _ in want])
