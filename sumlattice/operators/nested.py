@@ -34,6 +34,24 @@ class NestedResult:
     outer_predictions: DataFrame
     settings: dict
 
+    def report(self) -> str:
+        from ..functions.report import nested_report
+
+        return nested_report(self)
+
+    def summary_report(self) -> str:
+        from ..functions.report import nested_summary
+
+        return nested_summary(self)
+
+    def plot_data(self, kind: str = "auc") -> DataFrame:
+        """What a chart of outer AUCs ("auc") or of chosen sets ("selection") is drawn from."""
+        from ..functions.report import auc_plot_data, selection_plot_data
+
+        return {"auc": auc_plot_data, "selection": selection_plot_data}[choice(kind, ("auc", "selection"), "kind")](self)
+
+    __str__ = report
+
 
 def train_frequencies(test: DataFrame, keys: Sequence[str], fold_keys: Sequence[str], fold: str) -> DataFrame:
     """Training counts of every fold from test counts (keys, fold, score, p, n), by subtraction.

@@ -111,6 +111,9 @@ class Analysis:
 
         return analysis_report(self)
 
+    def plot_data(self, kind: str = "auc") -> DataFrame:
+        return self.nested.plot_data(kind)
+
     __str__ = report
 
 

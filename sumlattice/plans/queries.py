@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from ..functions import combos, parsing
 from ..operators import intervals, nested, ranking, roc
 from ..operators.folds import stratified_folds
 from ..sources import prepare, store
+from ..sources.staging import shared_folder
+from ..streaming import patterns as stream
 from . import analyze, oracle, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +152,34 @@ def q_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.brute_force(rows(spark, sf_dir, "order_items"), "y", ITEMS, item_count="<=2", top_n=10).candidates
 
 
+def q_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.brute_force(rows(spark, sf_dir, "order_items"), "y", ITEMS, item_count="<=3", results_storage="parquet")
+    return ranking.ranked(store.read_results(spark, found.results_path), ranking.candidate_order(), 20).select(*search.COLUMNS, "combo_id")
+
+
+def q_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    df = rows(spark, sf_dir, "order_items")
+    search.brute_force(df, "y", ITEMS, item_count="<=2", cache="refresh", cache_dir=folder)
+    found = search.brute_force(df, "y", ITEMS, item_count="<=2", top_n=10, cache="reuse", cache_dir=folder)
+    if not found.loaded_from_cache:
+        raise RuntimeError("the second search didn't find the first one's table")
+    return found.candidates
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> analyze.Analysis:
+    return analyze.analyze(rows(spark, sf_dir, "order_items"), "y", ITEMS, "row_id", 10, ci=False, max_items=2, outer_k=3, inner_k=2, outer_repeats=2, preselect_top_n=4, seed=11)
+
+
+def q_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, folder = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream reads folders or patterns, not a file
+    write = stream.sink(f"{folder}/counts")
+    made = spark.sql(_select("event_items", True).replace("FROM events", "FROM {events} AS events"), events=events).writeStream
+    made.foreachBatch(lambda batch, epoch: write(prepare.strict(batch, "y", ITEMS), epoch)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return stream.current(spark.read.parquet(f"{folder}/counts")).select(*(F.get("x", F.lit(i)).alias(f"q{i + 1}") for i in range(5)), "p", "n")
+
+
 def _folds(k: int, repeats: int, seed: int) -> Query:
     return lambda spark, sf_dir: stratified_folds(rows(spark, sf_dir, "order_items").select("row_id", "y"), k, repeats, seed).select("row_id", "y", "repeat", "fold")
 
@@ -199,6 +230,7 @@ def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L, _O = sql("lineitem_items"), sql("order_items")
+_PATTERNS = f"SELECT {', '.join(f'CAST({q} AS DOUBLE) AS {q}' for q in ITEMS)}, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM ({{}}) GROUP BY ALL"
 _ONE = f"WITH {oracle.frequencies(_L, ITEMS, 3, 3)}, one AS (SELECT * FROM freq WHERE combo_id = 0)"
 _COLS = "cutoff, tp, fp, fn, tn, sensitivity, specificity, youden, accuracy, ppv, npv"
 _N = oracle.nested(_O, ITEMS, 1, 2, NESTED["outer_k"], NESTED["inner_k"], NESTED["repeats"], NESTED["top"], NESTED["seed"])
@@ -212,7 +244,8 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "auc_single": (q_auc_single, f"{_ONE}, {oracle.tables('one', ['combo_id'])} SELECT auc, n_positive, n_negative FROM best"),
     "cutoff_youden": (_cutoff("youden"), f"{_ONE}, {oracle.tables('one', ['combo_id'])} SELECT auc, {_COLS} FROM best"),
     "cutoff_topleft": (_cutoff("closest_topleft"), f"{_ONE}, {oracle.tables('one', ['combo_id'], method='closest_topleft')} SELECT auc, {_COLS} FROM best"),
-    "pattern_compression": (q_patterns, f"SELECT {', '.join(f'CAST({q} AS DOUBLE) AS {q}' for q in ITEMS)}, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM ({_L}) GROUP BY ALL"),
+    "pattern_compression": (q_patterns, _PATTERNS.format(_L)),
+    "streamed_patterns": (q_streamed, _PATTERNS.format(sql("event_items"))),
     "class_share": (q_class_share, f"SELECT count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS n_positive, CAST(sum(y) AS DOUBLE) / count(*) AS share FROM ({_O})"),
     **{f"exhaustive_k{k}": (_search("lineitem_items", k), oracle.search(_L, ITEMS, 1, k)) for k in (1, 2, 3)},
     "exhaustive_all_subsets": (_search("lineitem_items", 5, top_n=None), oracle.search(_L, ITEMS, 1, 5, top_n=None)),
@@ -231,6 +264,10 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "clopper_pearson_ci": (q_final_fit, None),
     "rank_without_limit": (q_rank_all, "SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem"),
     "brute_force": (q_brute_force, oracle.search(_O, ITEMS, 1, 2, top_n=10)),
+    "stored_results": (q_stored, oracle.search(_O, ITEMS, 1, 3)),
+    "cached_search": (q_cached, oracle.search(_O, ITEMS, 1, 2, top_n=10)),
+    "analysis_candidates": (lambda s, d: _analysis(s, d).final_candidates, oracle.search(_O, ITEMS, 1, 2, top_n=10)),
+    "analysis_outer_folds": (lambda s, d: _analysis(s, d).nested.summary, f"WITH {_N} SELECT {_FOLD_NAME} AS outer_fold, items AS selected_items, n_items, auc, cutoff, sensitivity, specificity, youden, accuracy, ppv, npv FROM outer_test o"),
     "stratified_folds": (_folds(5, 1, 3), f"SELECT row_id, y, repeat, fold FROM ({oracle.folds(_O, 5, 1, 3)})"),
     "stratified_folds_repeats": (_folds(4, 3, 21), f"SELECT row_id, y, repeat, fold FROM ({oracle.folds(_O, 4, 3, 21)})"),
     "fold_balance": (q_fold_balance, f"SELECT fold, y, count(*) AS n_rows FROM ({oracle.folds(_O, 7, 1, 3)}) GROUP BY ALL"),

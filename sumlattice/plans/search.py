@@ -111,6 +111,13 @@ class BruteForceResult:
     results_path: str | None = None
     loaded_from_cache: bool = False
 
+    def report(self) -> str:
+        from ..functions.report import brute_force_report
+
+        return brute_force_report(self)
+
+    __str__ = report
+
 
 def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | None = None, max_items: int | None = None, item_count: str | None = None, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = 20, prefer_fewer_items: bool = True, positive_label: object = 1, negative_label: object = 0, engine: str = "auto", parallel: object = "none", results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, cache: str = "off", cache_dir: str | None = None) -> BruteForceResult:
     """Search a lenient table: text is parsed and incomplete rows are dropped.

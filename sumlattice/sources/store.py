@@ -97,6 +97,11 @@ def for_each_chunk(df: DataFrame, f: Callable) -> None:
     df.foreachPartition(f)
 
 
+def map_chunks(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """What ``f`` makes of each part of a table: from a pandas frame to a pandas frame of ``schema``, on the executors."""
+    return df.mapInPandas(lambda frames: map(f, frames), schema)
+
+
 def cache_key(df: DataFrame, settings: dict) -> str:
     """Digest of the data, whatever the order of its rows, and of what the search depends on."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))

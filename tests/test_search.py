@@ -152,7 +152,12 @@ def test_nested_and_analysis(spark, tmp_path):
     for r in train.collect():
         own = folds.where(F.col("fold") != r["fold"]).select("y", F.expr("x[0]").alias("q1"), F.expr("x[1]").alias("q2")).collect()
         assert (r["auc"], r["cutoff"]) == brute(own, ["q1", "q2"], 2, 2)[0][1:3]
-    assert "Outer folds" in str(a)
+    assert "Outer folds" in str(a) and "Chosen most often" in a.nested.report() and "Observations: 80" in a.nested.summary_report()
+    auc = a.plot_data("auc").collect()
+    assert len(auc) == 2 and auc[0]["mean_auc"] == pytest.approx(sum(r["auc"] for r in auc) / 2) and {r["chance"] for r in auc} == {0.5}
+    assert sum(r["n_selections"] for r in a.nested.plot_data("selection").collect()) == 2
+    with pytest.raises(ValueError):
+        a.plot_data("bars")
     one = nested.nested_cv(rows, combos.candidate_rows(spark, ["q1", "q2"], 1, 2), 2, 2, 1, 2, seed=5)
     two = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
     assert sorted(one.outer_results.collect()) == sorted(two.outer_results.collect())
@@ -171,6 +176,9 @@ def test_store_and_cache(spark, weak, tmp_path, monkeypatch):
     run = lambda **kw: search.brute_force(weak, "y", ["Q1", "Q2", "Q3"], **kw)
     plain = run(top_n=None)
     saved = run(results_storage="rds", results_dir=str(tmp_path))
+    assert "Combinations: 7" in str(saved) and "Best" in saved.report()
+    sizes = store.map_chunks(store.read_results(spark, saved.results_path), lambda part: part.groupby("n_items", as_index=False).size()[["n_items", "size"]], "n_items int, size long")
+    assert {r["n_items"]: r["s"] for r in sizes.groupBy("n_items").agg(F.sum("size").alias("s")).collect()} == {1: 3, 2: 3, 3: 1}
     assert json.loads(open(saved.results_path + ".json").read())["complete"] is True
     assert store.query_results(saved.results_path, spark, "auc", None).drop("rank").count() == plain.candidates.count() == 7
     first = run(cache="reuse", cache_dir=str(tmp_path / "c"))
