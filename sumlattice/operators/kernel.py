@@ -7,21 +7,44 @@ With ``top_n`` a task passes on only its own best rows, as the final order needs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.combos import level_sizes, unrank_global
 
-#: Bytes of scores that a task holds at a time, and patterns whose matrix is broadcast, at most.
+#: Bytes of scores that a task holds at a time, and of the patterns and counts that are broadcast, at most.
 BATCH_BYTES = 32 << 20
-MAX_PATTERNS = 2_000_000
+PATTERN_BYTES = 256 << 20
 _FLOATS = ("auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
 SCHEMA = "combo_id long, n_items int, items string, " + ", ".join(f"{c} double" for c in _FLOATS) + ", tp long, fp long, fn long, tn long, n_positive long, n_negative long"
 
 
+def holds(counts: DataFrame, n_items: int, groups: int = 1) -> bool:
+    """Whether the matrix of these patterns, with the counts of so many groups, stays within PATTERN_BYTES."""
+    most = PATTERN_BYTES // (8 * (n_items + 4 * groups))
+    patterns = counts if groups == 1 else counts.select("x").distinct()
+    return patterns.limit(most + 1).count() <= most
+
+
+def tasks(spark: SparkSession, total: int, workers: int | None = None, chunk: int | None = None) -> int:
+    """Tasks for so many candidates: ``workers`` or else up to four a core, and no task with more than ``chunk``."""
+    n = workers or min(4 * spark.sparkContext.defaultParallelism, total // 2000)
+    return max(1, n, math.ceil(total / chunk) if chunk else 1)
+
+
+def _matrix(rows: pa.Table, n_items: int) -> np.ndarray:
+    return rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(rows), n_items)
+
+
+def _counts(rows: pa.Table, column: str) -> np.ndarray:
+    return rows[column].to_numpy().astype(np.int64, copy=False)
+
+
 def histograms(scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, positives, negatives) with a row for each candidate, scores ascending, zero counts where unused."""
     m, u = scores.shape
@@ -78,21 +101,20 @@ def statistics(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, method: str
         }
 
 
-def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_items: int, max_items: int, method: str = "youden", start: int = 0, size: int | None = None, top_n: int | None = None, order: Sequence[tuple[str, bool]] = (), partitions: int | None = None) -> DataFrame:
+def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_items: int, max_items: int, method: str = "youden", start: int = 0, size: int | None = None, top_n: int | None = None, order: Sequence[tuple[str, bool]] = (), workers: int | None = None, chunk: int | None = None) -> DataFrame:
     """The candidate table of ranks [start, start + size).
 
-    ``patterns`` (x, p, n) are collected and broadcast, MAX_PATTERNS at most; more is an
+    ``patterns`` (x, p, n) are broadcast as arrays, PATTERN_BYTES at most; more is an
     error, for which the relational plan is the way.  ``order`` lists (column, descending);
     its first column descends.
     """
-    rows = patterns.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct rows; use the relational engine")
+    if not holds(patterns, len(items)):
+        raise ValueError("more distinct rows than the kernel holds; use the relational engine")
+    rows = patterns.select("x", "p", "n").toArrow()
     names, levels = [*items], level_sizes(len(items), min_items, max_items)
     total = sum(c for _, c in levels)
     end = total if size is None else min(total, start + size)
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(names))
-    shared = spark.sparkContext.broadcast((np.ascontiguousarray(x.T), np.array([r["p"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)))
+    shared = spark.sparkContext.broadcast((np.ascontiguousarray(_matrix(rows, len(names)).T), _counts(rows, "p"), _counts(rows, "n")))
     step = max(1, BATCH_BYTES // (8 * max(1, len(rows))))
 
     def best(df: pd.DataFrame) -> pd.DataFrame:
@@ -135,32 +157,29 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
         df = df.assign(items=[", ".join(names[i] for i in x) for x in df["at"]])
         return df[["combo_id", "n_items", "items", *_FLOATS, "tp", "fp", "fn", "tn", "n_positive", "n_negative"]]
 
-    made = spark.range(start, end, 1, partitions or max(1, min(4 * spark.sparkContext.defaultParallelism, (end - start) // 2000))).mapInPandas(run, SCHEMA)
+    made = spark.range(start, end, 1, tasks(spark, end - start, workers, chunk)).mapInPandas(run, SCHEMA)
     return nan_to_null(made)
 
 
-def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], min_items: int, max_items: int, top_n: int, order: Sequence[tuple[str, bool]], method: str = "youden", partitions: int | None = None) -> DataFrame:
+def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], min_items: int, max_items: int, top_n: int, order: Sequence[tuple[str, bool]], method: str = "youden", workers: int | None = None, chunk: int | None = None) -> DataFrame:
     """The best ``top_n`` candidates of each task for each fold's training set.
 
-    ``counts`` (repeat, fold, x, p, n) are test counts of patterns, MAX_PATTERNS rows at
-    most; a training set has those of its repeat's other folds.  A candidate's scores are
-    added up once for all folds.
+    ``counts`` (repeat, fold, x, p, n) are test counts of patterns, PATTERN_BYTES at most
+    with those of every fold; a training set has those of its repeat's other folds.  A
+    candidate's scores are added up once for all folds.
     """
-    rows = counts.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct rows and folds; use the relational plan")
     names, levels = [*items], level_sizes(len(items), min_items, max_items)
-    place = {x: u for u, x in enumerate(dict.fromkeys(tuple(r["x"]) for r in rows))}
-    groups = sorted({(r["repeat"], r["fold"]) for r in rows})
-    own = np.zeros((2, len(groups), len(place)), np.int64)
-    at = {g: i for i, g in enumerate(groups)}
-    for r in rows:
-        own[:, at[r["repeat"], r["fold"]], place[tuple(r["x"])]] += (r["p"], r["n"])
-    repeat = np.array([g[0] for g in groups])
-    train = np.stack([own[:, repeat == r].sum(1) for r in repeat], 1) - own
-    x = np.array([*place], float).reshape(len(place), len(names))
-    shared = spark.sparkContext.broadcast((np.ascontiguousarray(x.T), train, groups))
-    step = max(1, BATCH_BYTES // (8 * max(1, len(place))))
+    if not holds(counts, len(names), counts.select("repeat", "fold").distinct().count()):
+        raise ValueError("more distinct rows and folds than the kernel holds; use the relational plan")
+    rows = counts.select("repeat", "fold", "x", "p", "n").toArrow()
+    x, place = np.unique(_matrix(rows, len(names)), axis=0, return_inverse=True)
+    groups, at = np.unique(np.stack([_counts(rows, "repeat"), _counts(rows, "fold")], 1), axis=0, return_inverse=True)
+    own = np.zeros((2, len(groups), len(x)), np.int64)
+    for side, c in enumerate(("p", "n")):
+        np.add.at(own[side], (at.ravel(), place.ravel()), _counts(rows, c))
+    train = np.stack([own[:, groups[:, 0] == r].sum(1) for r in groups[:, 0]], 1) - own
+    shared = spark.sparkContext.broadcast((np.ascontiguousarray(x.T), train, groups.tolist()))
+    step = max(1, BATCH_BYTES // (8 * max(1, len(x))))
     by, up = [c for c, _ in order], [not d for _, d in order]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +206,7 @@ def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], mi
                 yield out[["repeat", "fold", "combo_id", "n_items", "items", "item_idx", *_FLOATS, "tp", "fp", "fn", "tn", "n_positive", "n_negative"]]
 
     total = sum(c for _, c in levels)
-    made = spark.range(0, total, 1, partitions or max(1, min(4 * spark.sparkContext.defaultParallelism, total // 2000))).mapInPandas(run, "repeat int, fold int, " + SCHEMA.replace("items string", "items string, item_idx array<int>"))
+    made = spark.range(0, total, 1, tasks(spark, total, workers, chunk)).mapInPandas(run, "repeat int, fold int, " + SCHEMA.replace("items string", "items string, item_idx array<int>"))
     return nan_to_null(made)
 
 

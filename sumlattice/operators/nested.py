@@ -88,25 +88,38 @@ def fold_mean(value: Column, fold: str) -> Column:
     return F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(pairs))
 
 
-def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: int, method: str = "youden") -> DataFrame:
+#: Inner folds: each candidate's own, or one division of an outer training set for all its candidates.
+INNER_FOLDS = ("own", "shared")
+
+
+def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: int, method: str = "youden", inner_folds: str = "own") -> DataFrame:
     """Means of each preselected candidate over inner folds of its outer training set.
 
     ``folds`` has a row for each row and repeat, ``chosen`` (repeat, fold, position,
     combo_id, n_items, item_idx) is what the first search kept: a few rows for each outer
-    fold, which is why it is broadcast.  The i-th outer fold's j-th candidate has folds of
-    its own, from seed + i + j.
+    fold, which is why it is broadcast.  With "own" inner folds the i-th outer fold's
+    j-th candidate has folds from seed + i + j, for which each row is divided once for every
+    candidate.  With "shared" ones all have those of seed + i: rows are divided once for each
+    outer fold, become patterns, and only patterns meet candidates.
     """
+    choice(inner_folds, INNER_FOLDS, "inner_folds")
     number = ((F.col("repeat") - 1) * F.lit(outer_k) + F.col("outer_fold")).cast("int")
     own = F.broadcast(chosen.withColumnRenamed("fold", "outer_fold"))
-    rows = folds.select("row_id", "y", "x", "repeat", "fold").join(own, "repeat").where("fold <> outer_fold")
-    rows = rows.withColumn("score", sum_score()).select("row_id", "y", "score", "repeat", "outer_fold", "position", "combo_id", "n_items")
+    shared = inner_folds == "shared"
+    rows = folds.select("row_id", "y", "x", "repeat", "fold").join(F.broadcast(chosen.select("repeat", F.col("fold").alias("outer_fold")).distinct()) if shared else own, "repeat").where("fold <> outer_fold")
+    if not shared:
+        rows = rows.withColumn("score", sum_score()).select("row_id", "y", "score", "repeat", "outer_fold", "position", "combo_id", "n_items")
     keys = ["repeat", "outer_fold", "position"]
     least = folds.groupBy("repeat", "fold", "y").agg(F.count("*").alias("c"))
     whole = Window.partitionBy("repeat", "y")
     least = least.withColumn("left", F.sum("c").over(whole) - F.col("c")).groupBy("repeat", F.col("fold").alias("outer_fold")).agg(F.least(F.min("left"), F.lit(k)).alias("k"))
     rows = rows.join(F.broadcast(least), ["repeat", "outer_fold"])
-    rows = assign(rows, F.lit(seed) + number + F.col("position"), F.col("k"), keys, "inner")
-    cells = staged(rows.groupBy(*keys, "combo_id", "n_items", "inner", "score").agg(F.sum("y").alias("p"), F.sum(F.lit(1) - F.col("y")).alias("n")), "inner-counts")
+    if shared:
+        patterns = compress(assign(rows, F.lit(seed) + number, F.col("k"), keys[:2], "inner"), ["repeat", "outer_fold", "inner"])
+        scored, p, n = patterns.join(own, keys[:2]).withColumn("score", sum_score()), F.col("p"), F.col("n")
+    else:
+        scored, p, n = assign(rows, F.lit(seed) + number + F.col("position"), F.col("k"), keys, "inner"), F.col("y"), F.lit(1) - F.col("y")
+    cells = staged(scored.groupBy(*keys, "combo_id", "n_items", "inner", "score").agg(F.sum(p).alias("p"), F.sum(n).alias("n")), "inner-counts")
     ids = [*keys, "combo_id", "n_items"]
     train = candidate_table(train_frequencies(cells, ids, keys, "inner"), [*ids, "inner"], method)
     test = at_cutoff(cells, train, [*ids, "inner"])
@@ -116,7 +129,7 @@ def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: in
     )
 
 
-def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, inner_k: int = 4, outer_repeats: int = 1, preselect_top_n: int = 20, preselect_by: str = "auc", selection_criterion: str = "auc", method: str = "youden", seed: int = 1, space: tuple[Sequence[str], int, int] | None = None) -> NestedResult:
+def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, inner_k: int = 4, outer_repeats: int = 1, preselect_top_n: int = 20, preselect_by: str = "auc", selection_criterion: str = "auc", method: str = "youden", seed: int = 1, space: tuple[Sequence[str], int, int] | None = None, inner_folds: str = "own", workers: int | None = None, chunk: int | None = None) -> NestedResult:
     """Nested cross-validation of (row_id, y, x) over the candidates.
 
     For very many candidates give ``space`` (items, min_items, max_items) instead: the
@@ -126,11 +139,11 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
     Search, cutoffs and choice see an outer fold's training rows only; the chosen set
     meets its test rows once.
     """
-    choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method")
+    choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method"), choice(inner_folds, INNER_FOLDS, "inner_folds")
     folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
     k = folds.agg(F.max("fold")).first()[0]
     counts = compress(folds, ["repeat", "fold"])
-    if space is not None and counts.limit(kernel.MAX_PATTERNS + 1).count() > kernel.MAX_PATTERNS:
+    if space is not None and not kernel.holds(counts, len(space[0]), k * outer_repeats):
         candidates, space = subsets(rows.sparkSession, *space), None  # more than the kernel holds: the plan, whose results are equal
     if space is None:
         search, test = train_search(folds, candidates, method)
@@ -138,11 +151,11 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
         kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
     else:
         order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
-        found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method)
+        found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method, workers, chunk)
         kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
         pool = kept.select("combo_id", "n_items", "item_idx").distinct()  # preselect_top_n for each fold at most
         test = staged(score_frequencies(counts, F.broadcast(pool), ["repeat", "fold"]), "test-counts")
-    inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method)
+    inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method, inner_folds)
     best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
     keys = ["repeat", "fold", "combo_id", "n_items"]
     picked = staged(best.select(*keys, "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
@@ -156,5 +169,5 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
     chosen = F.broadcast(picked.select("repeat", "fold", "item_idx", "cutoff"))
     predicted = folds.join(chosen, ["repeat", "fold"]).withColumn("predicted_score", sum_score())
     predictions = predicted.select(F.col("row_id").alias("row_index"), F.col("y").alias("true_outcome"), "predicted_score", (F.col("predicted_score") >= F.col("cutoff")).cast("int").alias("predicted_class"), F.col("fold_name").alias("outer_fold"))
-    settings = {"outer_k": k, "inner_k": inner_k, "outer_repeats": outer_repeats, "preselect_top_n": preselect_top_n, "preselect_by": preselect_by, "selection_criterion": selection_criterion, "cutoff_method": method, "seed": seed}
+    settings = {"outer_k": k, "inner_k": inner_k, "outer_repeats": outer_repeats, "preselect_top_n": preselect_top_n, "preselect_by": preselect_by, "selection_criterion": selection_criterion, "cutoff_method": method, "inner_folds": inner_folds, "seed": seed}
     return NestedResult(summary, results, summary.select("outer_fold", "selected_items"), frequency, predictions, settings)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.combos import PRESETS, candidate_rows, count_combinations, suggest_preselect, whole
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, RANK_COLUMNS, choice, item_bounds, resolve_items, resolve_parallel
-from ..operators.nested import NestedResult, nested_cv
+from ..operators.nested import INNER_FOLDS, NestedResult, nested_cv
 from ..operators.ranking import candidate_order, ranked
 from ..operators.roc import compress
 from ..sources import store
@@ -33,6 +33,7 @@ class Config:
     inner_k: int = 4
     outer_repeats: int = 5
     inner_repeats: int = 1
+    inner_folds: str = "own"
     preselect_top_n: int | None = None
     preselect_by: str = "auc"
     selection_criterion: str = "auc"
@@ -52,6 +53,7 @@ class Config:
     def __post_init__(self) -> None:
         choice(self.mode, tuple(PRESETS), "mode"), choice(self.cutoff_method, CUTOFF_METHODS, "cutoff_method")
         choice(self.preselect_by, CRITERIA, "preselect_by"), choice(self.selection_criterion, CRITERIA, "selection_criterion")
+        choice(self.inner_folds, INNER_FOLDS, "inner_folds")
         mode = resolve_parallel(self.parallel, "nested")
         for name, least in (("outer_k", 2), ("inner_k", 2), ("outer_repeats", 1), ("inner_repeats", 1), ("chunk_size", 1), ("threads_per_worker", 1)):
             whole(getattr(self, name), name, least)
@@ -73,6 +75,10 @@ class Config:
     def total_combinations(self) -> int | None:
         return count_combinations([*self.items], *self.sizes()) if self.items else None
 
+    @property
+    def workers(self) -> int | None:
+        return self.n_workers * self.threads_per_worker if self.n_workers else None
+
     def preselect(self, items: list[str]) -> int:
         low, high = self.sizes()
         if self.preselect_top_n is None:
@@ -126,7 +132,7 @@ def run_config(df: DataFrame, config: Config, row_id: str) -> NestedResult:
         raise ValueError(f"{row_id} must name each row once")
     total = count_combinations(items, low, high)
     pool, space = (candidate_rows(df.sparkSession, items, low, high), None) if total <= RELATIONAL_CANDIDATES else (None, (items, low, high))
-    return nested_cv(rows, pool, config.outer_k, config.inner_k, config.outer_repeats, config.preselect(items), config.preselect_by, config.selection_criterion, config.cutoff_method, config.seed, space)
+    return nested_cv(rows, pool, config.outer_k, config.inner_k, config.outer_repeats, config.preselect(items), config.preselect_by, config.selection_criterion, config.cutoff_method, config.seed, space, config.inner_folds, config.workers, config.chunk_size)
 
 
 def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n: int | None = 20, final_rank_by: str = "auc", ci: bool = True, conf_level: float = 0.95, results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, **settings: Any) -> Analysis:
@@ -145,7 +151,7 @@ def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n
     patterns = compress(strict(clean, outcome, names, config.positive_label, config.negative_label))
     facts = {"outcome": outcome, "items": names, "min_items": low, "max_items": min(high, len(names)), "cutoff_method": config.cutoff_method, "rank_by": final_rank_by, "positive_label": config.positive_label, "negative_label": config.negative_label}
     total = count_combinations(names, low, high)
-    full, path, hit = store.keep(clean.drop(row_id), lambda best: score_all(patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by, top_n=best), facts, total, results_storage, results_dir, config.cache, config.cache_dir, final_top_n)
+    full, path, hit = store.keep(clean.drop(row_id), lambda best: score_all(patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by, top_n=best, workers=config.workers, chunk=config.chunk_size), facts, total, results_storage, results_dir, config.cache, config.cache_dir, final_top_n)
     head = ranked(full, candidate_order(final_rank_by), final_top_n)
     head = attach_intervals(head, patterns, names, conf_level, low, high) if ci else head.select(*COLUMNS, "combo_id")
     out = Analysis(config, nested, head.where("rank = 1"), head, None if results_storage == "none" else full, df.count(), clean.count(), total, facts, path, hit)

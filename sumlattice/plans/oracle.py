@@ -80,15 +80,16 @@ def train_search(rows: str, items: Sequence[str], low: int, high: int, k: int, r
     return f"{f}, {train}, {tables('train', ['repeat', 'fold', 'combo_id'], ['n_items', 'items'], method=method)}"
 
 
-def nested(rows: str, items: Sequence[str], low: int, high: int, outer_k: int, inner_k: int, repeats: int, top: int, seed: int) -> str:
+def nested(rows: str, items: Sequence[str], low: int, high: int, outer_k: int, inner_k: int, repeats: int, top: int, seed: int, inner_folds: str = "own") -> str:
     """CTEs up to ``inner_means`` and ``picked``: choice by mean inner AUC."""
     masks = " + ".join(f"CAST({x} AS DOUBLE) * m{i}" for i, x in enumerate(items))
     means = ", ".join(f"({' + '.join(f'max(CASE WHEN inner_fold = {i} THEN {c} END)' for i in range(1, inner_k + 1))}) / {inner_k} AS mean_{n}" for n, c in (("auc", "coalesce(auc, 0.5)"), ("sensitivity", "sensitivity"), ("specificity", "specificity"), ("youden", "youden")))
     ids = "repeat, outer_fold, position, combo_id, n_items"
+    own = " + k.position" if inner_folds == "own" else ""
     return f"""{train_search(rows, items, low, high, outer_k, repeats, seed)},
 kept AS (SELECT * FROM (SELECT repeat, fold, combo_id, n_items, items, cutoff, CAST(row_number() OVER (PARTITION BY repeat, fold ORDER BY auc DESC, youden DESC, sensitivity DESC, specificity DESC, n_items, combo_id) AS INTEGER) AS position FROM best) WHERE position <= {top}),
 inner_rows AS (SELECT s.row_id, s.y, s.repeat, k.fold AS outer_fold, k.position, k.combo_id, k.n_items, {masks} AS score,
-    ntile({inner_k}) OVER (PARTITION BY s.repeat, k.fold, k.position, s.y ORDER BY md5(CAST({seed} + (s.repeat - 1) * {outer_k} + k.fold + k.position AS VARCHAR) || '|' || CAST(s.row_id AS VARCHAR)), s.row_id) AS inner_fold
+    ntile({inner_k}) OVER (PARTITION BY s.repeat, k.fold, k.position, s.y ORDER BY md5(CAST({seed} + (s.repeat - 1) * {outer_k} + k.fold{own} AS VARCHAR) || '|' || CAST(s.row_id AS VARCHAR)), s.row_id) AS inner_fold
   FROM src s JOIN kept k ON s.repeat = k.repeat AND s.fold <> k.fold JOIN cand c ON c.combo_id = k.combo_id),
 inner_cells AS (SELECT {ids}, inner_fold, score, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM inner_rows GROUP BY ALL),
 inner_train AS (SELECT {', '.join('c.' + x for x in ids.split(', '))}, o.inner_fold, score, CAST(sum(p) AS BIGINT) AS p, CAST(sum(n) AS BIGINT) AS n

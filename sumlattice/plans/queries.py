@@ -203,12 +203,12 @@ def _nested(spark: SparkSession, sf_dir: str) -> nested.NestedResult:
     return analyze.run_config(rows(spark, sf_dir, "order_items"), config, "row_id")
 
 
-def q_inner_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_inner_cv(spark: SparkSession, sf_dir: str, inner_folds: str = "own") -> DataFrame:
     folds = stratified_folds(prepare.strict(rows(spark, sf_dir, "order_items"), "y", ITEMS, row_id="row_id"), 3, 2, 11)
     pool = combos.candidate_rows(spark, ITEMS, 1, 2)
     kept = ranking.first_per(nested.train_search(folds, pool)[0], ["repeat", "fold"], ranking.preselect_order("auc"), 4)
     kept = kept.join(pool.select("combo_id", "item_idx"), "combo_id").select("repeat", "fold", "position", "combo_id", "n_items", "item_idx")
-    return nested.inner_cv(folds, kept, 2, 11, 3)
+    return nested.inner_cv(folds, kept, 2, 11, 3, inner_folds=inner_folds)
 
 
 def q_summary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +234,7 @@ _PATTERNS = f"SELECT {', '.join(f'CAST({q} AS DOUBLE) AS {q}' for q in ITEMS)},
 _ONE = f"WITH {oracle.frequencies(_L, ITEMS, 3, 3)}, one AS (SELECT * FROM freq WHERE combo_id = 0)"
 _COLS = "cutoff, tp, fp, fn, tn, sensitivity, specificity, youden, accuracy, ppv, npv"
 _N = oracle.nested(_O, ITEMS, 1, 2, NESTED["outer_k"], NESTED["inner_k"], NESTED["repeats"], NESTED["top"], NESTED["seed"])
+_NS = oracle.nested(_O, ITEMS, 1, 2, NESTED["outer_k"], NESTED["inner_k"], NESTED["repeats"], NESTED["top"], NESTED["seed"], "shared")
 _FOLD_NAME = "'Rep' || CAST(o.repeat AS VARCHAR) || '_Fold' || CAST(o.fold AS VARCHAR)"
 _RESULTS = "youden DESC NULLS LAST, auc DESC, sensitivity DESC, specificity DESC, accuracy DESC, n_items, combo_id"
 
@@ -273,6 +274,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "fold_balance": (q_fold_balance, f"SELECT fold, y, count(*) AS n_rows FROM ({oracle.folds(_O, 7, 1, 3)}) GROUP BY ALL"),
     "train_search_per_fold": (q_train_search, f"WITH {oracle.train_search(_O, ITEMS, 1, 2, 5, 1, 7)} SELECT repeat, fold, combo_id, auc, cutoff, sensitivity, specificity, youden, n_positive, n_negative FROM best"),
     "inner_cv_means": (q_inner_cv, f"WITH {_N} SELECT repeat, outer_fold, position, combo_id, n_items, mean_auc, mean_sensitivity, mean_specificity, mean_youden FROM inner_means"),
+    "inner_cv_shared_folds": (lambda s, d: q_inner_cv(s, d, "shared"), f"WITH {_NS} SELECT repeat, outer_fold, position, combo_id, n_items, mean_auc, mean_sensitivity, mean_specificity, mean_youden FROM inner_means"),
     "nested_summary": (lambda s, d: _nested(s, d).summary, f"WITH {_N} SELECT {_FOLD_NAME} AS outer_fold, items AS selected_items, n_items, auc, cutoff, sensitivity, specificity, youden, accuracy, ppv, npv FROM outer_test o"),
     "outer_predictions": (lambda s, d: _nested(s, d).outer_predictions, f"WITH {_N} SELECT s.row_id AS row_index, s.y AS true_outcome, {' + '.join(f'CAST({q} AS DOUBLE) * m{i}' for i, q in enumerate(ITEMS))} AS predicted_score, CASE WHEN {' + '.join(f'CAST({q} AS DOUBLE) * m{i}' for i, q in enumerate(ITEMS))} >= o.cutoff THEN 1 ELSE 0 END AS predicted_class, {_FOLD_NAME} AS outer_fold FROM src s JOIN outer_test o ON s.repeat = o.repeat AND s.fold = o.fold JOIN cand c ON c.combo_id = o.combo_id"),
     "model_frequency": (lambda s, d: _nested(s, d).selected_model_frequency, f"WITH {_N} SELECT items, count(*) AS n_selections, count(*) / 6.0::DOUBLE AS frequency FROM outer_test GROUP BY items"),

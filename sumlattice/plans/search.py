@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,13 @@ from ..operators.intervals import INTERLEAVED, with_intervals
 from ..operators.ranking import candidate_order, ranked
 from ..operators.roc import candidate_table, compress, score_frequencies
 from ..sources.prepare import lenient, strict
+from ..sources.staging import staged
 
 #: Patterns times candidates up to which the relational plan is chosen; and the result size that "auto" keeps lazy.
 RELATIONAL_PAIRS = 20_000_000
 RELATIONAL_CANDIDATES = 20_000
+#: Candidates that the relational plan broadcasts at a time, 20 MB about.
+CANDIDATE_BLOCK = 200_000
 MEMORY_LIMIT = 100_000
 COLUMNS = ("rank", "items", "n_items", "auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv", "n_positive", "n_negative")
 
@@ -30,8 +34,12 @@ def with_names(df: DataFrame, items: list[str]) -> DataFrame:
     return df.withColumn("items", F.array_join(F.transform("item_idx", lambda i: F.get(names, i)), ", "))
 
 
-def score_all(patterns: DataFrame, items: list[str], low: int, high: int, method: str, engine: str = "auto", rank_by: str = "auc", prefer_fewer: bool = True, top_n: int | None = None, start: int = 0, size: int | None = None) -> DataFrame:
-    """The unranked candidate table by the engine asked for, or by the number of pairs it would compare."""
+def score_all(patterns: DataFrame, items: list[str], low: int, high: int, method: str, engine: str = "auto", rank_by: str = "auc", prefer_fewer: bool = True, top_n: int | None = None, start: int = 0, size: int | None = None, workers: int | None = None, chunk: int | None = None) -> DataFrame:
+    """The unranked candidate table by the engine asked for, or by the number of pairs it would compare.
+
+    ``workers`` and ``chunk`` bound the kernel's tasks.  The relational plan takes more
+    than CANDIDATE_BLOCK candidates in blocks, whose tables are written.
+    """
     spark, total = patterns.sparkSession, count_combinations(items, low, high)
     if not 0 <= start < total:
         raise ValueError("the chunk starts beyond the last subset")
@@ -42,38 +50,48 @@ def score_all(patterns: DataFrame, items: list[str], low: int, high: int, method
         # Patterns are counted no further than the question needs.
         most = RELATIONAL_PAIRS // max(1, asked)
         few = asked <= RELATIONAL_CANDIDATES and patterns.limit(most + 1).count() <= most
-        many = not few and patterns.limit(kernel.MAX_PATTERNS + 1).count() > kernel.MAX_PATTERNS
-        engine = "relational" if few or many else "kernel"
+        engine = "relational" if few or not kernel.holds(patterns, len(items)) else "kernel"
     if engine == "kernel":
         order = [(rank_by, True), *([("n_items", False)] if prefer_fewer else []), ("combo_id", False)]
-        return kernel.score(spark, patterns, items, low, high, method, start, size, top_n, order)
-    small = candidate_rows(spark, items, low, high) if total <= RELATIONAL_CANDIDATES else candidates(spark, items, low, high)
-    small = small.where((F.col("combo_id") >= start) & (F.col("combo_id") < start + asked))
-    made = candidate_table(score_frequencies(patterns, small), method=method)
-    return made.join(small.select("combo_id", "items"), "combo_id")
+        return kernel.score(spark, patterns, items, low, high, method, start, size, top_n, order, workers, chunk)
+
+    def block(at: int, n: int) -> DataFrame:
+        own = candidate_rows(spark, items, low, high) if total <= RELATIONAL_CANDIDATES else F.broadcast(candidates(spark, items, low, high, at, n))
+        own = own.where((F.col("combo_id") >= at) & (F.col("combo_id") < at + n))
+        made = candidate_table(score_frequencies(patterns, own), method=method)
+        return made.join(own.select("combo_id", "items"), "combo_id")
+
+    if asked <= CANDIDATE_BLOCK:
+        return block(start, asked)
+    patterns, end = staged(patterns, "patterns"), start + asked
+    best = (lambda t: t.orderBy(*candidate_order(rank_by, prefer_fewer)).limit(top_n)) if top_n is not None else (lambda t: t)
+    return reduce(DataFrame.unionByName, [staged(best(block(at, min(CANDIDATE_BLOCK, end - at))), "block") for at in range(start, end, CANDIDATE_BLOCK)])
 
 
 def _bounds(items: list[str], min_items: int, max_items: int) -> tuple[int, int]:
     return whole(min_items, "min_items"), whole(max_items, "max_items")
 
 
-def exhaustive_search(df: DataFrame, outcome: str, items: object, min_items: int = 1, max_items: int = 4, positive_label: object = 1, negative_label: object = 0, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = None, prefer_fewer_items: bool = True, ci: bool = False, conf_level: float = 0.95, engine: str = "auto", parallel: object = "none", chunk_start: int | None = None, chunk_size: int | None = None) -> DataFrame:
+def exhaustive_search(df: DataFrame, outcome: str, items: object, min_items: int = 1, max_items: int = 4, positive_label: object = 1, negative_label: object = 0, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = None, prefer_fewer_items: bool = True, ci: bool = False, conf_level: float = 0.95, engine: str = "auto", parallel: object = "none", chunk_start: int | None = None, chunk_size: int | None = None, n_workers: int | None = None) -> DataFrame:
     """All subsets of a strict table, scored and ranked.
 
     With both ``chunk_start`` (0-based) and ``chunk_size`` only those ranks are scored, in
     order of enumeration and without ``top_n``; ``rank`` is then the place in the chunk.
+    ``n_workers`` is the number of the kernel's tasks.
     """
     choice(cutoff_method, CUTOFF_METHODS, "cutoff_method"), choice(rank_by, RANK_COLUMNS, "rank_by"), resolve_parallel(parallel, "exhaustive")
     names = resolve_items(df, items)
     low, high = _bounds(names, min_items, max_items)
     if top_n is not None:
         whole(top_n, "top_n")
+    if n_workers is not None:
+        whole(n_workers, "n_workers")
     patterns = compress(strict(df, outcome, names, positive_label, negative_label))
     if chunk_start is not None and chunk_size is not None:
-        made = score_all(patterns, names, low, high, cutoff_method, engine, start=whole(chunk_start, "chunk_start", 0), size=whole(chunk_size, "chunk_size"))
+        made = score_all(patterns, names, low, high, cutoff_method, engine, start=whole(chunk_start, "chunk_start", 0), size=whole(chunk_size, "chunk_size"), workers=n_workers)
         made = made.withColumn("rank", (F.col("combo_id") - chunk_start + 1).cast("int"))
         return made.select(*COLUMNS, "combo_id")
-    made = score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, top_n)
+    made = score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, top_n, workers=n_workers)
     out = ranked(made, candidate_order(rank_by, prefer_fewer_items), top_n)
     return attach_intervals(out, patterns, names, conf_level, low, high) if ci else out.select(*COLUMNS, "combo_id")
 
@@ -119,15 +137,19 @@ class BruteForceResult:
     __str__ = report
 
 
-def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | None = None, max_items: int | None = None, item_count: str | None = None, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = 20, prefer_fewer_items: bool = True, positive_label: object = 1, negative_label: object = 0, engine: str = "auto", parallel: object = "none", results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, cache: str = "off", cache_dir: str | None = None) -> BruteForceResult:
+def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | None = None, max_items: int | None = None, item_count: str | None = None, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = 20, prefer_fewer_items: bool = True, positive_label: object = 1, negative_label: object = 0, engine: str = "auto", parallel: object = "none", results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, cache: str = "off", cache_dir: str | None = None, n_workers: int | None = None, chunk_size: int | None = None) -> BruteForceResult:
     """Search a lenient table: text is parsed and incomplete rows are dropped.
 
-    ``top_n`` of None keeps all candidates in ``candidates``, 0 none.
+    ``top_n`` of None keeps all candidates in ``candidates``, 0 none.  ``n_workers`` is
+    the number of the kernel's tasks, more where one would have over ``chunk_size`` candidates.
     """
     from ..sources import store
 
     choice(cutoff_method, CUTOFF_METHODS, "cutoff_method"), choice(rank_by, RANK_COLUMNS, "rank_by"), resolve_parallel(parallel, "exhaustive")
     store.check_cache(cache, cache_dir), store.check_storage(results_storage)
+    for name, n in (("n_workers", n_workers), ("chunk_size", chunk_size)):
+        if n is not None:
+            whole(n, name)
     names = resolve_items(df, items)
     low, high = item_bounds(item_count, min_items, max_items, len(names))
     low, high = _bounds(names, low, high)
@@ -139,7 +161,7 @@ def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | Non
 
     def build(best: int | None) -> DataFrame:
         patterns = compress(strict(clean, outcome, names, positive_label, negative_label))
-        return score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, best)
+        return score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, best, workers=n_workers, chunk=chunk_size)
 
     order = candidate_order(rank_by, prefer_fewer_items)
     full, path, hit = store.keep(clean, build, settings, total, results_storage, results_dir, cache, cache_dir, max(1, top_n) if top_n is not None else None)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumlattice.functions import combos
-from sumlattice.operators import intervals, nested, ranking, roc
+from sumlattice.operators import intervals, kernel, nested, ranking, roc
 from sumlattice.operators.folds import stratified_folds
 from sumlattice.plans import analyze, search
 from sumlattice.sources import prepare, store
@@ -80,6 +80,27 @@ def test_engines_agree_on_random_items(spark):
         assert a == b
 
 
+def test_blocks_of_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(int(i % 2), *map(float, v)) for i, v in enumerate(rng.standard_normal((50, 5)))], "y int, a double, b double, c double, d double, e double")
+    run = lambda **kw: search.exhaustive_search(df, "y", ["a", "b", "c", "d", "e"], 1, 4, **kw).orderBy("rank").collect()
+    want = run(engine="relational")
+    monkeypatch.setattr(search, "RELATIONAL_CANDIDATES", 5)
+    monkeypatch.setattr(search, "CANDIDATE_BLOCK", 7)
+    assert run(engine="relational") == want and run(engine="relational", top_n=6) == want[:6]
+    assert [r["combo_id"] for r in run(engine="relational", chunk_start=3, chunk_size=20)] == [*range(3, 23)]
+    monkeypatch.setattr(kernel, "PATTERN_BYTES", 49 * 8 * 9)  # one row too few: the plan in blocks
+    assert not kernel.holds(roc.compress(prepare.strict(df, "y", ["a", "b", "c", "d", "e"])), 5) and run() == want
+    with pytest.raises(ValueError, match="kernel"):
+        run(engine="kernel")
+
+
+def test_tasks(spark):
+    assert kernel.tasks(spark, 10_000, 3) == 3 and kernel.tasks(spark, 10_000, 3, 1000) == 10 and kernel.tasks(spark, 1) == 1
+    rows = spark.createDataFrame([([float(i)], i % 2, 1 - i % 2) for i in range(6)], "x array<double>, p long, n long")
+    assert kernel.score(spark, rows, ["a"], 1, 1, workers=3).rdd.getNumPartitions() == 3
+
+
 def test_strict_errors(spark, clear):
     for change, message in ((lambda d: d.withColumn("q1", F.when(F.col("row_id") > 0, F.col("q1"))), "NA"), (lambda d: d.withColumn("y", F.lit(1)), "one class"), (lambda d: d.withColumn("y", F.col("row_id").cast("int")), "two labels"), (lambda d: d.withColumn("q1", F.lit("x")), "numeric"), (lambda d: d.drop("y"), "missing")):
         with pytest.raises(ValueError, match=message):
@@ -161,13 +182,15 @@ def test_nested_and_analysis(spark, tmp_path):
     one = nested.nested_cv(rows, combos.candidate_rows(spark, ["q1", "q2"], 1, 2), 2, 2, 1, 2, seed=5)
     two = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
     assert sorted(one.outer_results.collect()) == sorted(two.outer_results.collect())
+    with pytest.raises(ValueError, match="inner_folds"):
+        nested.nested_cv(rows, None, 2, 2, space=(["q1", "q2"], 1, 2), inner_folds="none")
 
 
 def test_nested_beyond_the_kernel(spark, clear, monkeypatch):
     rows = prepare.strict(clear, "y", ["q1", "q2"], row_id="row_id")
     want = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
     want = sorted(want.outer_results.collect())
-    monkeypatch.setattr(nested.kernel, "MAX_PATTERNS", 3)
+    monkeypatch.setattr(nested.kernel, "PATTERN_BYTES", 3 * 8 * (2 + 4 * 2))
     got = nested.nested_cv(rows, None, 2, 2, 1, 2, seed=5, space=(["q1", "q2"], 1, 2))
     assert sorted(got.outer_results.collect()) == want and len(want) == 2
 
