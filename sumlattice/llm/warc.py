@@ -67,24 +67,55 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """Contents of the gzip members of a stream of chunks, decompressed as the chunks come."""
-    inflate, parts = zlib.decompressobj(31), []
-    started = False
-    for data in chunks:
-        while data:
-            started = True
+class _Members:
+    """Gzip members of a stream of chunks, inflated a CHUNK at a time and no further than was asked for."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.packed = filter(None, chunks), b""
+        self.inflate, self.plain = zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Inflate some bytes of the member; false at its end."""
+        while not self.inflate.eof:
+            self.packed = self.packed or next(self.chunks, b"")
             try:
-                parts.append(inflate.decompress(data))
+                made = self.inflate.decompress(self.packed, CHUNK)
             except zlib.error as e:
                 raise WarcError(f"damaged gzip member: {e}") from e
-            if not inflate.eof:
-                break
-            data = inflate.unused_data
-            yield b"".join(parts)
-            inflate, parts, started = zlib.decompressobj(31), [], False
-    if started:
-        raise WarcError("the last gzip member is cut off")
+            if not made and not self.packed and not self.inflate.eof:
+                raise WarcError("the last gzip member is cut off")
+            self.packed = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if made:
+                self.plain += made
+                return True
+        return False
+
+    def next(self) -> bool:
+        """Go to the next member; false where the archive ends."""
+        self.inflate, self.plain = zlib.decompressobj(31), bytearray()
+        self.packed = self.packed or next(self.chunks, b"")
+        return bool(self.packed)
+
+    def until(self, end: bytes) -> bytes:
+        """What stands before ``end``, which is passed over."""
+        seen = 0
+        while (at := self.plain.find(end, max(0, seen - len(end)))) < 0:
+            seen = len(self.plain)
+            if not self.more():
+                raise WarcError(f"not a record: {bytes(self.plain[:80])!r}")
+        out = bytes(self.plain[:at])
+        del self.plain[: at + len(end)]
+        return out
+
+    def exactly(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes, piece by piece."""
+        while n:
+            if not self.plain and not self.more():
+                raise WarcError("the member ends before its content length")
+            piece = bytes(self.plain[:n])
+            del self.plain[: len(piece)]
+            n -= len(piece)
+            yield piece
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -98,20 +129,30 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
 
 
 def read_records(chunks: Iterable[bytes]) -> Iterator[Record]:
-    """Records of an archive, one after the other, framed by Content-Length and checked by digest."""
-    for data in _members(chunks):
-        head, blank, rest = data.partition(b"\r\n\r\n")
-        first, *lines = head.split(b"\r\n")
-        if not first.startswith(b"WARC/") or not blank:
+    """Records of an archive, one after the other, framed by Content-Length and checked by digest.
+
+    A record's block is digested as it is inflated; a revisit, which has no payload, is
+    checked by ``checked`` against the response that it names.
+    """
+    members = _Members(chunks)
+    while members.next():
+        first, *lines = members.until(b"\r\n\r\n").split(b"\r\n")
+        if not first.startswith(b"WARC/"):
             raise WarcError(f"not a record: {first[:80]!r}")
         headers = _headers(lines)
         if not re.fullmatch(r"\d+", headers.get("content-length", "")):
             raise WarcError("no content length")
-        n = int(headers["content-length"])
-        if rest[n:] != b"\r\n\r\n":
+        n, digest, pieces = int(headers["content-length"]), hashlib.sha256(), []
+        for piece in members.exactly(n):
+            digest.update(piece)
+            pieces.append(piece)
+        while members.more():
+            if len(members.plain) > 4:
+                break
+        if members.plain != b"\r\n\r\n":
             raise WarcError(f"content length {n} doesn't frame the record")
-        record = Record(headers, rest[:n])
-        if (said := headers.get("warc-block-digest")) and said != f"sha256:{hashlib.sha256(record.block).hexdigest()}":
+        record = Record(headers, b"".join(pieces))
+        if (said := headers.get("warc-block-digest")) and said != f"sha256:{digest.hexdigest()}":
             raise WarcError(f"block digest of {headers.get('warc-record-id')} doesn't hold")
         if headers.get("content-type", "").startswith("application/http"):
             http, _, record.payload = record.block.partition(b"\r\n\r\n")
@@ -173,6 +214,23 @@ def read_archives(archive_table: DataFrame) -> DataFrame:
     return archive_table.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def checked(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """The records, read once; a revisit whose response is missing or has another digest or length is an error.
+
+    Of several responses of one id one must agree.  Only revisits and the responses
+    that they name meet, by id and digest.
+    """
+    stage = Stage(spark, "warc-records")
+    records = stage.write(records, "records")
+    key = ["refers_to", "payload_digest", "payload_bytes"]
+    named = records.where("record_type = 'revisit'").select(*key).distinct()
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *key[1:])
+    lost = named.join(there, key, "left_anti").limit(1).collect()
+    if lost:
+        raise WarcError(f"no response of page {lost[0]['refers_to']} has the digest and length that its revisit states")
+    return records
+
+
 def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """The archive table of these pages, payloads of REVISIT_BYTES and more stored once.
 
@@ -191,7 +249,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(spark, table(spark, sf_dir, "pages")))
+    return checked(spark, read_archives(write_archives(spark, table(spark, sf_dir, "pages"))))
 
 
 QUERIES = {"op10_warc_round_trip": op10_warc_round_trip}

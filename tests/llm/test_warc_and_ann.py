@@ -15,12 +15,35 @@ def test_records_and_damage():
     assert gzip.decompress(data).startswith(b"WARC/1.1\r\n") and b"a%20b/%0D%0A" in gzip.decompress(data)
     with pytest.raises(warc.WarcError):
         [*warc.read_records([data[:-5]])]
+    with pytest.raises(warc.WarcError):
+        [*warc.read_records([data[: len(data) // 2]])]
     plain = gzip.decompress(warc.write_record(1, "u", b"hello"))
     for bad in (plain.replace(b"hello", b"jello"), plain.replace(b"Content-Length: 5\r\n\r\nhello", b"Content-Length: 5\r\n\r\nhell"), plain[:-1], b"nothing"):
         with pytest.raises(warc.WarcError):
             [*warc.read_records([gzip.compress(bad)])]
 
 
+def test_reader_inflates_no_more_than_a_chunk_ahead():
+    data = warc.write_record(1, "u", b"x" * (50 << 20)) + warc.write_record(2, "u", b"y")
+    members = warc._Members(data[i : i + 5000] for i in range(0, len(data), 5000))
+    assert members.next() and members.until(b"\r\n\r\n").startswith(b"WARC/1.1")
+    most, n = 0, 0
+    for piece in members.exactly(50 << 20):
+        most, n = max(most, len(piece) + len(members.plain)), n + len(piece)
+    assert n == 50 << 20 and most <= warc.CHUNK
+    assert [len(r.payload) for r in warc.read_records([data[:9], b"", data[9:], b""])] == [50 << 20, 1]
+    assert [*warc.read_records([])] == [] and [*warc.read_records([b""])] == []
+
+
+def test_revisits_are_checked(spark):
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 200, "a", "response", None), (2, 200, "a", "revisit", 1), (None, 0, "e", "response", None)]
+    assert sorted(map(str, warc.checked(spark, spark.createDataFrame(good, columns)).collect())) == sorted(map(str, spark.createDataFrame(good, columns).collect()))
+    for bad in ((3, 200, "b", "revisit", 1), (3, 201, "a", "revisit", 1), (3, 200, "a", "revisit", 2)):
+        with pytest.raises(warc.WarcError):
+            warc.checked(spark, spark.createDataFrame([*good, bad], columns))
+
+
 def test_pages(spark, tmp_path):
     big = "é" * 60
     rows = [(5, "u", big), (2, "u", big), (9, None, big), (2, "u", "short"), (7, "u", "short"), (1, "u", None), (None, "u", big), (3, "u", big + "!"), (9, None, big)]
