@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_RUNS: ContextVar[list[Stage] | None] = ContextVar("runs", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables of every operator run begun within, unless an error leaves early; what is to stay must be written elsewhere by then."""
+    runs: list[Stage] = []
+    token = _RUNS.set(runs)
+    try:
+        yield
+    finally:
+        _RUNS.reset(token)
+    for run in runs:
+        run.delete(run.root)
+
+
 class Stage:
     """Tables of one operator run, written to the shared folder and read back.
 
@@ -48,6 +66,8 @@ class Stage:
         self.count = 0
         self.tables: list[DataFrame] = []
         self.paths: dict[int, str] = {}
+        if (runs := _RUNS.get()) is not None:
+            runs.append(self)
 
     def path(self, label: str) -> str:
         self.count += 1
