@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sumlattice.llm import bpe, classifier, jaccard, packing, pii, substrings
-from sumlattice.llm.common import Stage, table
+from sumlattice.llm.common import Stage, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a stage's tables and its input go once its output is written."""
     stage = Stage(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, f in STAGES:
-        docs = stage.write(f(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch():
+            made = stage.write(f(spark, docs, sf_dir), name.replace(" ", "-"))
+        stage.drop(docs)
+        docs = made
     return docs
