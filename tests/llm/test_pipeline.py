@@ -1,5 +1,6 @@
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -7,12 +8,17 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from sumlattice.llm import bpe, classifier, pii
+from sumlattice.llm.common import shared_dir
 
 
 def test_stages(spark):
     path = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{path}/documents.parquet")
+    folder = Path(shared_dir(spark))
+    before = {*folder.iterdir()}
     out = pipeline.run(spark, path).toPandas()
+    (left,) = {*folder.iterdir()} - before  # the result's table alone
+    assert [p.name for p in left.iterdir()] == ["005-best-fit-packing"]
     assert len(pipeline.STAGES) == 5 and set(out["doc_id"]) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
     for _, f in pipeline.STAGES[1:4]:
