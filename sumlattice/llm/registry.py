@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, classifier, jaccard, packing, pii, quality_rules, substrings, toxicity, warc
+from . import ann, bpe, classifier, fim, jaccard, packing, pii, quality_rules, substrings, toxicity, warc
 
-_MODULES = (jaccard, substrings, pii, toxicity, quality_rules, ann, classifier, bpe, packing, warc)
+_MODULES = (jaccard, substrings, pii, toxicity, quality_rules, ann, classifier, bpe, packing, warc, fim)
 
 
 def queries() -> dict:
