@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, classifier, fim, jaccard, neardup, packing, pii, quality_rules, substrings, toxicity, warc
+from . import ann, bpe, classifier, fim, hardneg, jaccard, neardup, packing, pii, quality_rules, substrings, toxicity, warc
 
-_MODULES = (jaccard, substrings, pii, toxicity, quality_rules, ann, classifier, bpe, packing, warc, fim, neardup)
+_MODULES = (jaccard, substrings, pii, toxicity, quality_rules, ann, classifier, bpe, packing, warc, fim, neardup, hardneg)
 
 
 def queries() -> dict:
