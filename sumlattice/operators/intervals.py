@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.intervals import check_level, clopper_pearson, normal_quantile
 
 #: Candidates up to which those kept are broadcast.
@@ -17,6 +20,7 @@ SHARES = {
     "sensitivity": ("tp", ("tp", "fn")), "specificity": ("tn", ("tn", "fp")), "accuracy": (("tp", "tn"), ("tp", "tn", "fp", "fn")),
     "ppv": ("tp", ("tp", "fp")), "npv": ("tn", ("tn", "fn")),
 }
+DELONG = ("auc", "auc_se", "auc_lower", "auc_upper")
 INTERLEAVED = [c for m in ("auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv") for c in ([m] if m in ("cutoff", "youden") else [m, f"{m}_lower", f"{m}_upper"])]
 
 
@@ -24,30 +28,34 @@ def delong(freq: DataFrame, keys: Sequence[str] = ("combo_id",), level: float =
     """(keys, auc, auc_se, auc_lower, auc_upper) from (keys, score, p, n).
 
     With a the doubled placement value of a score's positives and b that of its
-    negatives, both variances are quotients of integer sums, exact whatever the order.
+    negatives, both variances are quotients of integer sums, exact whatever the order and
+    the counts.  Sums are made in the plan; a candidate's few of them meet on arrays.
     A class of fewer than two rows leaves the interval null.
     """
     z = normal_quantile(1 - (1 - check_level(level)) / 2)
     below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    zero, d = F.lit(0).cast("long"), lambda c: c.cast("decimal(38,0)")
+    zero = F.lit(0).cast("long")
     t = freq.withColumn("nb", F.coalesce(F.sum("n").over(below), zero)).withColumn("pb", F.coalesce(F.sum("p").over(below), zero))
     t = t.withColumn("all_p", F.sum("p").over(Window.partitionBy(*keys)))
     a = F.lit(2) * F.col("nb") + F.col("n")
     b = F.lit(2) * (F.col("all_p") - F.col("pb")) - F.col("p")
-    s = t.groupBy(*keys).agg(
-        F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), d(F.sum(F.col("p") * a)).alias("wins"),
-        F.sum((d(F.col("p")) * d(a * a)).cast("decimal(38,0)")).alias("a2"), F.sum((d(F.col("n")) * d(b * b)).cast("decimal(38,0)")).alias("b2"),
-    )
-    pos, neg, wins = F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), F.col("wins")
-    num = lambda total, square: (d(F.col(total)) * d(F.col(square)) - wins * wins).cast("double")
-    s10 = num("n_pos", "a2") / (F.lit(4.0) * pos * neg * neg * (pos - 1))
-    s01 = num("n_neg", "b2") / (F.lit(4.0) * neg * pos * pos * (neg - 1))
-    auc, enough = wins.cast("double") / (F.lit(2.0) * pos * neg), (pos >= 2) & (neg >= 2)
-    s = s.withColumn("auc", F.when((pos > 0) & (neg > 0), auc)).withColumn("auc_se", F.when(enough, F.sqrt(s10 / pos + s01 / neg)))
-    reach = F.lit(z) * F.col("auc_se")
-    low, high = F.greatest(F.lit(0.0), F.col("auc") - reach), F.least(F.lit(1.0), F.col("auc") + reach)
-    known = F.col("auc_se").isNotNull()
-    return s.select(*keys, "auc", "auc_se", F.when(known, low).alias("auc_lower"), F.when(known, high).alias("auc_upper"))
+    squares = [c.alias(f"{side}{i}") for side, w, v in (("a", "p", a), ("b", "n", b)) for i, c in enumerate(exact.square_parts(F.col(w), v))]
+    s = t.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), exact.total(exact.wide(F.col("p")) * exact.wide(a)).alias("wins"), *squares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {c: exact.integers(batch.column(c).to_pylist()) for c in batch.schema.names[len(keys) :]}
+            pos, neg, wins = own["n_pos"], own["n_neg"], own["wins"]
+            p, n = exact.doubles(pos), exact.doubles(neg)
+            spread = lambda total, side: exact.doubles(total * exact.join_parts(*(own[f"{side}{i}"] for i in range(3))) - wins * wins)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                auc = np.where((p > 0) & (n > 0), exact.doubles(wins) / (2.0 * p * n), np.nan)
+                se = np.sqrt(spread(pos, "a") / (4.0 * p * n * n * (p - 1)) / p + spread(neg, "b") / (4.0 * n * p * p * (n - 1)) / n)
+            se = np.where((p >= 2) & (n >= 2), se, np.nan)
+            made = auc, se, np.maximum(0.0, auc - z * se), np.minimum(1.0, auc + z * se)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(v, from_pandas=True) for v in made)], [*keys, *DELONG])
+
+    return s.mapInArrow(run, ", ".join([*(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} double" for c in DELONG)]))
 
 
 def share_intervals(df: DataFrame, level: float = 0.95) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import exact
 from ..functions.combos import level_sizes, unrank_global
 
 #: Bytes of scores that a task holds at a time, and of the patterns and counts that are broadcast, at most.
@@ -55,9 +56,9 @@ def histograms(scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.nda
         at = (scores - low).astype(np.int64) + (np.arange(m) * width)[:, None]
         if ((p + n) == 1).all():
             pos, neg = np.bincount(at[:, p == 1].ravel(), minlength=m * width), np.bincount(at[:, n == 1].ravel(), minlength=m * width)
-        else:  # counts below 2**53 are exact as weights
-            pos = np.bincount(at.ravel(), np.broadcast_to(p.astype(float), (m, u)).ravel(), m * width).astype(np.int64)
-            neg = np.bincount(at.ravel(), np.broadcast_to(n.astype(float), (m, u)).ravel(), m * width).astype(np.int64)
+        else:
+            pos = exact.bincount(at.ravel(), np.broadcast_to(p, (m, u)).ravel(), m * width)
+            neg = exact.bincount(at.ravel(), np.broadcast_to(n, (m, u)).ravel(), m * width)
         return np.broadcast_to(low + np.arange(width, dtype=float), (m, width)), pos.reshape(m, width), neg.reshape(m, width)
     order = np.argsort(scores, 1, kind="stable")
     s = np.take_along_axis(scores, order, 1)
@@ -74,7 +75,7 @@ def statistics(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, method: str
     """The candidate table's columns, a value for each row of histograms."""
     total_p, total_n = pos.sum(1), neg.sum(1)
     fn, tn = np.cumsum(pos, 1) - pos, np.cumsum(neg, 1) - neg
-    wins = (pos * (2 * tn + neg)).sum(1)
+    wins = exact.doubles(exact.dot(pos, 2 * tn + neg))
     there = (pos + neg) > 0
     tp, fp = total_p[:, None] - fn, total_n[:, None] - tn
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -1,7 +1,7 @@
 """Score frequencies, tie-aware ROC statistics and optimal cutoffs as DataFrame plans.
 
-Counts stay longs.  AUC is an integer sum over one product, so it is the correctly
-rounded quotient; Youden's index is evaluated as (tp/P + tn/N) - 1, since ties are
+Counts stay longs, sums of their products are exact decimals.  AUC is an integer sum over
+one product, each rounded once; Youden's index is evaluated as (tp/P + tn/N) - 1, since ties are
 broken on the doubles themselves.
 """
 
@@ -12,12 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import total, wide
+
 METRICS = ("auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
 
 
-def compress(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of equal items become one pattern (keys, x, p, n): every statistic depends on these counts only."""
-    return rows.groupBy(*keys, "x").agg(F.sum("y").alias("p"), F.sum(F.lit(1) - F.col("y")).alias("n"))
+def compress(rows: DataFrame, keys: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """Rows of equal items become one pattern (keys, x, p, n): every statistic depends on these counts only.
+
+    ``times`` names a column that says how many rows a row stands for.
+    """
+    n = F.lit(1) if times is None else F.col(times).cast("long")
+    return rows.groupBy(*keys, "x").agg(F.sum(F.col("y") * n).alias("p"), F.sum((F.lit(1) - F.col("y")) * n).alias("n"))
 
 
 def sum_score(x: str = "x", idx: str = "item_idx") -> Column:
@@ -72,7 +78,7 @@ def cutoff_order(method: str) -> Column:
 
 def auc_terms() -> Column:
     """Twice the pairs that a score's positives win, ties half: negatives below are true negatives."""
-    return F.col("p") * (F.lit(2) * F.col("tn") + F.col("n"))
+    return wide(F.col("p")) * wide(F.lit(2) * F.col("tn") + F.col("n"))
 
 
 def candidate_table(freq: DataFrame, keys: Sequence[str] = ("combo_id", "n_items"), method: str = "youden") -> DataFrame:
@@ -83,17 +89,17 @@ def candidate_table(freq: DataFrame, keys: Sequence[str] = ("combo_id", "n_items
     t = roc_table(freq, keys)
     kept = ("cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv", "tp", "fp", "fn", "tn")
     best = t.groupBy(*keys).agg(
-        F.sum(auc_terms()).alias("wins"), F.first("n_positive").alias("n_positive"), F.first("n_negative").alias("n_negative"),
+        total(auc_terms()).alias("wins"), F.first("n_positive").alias("n_positive"), F.first("n_negative").alias("n_negative"),
         F.max_by(F.struct(*kept), cutoff_order(method)).alias("b"),
     )
     pairs = F.lit(2.0) * F.col("n_positive") * F.col("n_negative")
-    return best.select(*keys, F.when(pairs > 0, F.col("wins") / pairs).alias("auc"), "b.*", "n_positive", "n_negative")
+    return best.select(*keys, F.when(pairs > 0, F.col("wins").cast("double") / pairs).alias("auc"), "b.*", "n_positive", "n_negative")
 
 
 def auc_of(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, auc, n_positive, n_negative): null where a class is missing."""
     below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     t = freq.withColumn("tn", F.coalesce(F.sum("n").over(below), F.lit(0).cast("long")))
-    a = t.groupBy(*keys).agg(F.sum(auc_terms()).alias("wins"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
+    a = t.groupBy(*keys).agg(total(auc_terms()).alias("wins"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
     pairs = F.lit(2.0) * F.col("n_positive") * F.col("n_negative")
-    return a.select(*keys, F.when(pairs > 0, F.col("wins") / pairs).alias("auc"), "n_positive", "n_negative")
+    return a.select(*keys, F.when(pairs > 0, F.col("wins").cast("double") / pairs).alias("auc"), "n_positive", "n_negative")

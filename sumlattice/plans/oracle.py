@@ -8,8 +8,8 @@ from ..functions.combos import enumerate_combinations
 from ..functions.intervals import normal_quantile
 
 
-def frequencies(rows: str, items: Sequence[str], low: int, high: int, keys: Sequence[str] = ()) -> str:
-    """CTEs up to ``freq`` (keys, combo_id, n_items, items, score, p, n)."""
+def frequencies(rows: str, items: Sequence[str], low: int, high: int, keys: Sequence[str] = (), times: str = "1") -> str:
+    """CTEs up to ``freq`` (keys, combo_id, n_items, items, score, p, n); a row stands for ``times`` rows."""
     lines = []
     for rank, c in enumerate(enumerate_combinations(len(items), low, high)):
         marks = ", ".join(str(int(i in c)) for i in range(len(items)))
@@ -19,7 +19,7 @@ def frequencies(rows: str, items: Sequence[str], low: int, high: int, keys: Sequ
     by = "".join(f"{k}, " for k in keys)
     return f"""src AS ({rows}),
 cand(combo_id, n_items, items, {marks}) AS (VALUES {', '.join(lines)}),
-freq AS (SELECT {by}CAST(combo_id AS BIGINT) AS combo_id, n_items, items, {score} AS score, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n
+freq AS (SELECT {by}CAST(combo_id AS BIGINT) AS combo_id, n_items, items, {score} AS score, CAST(sum(y * {times}) AS BIGINT) AS p, CAST(sum((1 - y) * {times}) AS BIGINT) AS n
   FROM src CROSS JOIN cand GROUP BY ALL)"""
 
 
@@ -33,7 +33,7 @@ def tables(freq: str, keys: Sequence[str], carry: Sequence[str] = (), prefix: st
     CAST(coalesce(sum(p) OVER (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS fn,
     CAST(coalesce(sum(n) OVER (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tn FROM {freq}),
 {prefix}roc AS (SELECT *, {metrics()} FROM (SELECT *, n_positive - fn AS tp, n_negative - tn AS fp FROM {prefix}low)),
-{prefix}best AS (SELECT * FROM (SELECT *, CAST(sum(p * (2 * tn + n)) OVER (PARTITION BY {k}) AS DOUBLE) / (2.0::DOUBLE * n_positive::DOUBLE * n_negative::DOUBLE) AS auc,
+{prefix}best AS (SELECT * FROM (SELECT *, CAST(sum(CAST(p AS HUGEINT) * (2 * tn + n)) OVER (PARTITION BY {k}) AS DOUBLE) / (2.0::DOUBLE * n_positive::DOUBLE * n_negative::DOUBLE) AS auc,
     row_number() OVER (PARTITION BY {k} ORDER BY {order}) AS pick FROM {prefix}roc) WHERE pick = 1)"""
 
 
@@ -46,10 +46,10 @@ def metrics() -> str:
 SHOWN = "items, n_items, auc, cutoff, sensitivity, specificity, youden, accuracy, ppv, npv, n_positive, n_negative, combo_id"
 
 
-def search(rows: str, items: Sequence[str], low: int, high: int, rank_by: str = "auc", top_n: int | None = 20, prefer_fewer: bool = True, method: str = "youden", where: str = "TRUE", order: str | None = None) -> str:
+def search(rows: str, items: Sequence[str], low: int, high: int, rank_by: str = "auc", top_n: int | None = 20, prefer_fewer: bool = True, method: str = "youden", where: str = "TRUE", order: str | None = None, times: str = "1") -> str:
     order = order or f"{rank_by} DESC NULLS LAST, {'n_items ASC, ' if prefer_fewer else ''}combo_id ASC"
     limit = f"WHERE rank <= {top_n}" if top_n is not None else ""
-    return f"""WITH {frequencies(rows, items, low, high)}, {tables('freq', ['combo_id'], ['n_items', 'items'], method=method)}
+    return f"""WITH {frequencies(rows, items, low, high, times=times)}, {tables('freq', ['combo_id'], ['n_items', 'items'], method=method)}
 SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, {SHOWN} FROM best WHERE {where}) {limit}"""
 
 
@@ -66,6 +66,17 @@ var AS (SELECT combo_id, s::DOUBLE / (2.0::DOUBLE * pp::DOUBLE * nn::DOUBLE) AS
 SELECT combo_id, auc, auc_se, greatest(0.0::DOUBLE, auc - {z}::DOUBLE * auc_se) AS auc_lower, least(1.0::DOUBLE, auc + {z}::DOUBLE * auc_se) AS auc_upper FROM var"""
 
 
+def weighted_delong(rows: str, items: Sequence[str], low: int, high: int, times: str) -> str:
+    """AUC and its standard error in doubles about the mean, for counts whose squares no whole number of SQL holds."""
+    return f"""WITH {frequencies(rows, items, low, high, times=times)},
+place AS (SELECT combo_id, CAST(p AS DOUBLE) AS p, CAST(n AS DOUBLE) AS n, CAST(sum(p) OVER w AS DOUBLE) AS pp, CAST(sum(n) OVER w AS DOUBLE) AS nn,
+    CAST(2 * coalesce(sum(n) OVER b, 0) + n AS DOUBLE) / 2 AS a, CAST(2 * (sum(p) OVER w - coalesce(sum(p) OVER b, 0)) - p AS DOUBLE) / 2 AS d FROM freq
+    WINDOW w AS (PARTITION BY combo_id), b AS (PARTITION BY combo_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+mean AS (SELECT *, sum(p * a) OVER (PARTITION BY combo_id) / pp / nn AS auc FROM place)
+SELECT combo_id, round(max(auc), 12) AS auc, round(1e9 * sqrt(sum(p * (a / nn - auc) * (a / nn - auc)) / (max(pp) - 1) / max(pp) + sum(n * (d / pp - auc) * (d / pp - auc)) / (max(nn) - 1) / max(nn)), 6) AS auc_se_billionths
+FROM mean GROUP BY combo_id"""
+
+
 def folds(rows: str, k: int, repeats: int, seed: int) -> str:
     """SELECT of the rows with ``repeat`` and ``fold``."""
     return f"""SELECT *, CAST(ntile({k}) OVER (PARTITION BY repeat, y ORDER BY md5(CAST({seed} + repeat - 1 AS VARCHAR) || '|' || CAST(row_id AS VARCHAR)), row_id) AS INTEGER) AS fold

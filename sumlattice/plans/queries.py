@@ -42,18 +42,22 @@ VIEWS: dict[str, tuple[str, str | None, str, list[str]]] = {
 }
 
 
-def _select(view: str, spark_dialect: bool) -> str:
+#: How many rows a row of ``lineitem_items`` stands for in the weighted queries; squares of their sums are beyond longs.
+TIMES = "(CAST(l_orderkey AS BIGINT) * 1000003 + l_partkey)"
+
+
+def _select(view: str, spark_dialect: bool, more: str = "") -> str:
     source, key, y, items = VIEWS[view]
     at = {f"e{i}": f"embedding[{i - spark_dialect}]" for i in range(1, 6)}
     shown = ", ".join(f"{x.format(**at)} AS q{i}" for i, x in enumerate(items, 1))
-    return f"SELECT {f'{key} AS row_id, ' if key else ''}CASE WHEN {y} THEN 1 ELSE 0 END AS y, {shown} FROM {source}"
+    return f"SELECT {f'{key} AS row_id, ' if key else ''}CASE WHEN {y} THEN 1 ELSE 0 END AS y, {shown}{more} FROM {source}"
 
 
-def rows(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str, view: str, more: str = "") -> DataFrame:
     """The view over the driver's tables; parameters keep names of temporary views out of the session."""
     source = VIEWS[view][0]
     names = [t for t in ("lineitem", "orders", "customer", "documents", "labels", "events", "embeddings") if t in source.replace("(", " ").split()]
-    sql = _select(view, True)
+    sql = _select(view, True, more)
     for t in names:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}} AS {t}").replace(f"JOIN {t}", f"JOIN {{{t}}} AS {t}")
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
@@ -79,6 +83,24 @@ def patterns(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return roc.compress(prepare.strict(rows(spark, sf_dir, view), "y", ITEMS))
 
 
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rows(spark, sf_dir, "lineitem_items", f", {TIMES} AS times")
+    return roc.compress(made.select("y", F.array(*(F.col(q).cast("double") for q in ITEMS)).alias("x"), "times"), times="times")
+
+
+def _weighted_search(engine: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = search.score_all(_weighted(spark, sf_dir), ITEMS, 1, 3, "youden", engine)
+        return ranking.ranked(made, ranking.candidate_order(), 20).select(*search.COLUMNS, "combo_id").withColumn("auc", F.round("auc", 12))
+
+    return run
+
+
+def q_weighted_delong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = intervals.delong(roc.score_frequencies(_weighted(spark, sf_dir), combos.candidate_rows(spark, ITEMS, 1, 2)))
+    return made.select("combo_id", F.round("auc", 12).alias("auc"), F.round(F.lit(1e9) * F.col("auc_se"), 6).alias("auc_se_billionths"))
+
+
 _SHOWN = ("cutoff", "tp", "fp", "fn", "tn", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
 
 
@@ -231,6 +253,8 @@ def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _L, _O = sql("lineitem_items"), sql("order_items")
 _PATTERNS = f"SELECT {', '.join(f'CAST({q} AS DOUBLE) AS {q}' for q in ITEMS)}, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM ({{}}) GROUP BY ALL"
+_LW = _select("lineitem_items", False, f", {TIMES} AS times")
+_WEIGHTED = f"SELECT * REPLACE (round(auc, 12) AS auc) FROM ({oracle.search(_LW, ITEMS, 1, 3, times='times')})"
 _ONE = f"WITH {oracle.frequencies(_L, ITEMS, 3, 3)}, one AS (SELECT * FROM freq WHERE combo_id = 0)"
 _COLS = "cutoff, tp, fp, fn, tn, sensitivity, specificity, youden, accuracy, ppv, npv"
 _N = oracle.nested(_O, ITEMS, 1, 2, NESTED["outer_k"], NESTED["inner_k"], NESTED["repeats"], NESTED["top"], NESTED["seed"])
@@ -263,6 +287,9 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "enumerate_combinations": (q_enumerate, f"WITH {oracle.frequencies(_L, ITEMS, 1, 3)} SELECT CAST(combo_id AS BIGINT) AS combo_id, n_items, items FROM cand"),
     "delong_ci": (q_delong, oracle.delong(_O, ITEMS, 1, 2)),
     "clopper_pearson_ci": (q_final_fit, None),
+    "weighted_search": (_weighted_search("relational"), _WEIGHTED),
+    "weighted_search_kernel": (_weighted_search("kernel"), _WEIGHTED),
+    "weighted_delong": (q_weighted_delong, oracle.weighted_delong(_LW, ITEMS, 1, 2, "times")),
     "rank_without_limit": (q_rank_all, "SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem"),
     "brute_force": (q_brute_force, oracle.search(_O, ITEMS, 1, 2, top_n=10)),
     "stored_results": (q_stored, oracle.search(_O, ITEMS, 1, 3)),
