@@ -8,21 +8,28 @@ are small whatever the number of rows, are written once, as several outputs read
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.combos import candidates as subsets
+from ..functions.combos import count_combinations
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, choice
-from ..sources.staging import staged
+from ..sources.staging import drop, few, staged
 from . import kernel
-from .folds import assign, stratified_folds
+from .folds import stratified_folds
+from .inner import divided, prefix_digits
+from .intervals import BROADCAST_CANDIDATES
 from .ranking import first_per, preselect_order
 from .roc import auc_of, candidate_table, compress, score_frequencies, sum_score, with_metrics
 
 
+#: Candidates that the plan beyond the kernel broadcasts at a time, 20 MB about.
+CANDIDATE_BLOCK = 200_000
+
+
 @dataclass
 class NestedResult:
     """Tables of a nested cross-validation; ``summary`` has a row for each outer fold."""
@@ -53,18 +60,18 @@ class NestedResult:
     __str__ = report
 
 
-def train_frequencies(test: DataFrame, keys: Sequence[str], fold_keys: Sequence[str], fold: str) -> DataFrame:
+def train_frequencies(test: DataFrame, keys: Sequence[str], fold_keys: Sequence[str], fold: str, folds: DataFrame | None = None) -> DataFrame:
     """Training counts of every fold from test counts (keys, fold, score, p, n), by subtraction.
 
     ``keys`` name a candidate within its ``fold_keys`` (those that folds belong to).
+    ``folds`` (fold_keys, fold) are all folds, read from ``test``, which is written then, if not given.
     """
-    whole = test.groupBy(*keys, "score").agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
-    folds = test.select(*fold_keys, fold).distinct()
-    every = whole.join(folds, [*fold_keys]) if fold_keys else whole.crossJoin(F.broadcast(folds))
-    own = test.select(*keys, fold, "score", F.col("p").alias("p_own"), F.col("n").alias("n_own"))
-    left = every.join(own, [*keys, fold, "score"], "left")
-    p, n = F.col("p_all") - F.coalesce("p_own", F.lit(0)), F.col("n_all") - F.coalesce("n_own", F.lit(0))
-    return left.select(*keys, fold, "score", p.alias("p"), n.alias("n")).where("p + n > 0")
+    folds = few(test.select(*fold_keys, fold).distinct()) if folds is None else F.broadcast(folds)
+    # A score's counts in each fold, as many as there are folds, stay together.
+    cells = test.groupBy(*keys, "score").agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"), F.map_from_entries(F.collect_list(F.struct(fold, F.struct("p", "n")))).alias("own"))
+    every = cells.join(folds, [*fold_keys]).withColumn("own", F.try_element_at("own", F.col(fold)))
+    p, n = F.col("p_all") - F.coalesce("own.p", F.lit(0)), F.col("n_all") - F.coalesce("own.n", F.lit(0))
+    return every.select(*keys, fold, "score", p.alias("p"), n.alias("n")).where("p + n > 0")
 
 
 def train_search(folds: DataFrame, candidates: DataFrame, method: str = "youden") -> tuple[DataFrame, DataFrame]:
@@ -96,32 +103,19 @@ def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: in
     """Means of each preselected candidate over inner folds of its outer training set.
 
     ``folds`` has a row for each row and repeat, ``chosen`` (repeat, fold, position,
-    combo_id, n_items, item_idx) is what the first search kept: a few rows for each outer
-    fold, which is why it is broadcast.  With "own" inner folds the i-th outer fold's
-    j-th candidate has folds from seed + i + j, for which each row is divided once for every
-    candidate.  With "shared" ones all have those of seed + i: rows are divided once for each
-    outer fold, become patterns, and only patterns meet candidates.
+    combo_id, n_items, item_idx) is what the first search kept.  With "own" inner folds the
+    i-th outer fold's j-th candidate has folds from seed + i + j, with "shared" ones all have
+    those of seed + i.  Either way rows become counts of patterns for each division, and
+    only patterns meet candidates.
     """
     choice(inner_folds, INNER_FOLDS, "inner_folds")
     number = ((F.col("repeat") - 1) * F.lit(outer_k) + F.col("outer_fold")).cast("int")
-    own = F.broadcast(chosen.withColumnRenamed("fold", "outer_fold"))
-    shared = inner_folds == "shared"
-    rows = folds.select("row_id", "y", "x", "repeat", "fold").join(F.broadcast(chosen.select("repeat", F.col("fold").alias("outer_fold")).distinct()) if shared else own, "repeat").where("fold <> outer_fold")
-    if not shared:
-        rows = rows.withColumn("score", sum_score()).select("row_id", "y", "score", "repeat", "outer_fold", "position", "combo_id", "n_items")
-    keys = ["repeat", "outer_fold", "position"]
-    least = folds.groupBy("repeat", "fold", "y").agg(F.count("*").alias("c"))
-    whole = Window.partitionBy("repeat", "y")
-    least = least.withColumn("left", F.sum("c").over(whole) - F.col("c")).groupBy("repeat", F.col("fold").alias("outer_fold")).agg(F.least(F.min("left"), F.lit(k)).alias("k"))
-    rows = rows.join(F.broadcast(least), ["repeat", "outer_fold"])
-    if shared:
-        patterns = compress(assign(rows, F.lit(seed) + number, F.col("k"), keys[:2], "inner"), ["repeat", "outer_fold", "inner"])
-        scored, p, n = patterns.join(own, keys[:2]).withColumn("score", sum_score()), F.col("p"), F.col("n")
-    else:
-        scored, p, n = assign(rows, F.lit(seed) + number + F.col("position"), F.col("k"), keys, "inner"), F.col("y"), F.lit(1) - F.col("y")
-    cells = staged(scored.groupBy(*keys, "combo_id", "n_items", "inner", "score").agg(F.sum(p).alias("p"), F.sum(n).alias("n")), "inner-counts")
-    ids = [*keys, "combo_id", "n_items"]
-    train = candidate_table(train_frequencies(cells, ids, keys, "inner"), [*ids, "inner"], method)
+    chosen = chosen.withColumnRenamed("fold", "outer_fold").withColumn("seed", F.lit(seed) + number + (F.col("position") if inner_folds == "own" else F.lit(0)))
+    patterns = divided(folds, chosen.select("repeat", "outer_fold", "seed").distinct(), k, prefix_digits(folds.count()))
+    ids = ["repeat", "outer_fold", "position", "combo_id", "n_items"]
+    scored = patterns.join(few(chosen, BROADCAST_CANDIDATES), ["repeat", "outer_fold", "seed"]).withColumn("score", sum_score())
+    cells = staged(scored.groupBy(*ids, "inner", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "inner-counts")
+    train = candidate_table(train_frequencies(cells, ids, ids[:3], "inner"), [*ids, "inner"], method)
     test = at_cutoff(cells, train, [*ids, "inner"])
     return test.groupBy(*ids).agg(
         fold_mean(F.coalesce("auc", F.lit(0.5)), "inner").alias("mean_auc"), fold_mean(F.col("sensitivity"), "inner").alias("mean_sensitivity"),
@@ -129,12 +123,32 @@ def inner_cv(folds: DataFrame, chosen: DataFrame, k: int, seed: int, outer_k: in
     )
 
 
+def kept_per_fold(counts: DataFrame, blocks: Iterable[DataFrame], top_n: int, by: str, method: str = "youden") -> DataFrame:
+    """The best ``top_n`` candidates of each training set, with the search's columns.
+
+    ``counts`` (repeat, fold, x, p, n) are test counts of patterns, written; ``blocks`` are
+    tables of candidates, each of which is broadcast in its turn.  What is kept is carried
+    from block to block, so that no table holds more than a block's candidates of every fold.
+    """
+    kept, folds = None, staged(counts.select("repeat", "fold").distinct(), "fold-names")
+    for block in blocks:
+        test = score_frequencies(counts, F.broadcast(block), ["repeat", "fold"])
+        found = candidate_table(train_frequencies(test, ["repeat", "combo_id", "n_items"], ["repeat"], "fold", folds), ["repeat", "fold", "combo_id", "n_items"], method)
+        found = first_per(found, ["repeat", "fold"], preselect_order(by), top_n).join(F.broadcast(block.select("combo_id", "items", "item_idx")), "combo_id")
+        if kept is not None:
+            found = first_per(kept.unionByName(found).drop("position"), ["repeat", "fold"], preselect_order(by), top_n)
+        kept, old = staged(found, "kept"), kept
+        if old is not None:
+            drop(old)
+    return kept
+
+
 def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, inner_k: int = 4, outer_repeats: int = 1, preselect_top_n: int = 20, preselect_by: str = "auc", selection_criterion: str = "auc", method: str = "youden", seed: int = 1, space: tuple[Sequence[str], int, int] | None = None, inner_folds: str = "own", workers: int | None = None, chunk: int | None = None) -> NestedResult:
     """Nested cross-validation of (row_id, y, x) over the candidates.
 
     For very many candidates give ``space`` (items, min_items, max_items) instead: the
-    kernel searches it for all folds at once, and only what it keeps is scored as a plan.
-    Where the kernel can't hold the patterns, all of ``space`` is scored as a plan.
+    kernel searches it for all folds at once.  Where the kernel can't hold the patterns,
+    ``space`` is scored as a plan, CANDIDATE_BLOCK candidates at a time.
 
     Search, cutoffs and choice see an outer fold's training rows only; the chosen set
     meets its test rows once.
@@ -142,23 +156,25 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
     choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method"), choice(inner_folds, INNER_FOLDS, "inner_folds")
     folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
     k = folds.agg(F.max("fold")).first()[0]
-    counts = compress(folds, ["repeat", "fold"])
+    counts = staged(compress(folds, ["repeat", "fold"]), "fold-patterns")
     if space is not None and not kernel.holds(counts, len(space[0]), k * outer_repeats):
-        candidates, space = subsets(rows.sparkSession, *space), None  # more than the kernel holds: the plan, whose results are equal
-    if space is None:
-        search, test = train_search(folds, candidates, method)
-        kept = first_per(search, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n)
-        kept = staged(kept.join(candidates.select("combo_id", "items", "item_idx"), "combo_id"), "kept")
+        # More than the kernel holds: the plan, whose results are equal, in blocks.
+        total = count_combinations([*space[0]], *space[1:])
+        kept = kept_per_fold(counts, (subsets(rows.sparkSession, *space, at, CANDIDATE_BLOCK) for at in range(0, total, CANDIDATE_BLOCK)), preselect_top_n, preselect_by, method)
+    elif space is None:
+        kept = kept_per_fold(counts, [candidates], preselect_top_n, preselect_by, method)
     else:
         order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
         found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method, workers, chunk)
         kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
-        pool = kept.select("combo_id", "n_items", "item_idx").distinct()  # preselect_top_n for each fold at most
-        test = staged(score_frequencies(counts, F.broadcast(pool), ["repeat", "fold"]), "test-counts")
     inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method, inner_folds)
     best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
     keys = ["repeat", "fold", "combo_id", "n_items"]
-    picked = staged(best.select(*keys, "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
+    picked = staged(best.select(*keys, F.col(f"mean_{selection_criterion}").alias("criterion"), "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
+    if (usable := picked.where("criterion IS NOT NULL").count()) < k * outer_repeats:
+        raise ValueError(f"{k * outer_repeats - usable} outer folds have no candidate with a mean {selection_criterion} over inner folds")
+    own = counts.join(F.broadcast(picked.select("repeat", "fold", "combo_id", "n_items", "item_idx")), ["repeat", "fold"])  # a candidate for each fold
+    test = own.groupBy(*keys, sum_score().alias("score")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     shown = at_cutoff(test, picked, keys).drop("cutoff")
     name = F.concat(F.lit("Rep"), F.col("repeat").cast("string"), F.lit("_Fold"), F.col("fold").cast("string"))
     out = picked.join(shown, keys).withColumn("outer_fold", name).withColumnRenamed("items", "selected_items")

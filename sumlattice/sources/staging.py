@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few values up to which a table is broadcast: 20 MB about.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,4 +28,24 @@ def staged(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/sumlattice-{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._staged_at = at
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        fs, path = file_system(df.sparkSession, df._staged_at)
+        fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, at: str) -> tuple:
+    """Hadoop's file system and path of a place in any store that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of small rows with a broadcast hint if they were counted and are few; else Spark shuffles both sides of its join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
