@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of columns, criteria and modes that callers and stored tables use.
 CONDITION_COLUMNS = ("sensitivity", "specificity", "auc", "youden", "accuracy", "ppv", "npv", "n_items", "cutoff")
 RANK_COLUMNS = ("auc", "youden", "sensitivity", "specificity", "accuracy")
 RESULT_RANK_COLUMNS = (*RANK_COLUMNS, "ppv", "npv")
@@ -47,21 +48,24 @@ def filter_conditions(df: DataFrame, conditions: dict[str, str | None]) -> DataF
     return df
 
 
-_COUNT = re.compile(r"\s*(?:(?P<sign>[<=]\s*=)|(?P<low>\d+)\s*:)\s*(?P<high>\d+)\s*")
-
-
 def parse_item_count(text: object, n_available: int | None = None) -> tuple[int, int]:
-    """(min_items, max_items) of ``==n``, ``<=n`` or ``a:b``."""
+    """(min_items, max_items) of ``==n``, ``<=n`` or ``a:b``; blanks don't matter."""
     if not isinstance(text, str):
         raise ValueError("item_count must be text such as '==4', '<=4' or '2:4'")
-    # A bound is what stands left of the colon, the same as the other after "==", and 1 after "<=".
-    found = _COUNT.fullmatch(text)
-    if found is None:
-        raise ValueError(f"not an item count: {text!r}; write '==4', '<=4' or '2:4'")
-    high = int(found["high"])
-    low = int(found["low"] if found["sign"] is None else (high if found["sign"].startswith("=") else 1))
-    if not 1 <= low <= high <= (high if n_available is None else n_available):
-        raise ValueError(f"item_count {text!r} must ascend from 1 to at most the number of items")
+    words = [int(w) if w.isdecimal() else w for w in re.findall(r"==|<=|\d+|.", "".join(text.split()))]
+    match words:
+        case ["==", int(n)]:
+            low, high = n, n
+        case ["<=", int(n)]:
+            low, high = 1, n
+        case [int(a), ":", int(b)]:
+            low, high = a, b
+        case _:
+            raise ValueError(f"not an item count: {text!r}; write '==4', '<=4' or '2:4'")
+    if not 1 <= low <= high:
+        raise ValueError(f"the sizes of {text!r} must ascend from 1")
+    if n_available is not None and high > n_available:
+        raise ValueError(f"{text!r} asks for more than the {n_available} items")
     return low, high
 
 

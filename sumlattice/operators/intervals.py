@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,25 +58,31 @@ def delong(freq: DataFrame, keys: Sequence[str] = ("combo_id",), level: float =
 
 
 def share_intervals(df: DataFrame, level: float = 0.95) -> DataFrame:
-    """The table with exact intervals of its shares, from tp, fp, fn and tn."""
+    """The table with exact intervals of its shares, from tp, fp, fn and tn; those of all rows of a batch at once."""
     level = check_level(level)
     add = [f"{m}_{end}" for m in SHARES for end in ("lower", "upper")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} double" for c in add])
 
-    def total(r: dict, names: object) -> int:
-        return sum(r[c] for c in ((names,) if isinstance(names, str) else names))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {c: [] for c in add}
-            for r in b[["tp", "fp", "fn", "tn"]].to_dict("records"):
-                for m, (k, n) in SHARES.items():
-                    low, high = clopper_pearson(total(r, k), total(r, n), level)
-                    found[f"{m}_lower"].append(low), found[f"{m}_upper"].append(high)
-            yield b.assign(**{c: pd.Series(v, index=b.index, dtype="float64") for c, v in found.items()})
-
-    made = df.mapInPandas(run, schema)
-    return made.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in add else F.col(c) for c in made.columns))
+            of = {c: b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("tp", "fp", "fn", "tn")}
+            total = lambda names: sum(of[c] for c in ((names,) if isinstance(names, str) else names))
+            k, n = (np.stack([total(s[i]) for s in SHARES.values()]) for i in (0, 1))
+            low, high = clopper_pearson(k.ravel(), n.ravel(), level)
+            ends = [pa.array(v, from_pandas=True) for pair in zip(low.reshape(k.shape), high.reshape(k.shape)) for v in pair]
+            yield pa.RecordBatch.from_arrays([*b.columns, *ends], [*b.schema.names, *add])
+
+    return df.mapInArrow(run, schema)
+
+
+def with_counts(table: DataFrame) -> DataFrame:
+    """The table with tp, fp, fn and tn, which rates and class sizes determine where it hasn't any; null where they are."""
+    if {"tp", "fp", "fn", "tn"} <= {*table.columns}:
+        return table
+    pos, neg = (F.col(c).cast("long") for c in ("n_positive", "n_negative"))
+    hit = lambda rate, n: F.round(F.col(rate).cast("double") * n).cast("long")
+    table = table.drop("tp", "fp", "fn", "tn").withColumn("tp", hit("sensitivity", pos)).withColumn("tn", hit("specificity", neg))
+    return table.withColumn("fn", pos - F.col("tp")).withColumn("fp", neg - F.col("tn"))
 
 
 def with_intervals(top: DataFrame, patterns: DataFrame, level: float = 0.95) -> DataFrame:

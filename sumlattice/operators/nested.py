@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.combos import candidates as subsets
 from ..functions.combos import count_combinations
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, choice
-from ..sources.staging import drop, few, staged
+from ..sources.staging import few, scratch, staged
 from . import kernel
 from .folds import stratified_folds
 from .inner import divided, prefix_digits
@@ -26,6 +26,7 @@ from .ranking import first_per, preselect_order
 from .roc import auc_of, candidate_table, compress, score_frequencies, sum_score, with_metrics
 
 
+SUMMARY = ("outer_fold", "selected_items", "n_items", "auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
 #: Candidates that the plan beyond the kernel broadcasts at a time, 20 MB about.
 CANDIDATE_BLOCK = 200_000
 
@@ -137,9 +138,7 @@ def kept_per_fold(counts: DataFrame, blocks: Iterable[DataFrame], top_n: int, by
         found = first_per(found, ["repeat", "fold"], preselect_order(by), top_n).join(F.broadcast(block.select("combo_id", "items", "item_idx")), "combo_id")
         if kept is not None:
             found = first_per(kept.unionByName(found).drop("position"), ["repeat", "fold"], preselect_order(by), top_n)
-        kept, old = staged(found, "kept"), kept
-        if old is not None:
-            drop(old)
+        kept = staged(found, "kept")
     return kept
 
 
@@ -154,36 +153,37 @@ def nested_cv(rows: DataFrame, candidates: DataFrame | None, outer_k: int = 5, i
     meets its test rows once.
     """
     choice(preselect_by, CRITERIA, "preselect_by"), choice(selection_criterion, CRITERIA, "selection_criterion"), choice(method, CUTOFF_METHODS, "cutoff_method"), choice(inner_folds, INNER_FOLDS, "inner_folds")
-    folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
-    k = folds.agg(F.max("fold")).first()[0]
-    counts = staged(compress(folds, ["repeat", "fold"]), "fold-patterns")
-    if space is not None and not kernel.holds(counts, len(space[0]), k * outer_repeats):
-        # More than the kernel holds: the plan, whose results are equal, in blocks.
-        total = count_combinations([*space[0]], *space[1:])
-        kept = kept_per_fold(counts, (subsets(rows.sparkSession, *space, at, CANDIDATE_BLOCK) for at in range(0, total, CANDIDATE_BLOCK)), preselect_top_n, preselect_by, method)
-    elif space is None:
-        kept = kept_per_fold(counts, [candidates], preselect_top_n, preselect_by, method)
-    else:
-        order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
-        found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method, workers, chunk)
-        kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
-    inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method, inner_folds)
-    best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
-    keys = ["repeat", "fold", "combo_id", "n_items"]
-    picked = staged(best.select(*keys, F.col(f"mean_{selection_criterion}").alias("criterion"), "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
-    if (usable := picked.where("criterion IS NOT NULL").count()) < k * outer_repeats:
-        raise ValueError(f"{k * outer_repeats - usable} outer folds have no candidate with a mean {selection_criterion} over inner folds")
-    own = counts.join(F.broadcast(picked.select("repeat", "fold", "combo_id", "n_items", "item_idx")), ["repeat", "fold"])  # a candidate for each fold
-    test = own.groupBy(*keys, sum_score().alias("score")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    shown = at_cutoff(test, picked, keys).drop("cutoff")
-    name = F.concat(F.lit("Rep"), F.col("repeat").cast("string"), F.lit("_Fold"), F.col("fold").cast("string"))
-    out = picked.join(shown, keys).withColumn("outer_fold", name).withColumnRenamed("items", "selected_items")
-    summary = out.select("outer_fold", "selected_items", "n_items", "auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
-    results = out.select(*summary.columns, F.col("mean_auc").alias("inner_mean_auc"), F.col("mean_youden").alias("inner_mean_youden"))
-    n_folds = k * outer_repeats
-    frequency = out.groupBy(F.col("selected_items").alias("items")).agg(F.count("*").alias("n_selections")).withColumn("frequency", F.col("n_selections") / F.lit(float(n_folds))).orderBy(F.desc("frequency"), "items")
-    chosen = F.broadcast(picked.select("repeat", "fold", "item_idx", "cutoff"))
-    predicted = folds.join(chosen, ["repeat", "fold"]).withColumn("predicted_score", sum_score())
-    predictions = predicted.select(F.col("row_id").alias("row_index"), F.col("y").alias("true_outcome"), "predicted_score", (F.col("predicted_score") >= F.col("cutoff")).cast("int").alias("predicted_class"), F.col("fold_name").alias("outer_fold"))
-    settings = {"outer_k": k, "inner_k": inner_k, "outer_repeats": outer_repeats, "preselect_top_n": preselect_top_n, "preselect_by": preselect_by, "selection_criterion": selection_criterion, "cutoff_method": method, "inner_folds": inner_folds, "seed": seed}
-    return NestedResult(summary, results, summary.select("outer_fold", "selected_items"), frequency, predictions, settings)
+    with scratch(rows.sparkSession, results=False):
+        folds = staged(stratified_folds(rows, outer_k, outer_repeats, seed), "folds")
+        k = folds.agg(F.max("fold")).first()[0]
+        counts = staged(compress(folds, ["repeat", "fold"]), "fold-patterns")
+        if space is not None and not kernel.holds(counts, len(space[0]), k * outer_repeats):
+            # More than the kernel holds: the plan, whose results are equal, in blocks.
+            total = count_combinations([*space[0]], *space[1:])
+            kept = kept_per_fold(counts, (subsets(rows.sparkSession, *space, at, CANDIDATE_BLOCK) for at in range(0, total, CANDIDATE_BLOCK)), preselect_top_n, preselect_by, method)
+        elif space is None:
+            kept = kept_per_fold(counts, [candidates], preselect_top_n, preselect_by, method)
+        else:
+            order = [(c, True) for c in dict.fromkeys((preselect_by, "youden", "sensitivity", "specificity"))] + [("n_items", False), ("combo_id", False)]
+            found = kernel.score_folds(rows.sparkSession, counts, *space, preselect_top_n, order, method, workers, chunk)
+            kept = staged(first_per(found, ["repeat", "fold"], preselect_order(preselect_by), preselect_top_n), "kept")
+        inner = inner_cv(folds, kept.select("repeat", "fold", "position", "combo_id", "n_items", "item_idx"), inner_k, seed, k, method, inner_folds)
+        best = first_per(inner.withColumnRenamed("outer_fold", "fold"), ["repeat", "fold"], [F.desc_nulls_last(f"mean_{selection_criterion}"), F.asc("position")], 1, "pick")
+        keys = ["repeat", "fold", "combo_id", "n_items"]
+        picked = staged(best.select(*keys, F.col(f"mean_{selection_criterion}").alias("criterion"), "mean_auc", "mean_youden").join(kept.select(*keys, "items", "item_idx", "cutoff"), keys), "picked")
+        if (usable := picked.where("criterion IS NOT NULL").count()) < k * outer_repeats:
+            raise ValueError(f"{k * outer_repeats - usable} outer folds have no candidate with a mean {selection_criterion} over inner folds")
+        own = counts.join(F.broadcast(picked.select("repeat", "fold", "combo_id", "n_items", "item_idx")), ["repeat", "fold"])  # a candidate for each fold
+        test = own.groupBy(*keys, sum_score().alias("score")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        shown = at_cutoff(test, picked, keys).drop("cutoff")
+        name = F.concat(F.lit("Rep"), F.col("repeat").cast("string"), F.lit("_Fold"), F.col("fold").cast("string"))
+        out = picked.join(shown, keys).withColumn("outer_fold", name).withColumnRenamed("items", "selected_items")
+        results = out.select(*SUMMARY, F.col("mean_auc").alias("inner_mean_auc"), F.col("mean_youden").alias("inner_mean_youden"))
+        results, n_folds = staged(results, "outer-results", result=True), k * outer_repeats
+        frequency = results.groupBy(F.col("selected_items").alias("items")).agg(F.count("*").alias("n_selections")).withColumn("frequency", F.col("n_selections") / F.lit(float(n_folds))).orderBy(F.desc("frequency"), "items")
+        chosen = F.broadcast(picked.select("repeat", "fold", "item_idx", "cutoff"))
+        predicted = folds.join(chosen, ["repeat", "fold"]).withColumn("predicted_score", sum_score())
+        predictions = predicted.select(F.col("row_id").alias("row_index"), F.col("y").alias("true_outcome"), "predicted_score", (F.col("predicted_score") >= F.col("cutoff")).cast("int").alias("predicted_class"), F.col("fold_name").alias("outer_fold"))
+        predictions, summary = staged(predictions, "outer-predictions", result=True), results.select(*SUMMARY)
+        settings = {"outer_k": k, "inner_k": inner_k, "outer_repeats": outer_repeats, "preselect_top_n": preselect_top_n, "preselect_by": preselect_by, "selection_criterion": selection_criterion, "cutoff_method": method, "inner_folds": inner_folds, "seed": seed}
+        return NestedResult(summary, results, summary.select("outer_fold", "selected_items"), frequency, predictions, settings)

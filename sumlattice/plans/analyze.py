@@ -13,9 +13,9 @@ from ..functions.combos import PRESETS, candidate_rows, count_combinations, sugg
 from ..functions.parsing import CRITERIA, CUTOFF_METHODS, RANK_COLUMNS, choice, item_bounds, resolve_items, resolve_parallel
 from ..operators.nested import INNER_FOLDS, NestedResult, nested_cv
 from ..operators.ranking import candidate_order, ranked
-from ..operators.roc import compress
 from ..sources import store
-from ..sources.prepare import lenient, strict
+from ..sources.prepare import prepared
+from ..sources.staging import scratch, staged
 from .search import COLUMNS, RELATIONAL_CANDIDATES, attach_intervals, score_all
 
 
@@ -126,19 +126,23 @@ class Analysis:
 def run_config(df: DataFrame, config: Config, row_id: str) -> NestedResult:
     """Nested cross-validation of a strict table with a unique ``row_id``, as configured."""
     items = resolve_items(df, config.items)
+    with scratch(df.sparkSession, results=False):
+        return _validated(prepared(df, config.outcome, items, config.positive_label, config.negative_label, row_id).rows, items, config, row_id)
+
+
+def _validated(rows: DataFrame, items: list[str], config: Config, row_id: str) -> NestedResult:
     low, high = config.sizes()
-    rows = strict(df, config.outcome, items, config.positive_label, config.negative_label, row_id)
     if rows.groupBy("row_id").count().where("count > 1 OR row_id IS NULL").limit(1).count():
         raise ValueError(f"{row_id} must name each row once")
     total = count_combinations(items, low, high)
-    pool, space = (candidate_rows(df.sparkSession, items, low, high), None) if total <= RELATIONAL_CANDIDATES else (None, (items, low, high))
+    pool, space = (candidate_rows(rows.sparkSession, items, low, high), None) if total <= RELATIONAL_CANDIDATES else (None, (items, low, high))
     return nested_cv(rows, pool, config.outer_k, config.inner_k, config.outer_repeats, config.preselect(items), config.preselect_by, config.selection_criterion, config.cutoff_method, config.seed, space, config.inner_folds, config.workers, config.chunk_size)
 
 
 def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n: int | None = 20, final_rank_by: str = "auc", ci: bool = True, conf_level: float = 0.95, results_storage: str = "auto", results_dir: str | None = None, output_dir: str | None = None, **settings: Any) -> Analysis:
     """Prepare, cross-validate, search all data, attach intervals, store.
 
-    ``row_id`` names a unique column: Spark's rows have no positions.
+    The table is read once.  ``row_id`` names a unique column: Spark's rows have no positions.
     """
     choice(final_rank_by, RANK_COLUMNS, "rank_by"), store.check_storage(results_storage)
     names = resolve_items(df, items)
@@ -146,20 +150,20 @@ def analyze(df: DataFrame, outcome: str, items: object, row_id: str, final_top_n
     low, high = config.sizes()
     if final_top_n is not None:
         whole(final_top_n, "final_top_n")
-    clean = lenient(df, outcome, names, row_id)
-    nested = run_config(clean, config, row_id)
-    patterns = compress(strict(clean, outcome, names, config.positive_label, config.negative_label))
     facts = {"outcome": outcome, "items": names, "min_items": low, "max_items": min(high, len(names)), "cutoff_method": config.cutoff_method, "rank_by": final_rank_by, "positive_label": config.positive_label, "negative_label": config.negative_label}
-    total = count_combinations(names, low, high)
-    full, path, hit = store.keep(clean.drop(row_id), lambda best: score_all(patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by, top_n=best, workers=config.workers, chunk=config.chunk_size), facts, total, results_storage, results_dir, config.cache, config.cache_dir, final_top_n)
-    head = ranked(full, candidate_order(final_rank_by), final_top_n)
-    head = attach_intervals(head, patterns, names, conf_level, low, high) if ci else head.select(*COLUMNS, "combo_id")
-    out = Analysis(config, nested, head.where("rank = 1"), head, None if results_storage == "none" else full, df.count(), clean.count(), total, facts, path, hit)
+    total, order = count_combinations(names, low, high), candidate_order(final_rank_by)
+    with scratch(df.sparkSession, results=False):
+        data = prepared(df, outcome, names, config.positive_label, config.negative_label, row_id, lenient=True)
+        nested = _validated(data.rows, names, config, row_id)
+        full, path, hit = store.keep(data.patterns, lambda best: score_all(data.patterns, names, low, high, config.cutoff_method, config.engine, final_rank_by, top_n=best, workers=config.workers, chunk=config.chunk_size), facts, total, results_storage, results_dir, config.cache, config.cache_dir, final_top_n)
+        head = ranked(full, order, final_top_n)
+        head = staged(attach_intervals(head, data.patterns, names, conf_level, low, high) if ci else head.select(*COLUMNS, "combo_id"), "final-candidates", result=True)
+    out = Analysis(config, nested, head.where("rank = 1"), head, None if results_storage == "none" else full, data.n_original, data.n_analyzed, total, facts, path, hit)
     if output_dir:
-        store.write_csv(output_dir, {
+        store.write_csv(df.sparkSession, output_dir, {
             "nested_cv_outer_fold_results": nested.outer_results, "nested_cv_selected_models": nested.selected_models, "nested_cv_outer_predictions": nested.outer_predictions,
             "nested_cv_summary": nested.summary, "nested_cv_selected_model_frequency": nested.selected_model_frequency,
-            "final_exhaustive_results_ranked": ranked(full, candidate_order(final_rank_by)) if out.results is not None else None, "final_candidates": head, "final_model": out.final_model,
+            "final_exhaustive_results_ranked": ranked(full, order) if out.results is not None else None, "final_candidates": head.orderBy("rank"), "final_model": out.final_model,
         })
     return out
 

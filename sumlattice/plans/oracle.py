@@ -66,6 +66,28 @@ var AS (SELECT combo_id, s::DOUBLE / (2.0::DOUBLE * pp::DOUBLE * nn::DOUBLE) AS
 SELECT combo_id, auc, auc_se, greatest(0.0::DOUBLE, auc - {z}::DOUBLE * auc_se) AS auc_lower, least(1.0::DOUBLE, auc + {z}::DOUBLE * auc_se) AS auc_upper FROM var"""
 
 
+def final_fit(rows: str, items: Sequence[str], low: int, high: int, top_n: int, digits: int = 9, level: float = 0.95) -> str:
+    """The best candidates with intervals; ends of exact ones by halving until a sum of binomial terms is the tail, once for each pair of counts."""
+    shares = {"sensitivity": ("tp", "tp + fn"), "specificity": ("tn", "tn + fp"), "accuracy": ("tp + tn", "tp + fn + tn + fp"), "ppv": ("tp", "tp + fp"), "npv": ("tn", "tn + fn")}
+    asked = " UNION ".join(f"SELECT {k} AS k, {n} AS n FROM top" for k, n in shares.values())
+    term = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(x) + (n - i) * ln(1 - x))"
+    # Sums from k on grow with x, those up to k fall: both ends are where the sum is the tail.
+    above = f"list_sum(list_transform(range(k, n + 1), lambda i: {term}))"
+    below = f"list_sum(list_transform(range(0, k + 1), lambda i: {term}))"
+    show = ", ".join([f"round(d.{c}, {digits}) AS {c}" for c in ("auc", "auc_lower", "auc_upper")] + [f"round(t.{m}, {digits}) AS {m}, round({m}_e.low, {digits}) AS {m}_lower, round({m}_e.high, {digits}) AS {m}_upper" for m in shares])
+    joins = " ".join(f"JOIN ends {m}_e ON {m}_e.k = {k} AND {m}_e.n = {n}" for m, (k, n) in shares.items())
+    return f"""WITH RECURSIVE {frequencies(rows, items, low, high)}, {tables('freq', ['combo_id'], ['n_items', 'items'])},
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY auc DESC, n_items, combo_id) AS INTEGER) AS rank FROM best) WHERE rank <= {top_n}),
+asked AS (SELECT k, n, upper FROM ({asked}) CROSS JOIN (VALUES (FALSE), (TRUE)) u(upper) WHERE n > 0 AND k > 0 AND k < n),
+halving(k, n, upper, low, high, step) AS (SELECT k, n, upper, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM asked UNION ALL
+  SELECT k, n, upper, CASE WHEN grows THEN x ELSE low END, CASE WHEN grows THEN high ELSE x END, step + 1 FROM (SELECT *, CASE WHEN upper THEN {below} > {(1 - level) / 2} ELSE {above} < {(1 - level) / 2} END AS grows FROM (SELECT *, (low + high) / 2 AS x FROM halving WHERE step < 42))),
+found AS (SELECT k, n, upper, (low + high) / 2 AS x FROM halving WHERE step = 42),
+ends AS (SELECT a.k, a.n, CASE WHEN a.k = 0 THEN 0.0 WHEN a.k = a.n THEN pow({(1 - level) / 2}, 1.0 / a.n) ELSE l.x END AS low, CASE WHEN a.k = a.n THEN 1.0 WHEN a.k = 0 THEN 1 - pow({(1 - level) / 2}, 1.0 / a.n) ELSE h.x END AS high
+  FROM ({asked}) a LEFT JOIN found l ON l.k = a.k AND l.n = a.n AND NOT l.upper LEFT JOIN found h ON h.k = a.k AND h.n = a.n AND h.upper)
+SELECT t.rank, t.items, t.n_items, {show}, t.cutoff, round(t.youden, {digits}) AS youden, t.n_positive, t.n_negative, t.combo_id
+FROM top t JOIN ({delong(rows, items, low, high, level)}) d ON d.combo_id = t.combo_id {joins}"""
+
+
 def weighted_delong(rows: str, items: Sequence[str], low: int, high: int, times: str) -> str:
     """AUC and its standard error in doubles about the mean, for counts whose squares no whole number of SQL holds."""
     return f"""WITH {frequencies(rows, items, low, high, times=times)},

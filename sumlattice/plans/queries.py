@@ -150,19 +150,38 @@ def q_preselect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(combos.count_combinations(71, 1, 4, detail=True), "n_items int, n_combinations long")
+    """How many sets of up to four nations there are."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").count()
+    return spark.createDataFrame(combos.count_combinations(nations, 1, 4, detail=True), "n_items int, n_combinations long")
 
 
 def q_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combos.candidates(spark, ITEMS, 1, 3).select("combo_id", "n_items", "items")
+    """All sets of up to three regions, each with its suppliers."""
+    region, nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier"))
+    names = [r["r_name"] for r in region.select("r_name").orderBy("r_name").collect()]
+    sets = combos.candidates(spark, names, 1, 3).withColumn("r_name", F.explode(F.transform("item_idx", lambda i: F.get(F.array(*map(F.lit, names)), i))))
+    sizes = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    return sets.join(F.broadcast(sizes), "r_name", "left").groupBy("combo_id", "n_items", "items").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_suppliers"))
 
 
 def q_delong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.delong(roc.score_frequencies(patterns(spark, sf_dir, "order_items"), combos.candidate_rows(spark, ITEMS, 1, 2)))
 
 
+def _nine_digits(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if kind == "double" and c != "cutoff" else F.col(c) for c, kind in df.dtypes))
+
+
 def q_final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.final_fit(rows(spark, sf_dir, "order_items"), "y", ITEMS, 1, 2, top_n=10)
+    return _nine_digits(search.final_fit(rows(spark, sf_dir, "order_items"), "y", ITEMS, 1, 2, top_n=10).drop("performance_type"))
+
+
+def q_intervals_of_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals for what an earlier search left as a CSV file, which has no counts."""
+    df, folder = rows(spark, sf_dir, "order_items"), f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    found = search.brute_force(df, "y", ITEMS, item_count="<=2", top_n=10)
+    file = store.write_csv(spark, folder, {"candidates": found.candidates})[0]
+    return _nine_digits(search.add_intervals(spark.read.option("header", True).csv(file), df, "y", ITEMS))
 
 
 def q_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,10 +302,13 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "filter_conditions": (_filtered("youden", sensitivity=">= 0.3", specificity=">= 0.4", n_items="<= 3"), oracle.search(_L, ITEMS, 1, 3, top_n=10, where="sensitivity >= 0.3 AND specificity >= 0.4 AND n_items <= 3", order=_RESULTS)),
     "filter_ppv_npv": (_filtered("ppv", ppv="> 0.33", npv="> 0.6"), oracle.search(_L, ITEMS, 1, 3, top_n=10, where="ppv > 0.33 AND npv > 0.6", order="ppv DESC NULLS LAST, " + _RESULTS)),
     "preselect_top20": (q_preselect, oracle.search(_O, ITEMS, 1, 3, order="youden DESC, sensitivity DESC, specificity DESC, n_items, combo_id")),
-    "count_combinations_detail": (q_count, "SELECT CAST(k AS INTEGER) AS n_items, CAST(c AS BIGINT) AS n_combinations FROM (VALUES (1, 71), (2, 71 * 70 // 2), (3, 71 * 70 * 69 // 6), (4, 71 * 70 * 69 * 68 // 24)) t(k, c)"),
-    "enumerate_combinations": (q_enumerate, f"WITH {oracle.frequencies(_L, ITEMS, 1, 3)} SELECT CAST(combo_id AS BIGINT) AS combo_id, n_items, items FROM cand"),
+    "count_combinations_detail": (q_count, "SELECT CAST(k AS INTEGER) AS n_items, CAST(CASE k WHEN 1 THEN n WHEN 2 THEN n * (n - 1) // 2 WHEN 3 THEN n * (n - 1) * (n - 2) // 6 ELSE n * (n - 1) * (n - 2) * (n - 3) // 24 END AS BIGINT) AS n_combinations FROM (SELECT count(*) AS n FROM nation), range(1, 5) t(k)"),
+    "enumerate_combinations": (q_enumerate, """WITH r AS (SELECT r_name, CAST(count(s_suppkey) AS BIGINT) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name),
+sets AS (SELECT [r_name] AS x, n FROM r UNION ALL SELECT [a.r_name, b.r_name], a.n + b.n FROM r a JOIN r b ON a.r_name < b.r_name UNION ALL SELECT [a.r_name, b.r_name, c.r_name], a.n + b.n + c.n FROM r a JOIN r b ON a.r_name < b.r_name JOIN r c ON b.r_name < c.r_name)
+SELECT CAST(row_number() OVER (ORDER BY len(x), x) - 1 AS BIGINT) AS combo_id, CAST(len(x) AS INTEGER) AS n_items, array_to_string(x, ', ') AS items, CAST(n AS BIGINT) AS n_suppliers FROM sets"""),
     "delong_ci": (q_delong, oracle.delong(_O, ITEMS, 1, 2)),
-    "clopper_pearson_ci": (q_final_fit, None),
+    "clopper_pearson_ci": (q_final_fit, oracle.final_fit(_O, ITEMS, 1, 2, 10)),
+    "intervals_of_csv": (q_intervals_of_csv, oracle.final_fit(_O, ITEMS, 1, 2, 10)),
     "weighted_search": (_weighted_search("relational"), _WEIGHTED),
     "weighted_search_kernel": (_weighted_search("kernel"), _WEIGHTED),
     "weighted_delong": (q_weighted_delong, oracle.weighted_delong(_LW, ITEMS, 1, 2, "times")),

@@ -13,18 +13,17 @@ from ..functions.combos import candidate_rows, candidates, count_combinations, w
 from ..functions.intervals import check_level
 from ..functions.parsing import CUTOFF_METHODS, RANK_COLUMNS, choice, describe_item_count, item_bounds, resolve_items, resolve_parallel
 from ..operators import kernel
-from ..operators.intervals import INTERLEAVED, with_intervals
+from ..operators.intervals import INTERLEAVED, with_counts, with_intervals
 from ..operators.ranking import candidate_order, ranked
-from ..operators.roc import candidate_table, compress, score_frequencies
-from ..sources.prepare import lenient, strict
-from ..sources.staging import staged
+from ..operators.roc import candidate_table, score_frequencies, with_metrics
+from ..sources.prepare import prepared
+from ..sources.staging import scratch, staged
 
-#: Patterns times candidates up to which the relational plan is chosen; and the result size that "auto" keeps lazy.
+#: Patterns times candidates up to which the relational plan is chosen.
 RELATIONAL_PAIRS = 20_000_000
 RELATIONAL_CANDIDATES = 20_000
 #: Candidates that the relational plan broadcasts at a time, 20 MB about.
 CANDIDATE_BLOCK = 200_000
-MEMORY_LIMIT = 100_000
 COLUMNS = ("rank", "items", "n_items", "auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv", "n_positive", "n_negative")
 
 
@@ -86,7 +85,7 @@ def exhaustive_search(df: DataFrame, outcome: str, items: object, min_items: int
         whole(top_n, "top_n")
     if n_workers is not None:
         whole(n_workers, "n_workers")
-    patterns = compress(strict(df, outcome, names, positive_label, negative_label))
+    patterns = prepared(df, outcome, names, positive_label, negative_label).patterns
     if chunk_start is not None and chunk_size is not None:
         made = score_all(patterns, names, low, high, cutoff_method, engine, start=whole(chunk_start, "chunk_start", 0), size=whole(chunk_size, "chunk_size"), workers=n_workers)
         made = made.withColumn("rank", (F.col("combo_id") - chunk_start + 1).cast("int"))
@@ -99,14 +98,42 @@ def exhaustive_search(df: DataFrame, outcome: str, items: object, min_items: int
 def attach_intervals(out: DataFrame, patterns: DataFrame, names: list[str], conf_level: float, low: int, high: int) -> DataFrame:
     """Interleaved intervals for a ranked table of subsets of ``low`` to ``high`` items, looked up by name or, where names have commas, by rank."""
     check_level(conf_level)
-    index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    idx = F.transform(F.split("items", ", "), lambda n: index[n]) if not any("," in n for n in names) else None
-    if idx is None:
-        spark = out.sparkSession
-        top = out.join(candidates(spark, names, low, min(high, len(names))).select("combo_id", "item_idx"), "combo_id")
+    if not any("," in n for n in names):
+        index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+        top = out.withColumn("item_idx", F.transform(F.split("items", ", "), lambda n: index[n]))
     else:
-        top = out.withColumn("item_idx", idx)
-    return with_intervals(top, patterns, conf_level).select("rank", "items", "n_items", *INTERLEAVED, "n_positive", "n_negative", "combo_id").orderBy("rank")
+        top = out.join(candidates(out.sparkSession, names, low, min(high, len(names))).select("combo_id", "item_idx"), "combo_id")
+    return with_intervals(with_counts(top), patterns, conf_level).select("rank", "items", "n_items", *INTERLEAVED, "n_positive", "n_negative", "combo_id").orderBy("rank")
+
+
+def add_intervals(table: DataFrame, df: DataFrame, outcome: str, items: object, positive_label: object = 1, negative_label: object = 0, conf_level: float = 0.95, lenient: bool = True) -> DataFrame:
+    """Intervals for a candidate table of an earlier search of ``df``, whatever of its columns is left.
+
+    The table needs ``items``, AUC, cutoff, sensitivity, specificity and class sizes, as numbers
+    or as a CSV file's text; counts and other rates are recovered from them.  Without ``rank`` rows keep the order of their AUC.
+    Names of items mustn't have commas, and a set that names no item of ``df`` is an error.
+    """
+    names = resolve_items(df, items)
+    if any("," in n for n in names):
+        raise ValueError("names of items mustn't have commas")
+    kinds = {"n_items": "int", "n_positive": "long", "n_negative": "long", "rank": "int", "combo_id": "long"} | {c: "double" for c in COLUMNS[3:11]}
+    table = table.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in table.columns))
+    if gone := [c for c in ("items", "auc", "cutoff", "sensitivity", "specificity", "n_positive", "n_negative") if c not in table.columns]:
+        raise ValueError(f"the table has no {', '.join(gone)}")
+    known = F.array(*map(F.lit, names))
+    if (wrong := table.where(F.exists(F.split("items", ", "), lambda n: ~F.array_contains(known, n))).first()) is not None:
+        raise ValueError(f"the table has a set of other items: {wrong['items']}")
+    had = {*table.columns}
+    if "combo_id" not in had:  # sets are told apart by their names
+        table = table.withColumn("combo_id", F.xxhash64("items"))
+    if "n_items" not in had:
+        table = table.withColumn("n_items", F.size(F.split("items", ", ")))
+    if "rank" not in had:
+        table = ranked(table, [F.desc_nulls_last("auc"), F.asc("n_items"), F.asc("items")])
+    patterns = prepared(df, outcome, names, positive_label, negative_label, lenient=lenient).patterns
+    rates = with_metrics(with_counts(table).drop("sensitivity", "specificity", "youden", "accuracy", "ppv", "npv"))
+    out = attach_intervals(rates, patterns, names, conf_level, 1, len(names))
+    return out if "combo_id" in had else out.drop("combo_id")
 
 
 def final_fit(df: DataFrame, outcome: str, items: object, min_items: int = 1, max_items: int = 4, positive_label: object = 1, negative_label: object = 0, cutoff_method: str = "youden", rank_by: str = "auc", top_n: int | None = 20, prefer_fewer_items: bool = True, ci: bool = True, conf_level: float = 0.95, engine: str = "auto") -> DataFrame:
@@ -156,18 +183,17 @@ def brute_force(df: DataFrame, outcome: str, items: object, min_items: int | Non
     if top_n is not None:
         whole(top_n, "top_n", 0)
     total = count_combinations(names, low, high)
-    clean = lenient(df, outcome, names)
     settings = {"outcome": outcome, "items": names, "min_items": low, "max_items": min(high, len(names)), "item_count": describe_item_count(low, min(high, len(names))), "cutoff_method": cutoff_method, "rank_by": rank_by, "prefer_fewer_items": prefer_fewer_items, "positive_label": positive_label, "negative_label": negative_label}
+    with scratch(df.sparkSession, results=False):
+        data = prepared(df, outcome, names, positive_label, negative_label, lenient=True)
 
-    def build(best: int | None) -> DataFrame:
-        patterns = compress(strict(clean, outcome, names, positive_label, negative_label))
-        return score_all(patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, best, workers=n_workers, chunk=chunk_size)
+        def build(best: int | None) -> DataFrame:
+            return score_all(data.patterns, names, low, high, cutoff_method, engine, rank_by, prefer_fewer_items, best, workers=n_workers, chunk=chunk_size)
 
-    order = candidate_order(rank_by, prefer_fewer_items)
-    full, path, hit = store.keep(clean, build, settings, total, results_storage, results_dir, cache, cache_dir, max(1, top_n) if top_n is not None else None)
-    head = ranked(full, order, max(1, top_n or 0) if top_n is not None else None).select(*COLUMNS, "combo_id")
+        full, path, hit = store.keep(data.patterns, build, settings, total, results_storage, results_dir, cache, cache_dir, max(1, top_n) if top_n is not None else None)
+    head = ranked(full, candidate_order(rank_by, prefer_fewer_items), max(1, top_n or 0) if top_n is not None else None).select(*COLUMNS, "combo_id")
     shown = head.limit(0) if top_n == 0 else head
-    out = BruteForceResult(head.where("rank = 1"), shown, None if results_storage == "none" else full, settings, df.count(), clean.count(), total, path, hit)
+    out = BruteForceResult(head.where("rank = 1"), shown, None if results_storage == "none" else full, settings, data.n_original, data.n_analyzed, total, path, hit)
     if output_dir:
-        store.write_csv(output_dir, {"roc_bruteforce_results": out.results, "roc_bruteforce_candidates": shown, "roc_bruteforce_best_model": out.best_model})
+        store.write_csv(df.sparkSession, output_dir, {"roc_bruteforce_results": out.results, "roc_bruteforce_candidates": shown, "roc_bruteforce_best_model": out.best_model})
     return out

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few values up to which a table is broadcast: 20 MB about.
 BROADCAST_ROWS = 200_000
+#: Open scopes, outermost first: paths of a scope's tables, and whether results are among them.
+_SCOPES: ContextVar[tuple[tuple[list[str], bool], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,27 +28,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write a table under ``spark.checkpoint.dir`` and read it back."""
+def file_system(spark: SparkSession, at: str) -> tuple:
+    """Hadoop's file system and path of a place in any store that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def staged(df: DataFrame, label: str = "table", result: bool = False) -> DataFrame:
+    """Write a table under ``spark.checkpoint.dir`` and read it back; a ``result`` outlives the operator's own scope."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/sumlattice-{label}-{uuid.uuid4().hex}"
+    if scopes := [paths for paths, takes in _SCOPES.get() if takes or not result]:
+        scopes[-1].append(at)
     df.write.parquet(at)
-    made = spark.read.schema(df.schema).parquet(at)
-    made._staged_at = at
-    return made
+    return spark.read.schema(df.schema).parquet(at)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in tables:
-        fs, path = file_system(df.sparkSession, df._staged_at)
-        fs.delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession, results: bool = True) -> Iterator[None]:
+    """Delete what was staged within.
 
-
-def file_system(spark: SparkSession, at: str) -> tuple:
-    """Hadoop's file system and path of a place in any store that Spark reads."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    Operators open scopes without ``results``: theirs go to the caller's scope, if there is
+    one.  What is computed from tables of the scope has to be read before it ends.
+    """
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), (own, results)))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for at in own:
+            fs, path = file_system(spark, at)
+            fs.delete(path, True)
 
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import json
-import os
 import re
-import shutil
 import uuid
 import warnings
 from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import CONDITION_COLUMNS, choice, filter_conditions
 from ..operators.ranking import ranked, result_order
-from .staging import shared_folder, staged
+from .staging import file_system, shared_folder, staged
 
 STORAGE = ("auto", "memory", "rds", "none", "parquet")
 CACHE = ("off", "reuse", "refresh")
 MEMORY_LIMIT = 100_000
-FORMAT = 1
+FORMAT = 2
 
 
 def check_storage(mode: str) -> str:
@@ -53,14 +52,8 @@ def results_path(folder: str, prefix: str, outcome: str, n_items: int, low: int,
     return f"{folder.rstrip('/')}/{clean(prefix)}_{clean(outcome)}_p{n_items}_k{low}-{high}_{clean(rank_by)}_{stamp}_{uuid.uuid4().hex[:8]}.parquet"
 
 
-def _path(spark: SparkSession, at: str) -> tuple:
-    """Hadoop's file system and path of a place in any store that Spark reads."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def _write_text(spark: SparkSession, at: str, text: str) -> None:
-    fs, path = _path(spark, at)
+    fs, path = file_system(spark, at)
     out = fs.create(path, True)
     try:
         out.write(bytearray(text.encode()))
@@ -69,7 +62,7 @@ def _write_text(spark: SparkSession, at: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, at: str) -> str:
-    fs, path = _path(spark, at)
+    fs, path = file_system(spark, at)
     source = fs.open(path)
     try:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
@@ -86,7 +79,7 @@ def write_results(df: DataFrame, path: str, metadata: dict) -> str:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A stored table, one file or many; only columns and rows that are asked for are read."""
-    fs, at = _path(spark, path)
+    fs, at = file_system(spark, path)
     if not fs.exists(at):
         raise FileNotFoundError(f"there is no stored result at {path}")
     return spark.read.parquet(path)
@@ -103,7 +96,7 @@ def map_chunks(df: DataFrame, f: Callable, schema: str) -> DataFrame:
 
 
 def cache_key(df: DataFrame, settings: dict) -> str:
-    """Digest of the data, whatever the order of its rows, and of what the search depends on."""
+    """Digest of a table, whatever the order of its rows, and of what the search depends on; for a search, of its patterns."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     row = df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
     text = json.dumps({"data": [row["n"], str(row["s"]), row["x"]], "columns": df.dtypes, "settings": settings, "format": FORMAT}, sort_keys=True, default=str)
@@ -112,7 +105,7 @@ def cache_key(df: DataFrame, settings: dict) -> str:
 
 def _entries(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
     """(time, name) of what lies in a folder, oldest first."""
-    fs, at = _path(spark, folder)
+    fs, at = file_system(spark, folder)
     return sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
@@ -131,7 +124,7 @@ def save_cache(df: DataFrame, folder: str, key: str, metadata: dict) -> DataFram
     write_results(df, f"{folder}/{key}/{name}", metadata)
     for n in older:  # the description first: half an entry is none
         for at in (n, n[:-5]):
-            fs, path = _path(spark, f"{folder}/{key}/{at}")
+            fs, path = file_system(spark, f"{folder}/{key}/{at}")
             fs.delete(path, True)
     return spark.read.parquet(f"{folder}/{key}/{name}")
 
@@ -143,12 +136,12 @@ def clean_cache(spark: SparkSession, folder: str) -> list[str]:
         names = {n for _, n in _entries(spark, f"{folder}/{key}")}
         gone += [f"{key}/{n}" for n in sorted(names) if not n.endswith(".json") and f"{n}.json" not in names]
     for at in gone:
-        fs, path = _path(spark, f"{folder}/{at}")
+        fs, path = file_system(spark, f"{folder}/{at}")
         fs.delete(path, True)
     return gone
 
 
-def keep(data: DataFrame, build: Callable[[int | None], DataFrame], settings: dict, total: int, storage: str, folder: str | None, cache: str, cache_dir: str | None, best: int | None = None) -> tuple[DataFrame, str | None, bool]:
+def keep(patterns: DataFrame, build: Callable[[int | None], DataFrame], settings: dict, total: int, storage: str, folder: str | None, cache: str, cache_dir: str | None, best: int | None = None) -> tuple[DataFrame, str | None, bool]:
     """(candidate table, its path if stored, whether it came from the cache).
 
     The table is made once: it is written to the cache, to ``folder`` or, without one,
@@ -156,8 +149,8 @@ def keep(data: DataFrame, build: Callable[[int | None], DataFrame], settings: di
     what depends on how it is shown is done when it is read.  Where nothing is to be
     stored, only the ``best`` rows of each task are made, all if that is None.
     """
-    spark = data.sparkSession
-    key = cache_key(data, settings) if cache != "off" else None
+    spark = patterns.sparkSession
+    key = cache_key(patterns, settings) if cache != "off" else None
     if cache == "reuse" and (found := load_cache(spark, cache_dir, key)) is not None:
         return found, f"{cache_dir}/{key}", True
     if key:
@@ -167,7 +160,7 @@ def keep(data: DataFrame, build: Callable[[int | None], DataFrame], settings: di
         path = results_path(folder or f"{shared_folder(spark)}/results", "search", settings["outcome"], len(settings["items"]), settings["min_items"], settings["max_items"], settings["rank_by"])
         write_results(build(None), path, settings)
         return spark.read.parquet(path), path, False
-    return staged(build(best if policy == "none" else None), "results"), None, False
+    return staged(build(best if policy == "none" else None), "results", result=True), None, False
 
 
 def query_results(source: DataFrame | str | object, spark: SparkSession | None = None, rank_by: str = "youden", top_n: int | None = 20, **conditions: str | None) -> DataFrame:
@@ -192,21 +185,43 @@ def query_results(source: DataFrame | str | object, spark: SparkSession | None =
     return out.select("rank", *[c for c in out.columns if c != "rank"])
 
 
-def write_csv(folder: str, tables: dict[str, DataFrame | None]) -> list[str]:
-    """One CSV file for each small table, on the driver's own disk; a table that isn't there is left out."""
-    try:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-    except OSError as e:
-        raise ValueError(f"can't make {folder}: {e}") from e
+def write_csv(spark: SparkSession, folder: str, tables: dict[str, DataFrame | None]) -> list[str]:
+    """A CSV file for each table, in any store that Spark writes; a table that isn't there is left out.
+
+    Rows are written by the table's own tasks, in its order, and their files are then joined
+    by Hadoop's file system behind one header, a buffer at a time.  A file that doesn't
+    come about whole is an error.
+    """
+    fs, at = file_system(spark, folder)
+    if not fs.mkdirs(at):
+        raise ValueError(f"can't make {folder}")
+    copy, conf = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name, df in tables.items():
         if df is None:
             continue
-        at = Path(folder, f".{name}-{uuid.uuid4().hex}")
-        df.coalesce(1).write.option("header", True).csv(str(at))
-        part = next(at.glob("part-*.csv"), None)
-        if part is not None:
-            os.replace(part, Path(folder, f"{name}.csv"))
-        shutil.rmtree(at, ignore_errors=True)
-        out.append(str(Path(folder, f"{name}.csv")))
+        parts, target = f"{folder.rstrip('/')}/_{name}-{uuid.uuid4().hex}", f"{folder.rstrip('/')}/{name}.csv"
+        df.write.option("header", False).csv(parts)
+        fs, at = file_system(spark, parts)
+        files = sorted((s.getPath().getName(), s.getPath(), s.getLen()) for s in fs.listStatus(at))
+        if not files or files[0][0] != "_SUCCESS":
+            raise OSError(f"the parts of {target} aren't complete")
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(df.columns)
+        to = file_system(spark, target)[1]
+        stream = fs.create(to, True)
+        try:
+            stream.write(bytearray(head.getvalue().encode()))
+            for _, path, _ in files[1:]:
+                source = fs.open(path)
+                try:
+                    copy(source, stream, conf, False)
+                finally:
+                    source.close()
+        finally:
+            stream.close()
+        if fs.getFileStatus(to).getLen() != len(head.getvalue().encode()) + sum(n for *_, n in files[1:]):
+            raise OSError(f"{target} isn't complete")
+        fs.delete(at, True)
+        out.append(target)
     return out
