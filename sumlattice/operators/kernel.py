@@ -1,7 +1,9 @@
 """Scoring of very many candidates: ranges of ranks against a broadcast pattern matrix.
 
-A task unranks its range, adds item columns left to right, histograms each class and
-picks the cutoff, all on arrays.  Results equal the relational plan's bit for bit.
+A task unranks its range, histograms the scores of each class and picks the cutoff, all on
+arrays.  Subsets in order share all items but the last: sums are made once for each such
+prefix, and where items have few whole values, so are the histograms of all its subsets.
+Results equal the relational plan's bit for bit.
 With ``top_n`` a task passes on only its own best rows, as the final order needs no more.
 """
 
@@ -20,6 +22,8 @@ from ..functions.combos import level_sizes, unrank_global
 
 #: Bytes of scores that a task holds at a time, and of the patterns and counts that are broadcast, at most.
 BATCH_BYTES = 32 << 20
+#: Prefix scores times values of an item up to which histograms are matrix products, and bytes of the matrix of weights.
+PRODUCT_CELLS, PRODUCT_BYTES = 128, 64 << 20
 PATTERN_BYTES = 256 << 20
 _FLOATS = ("auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv")
 SCHEMA = "combo_id long, n_items int, items string, " + ", ".join(f"{c} double" for c in _FLOATS) + ", tp long, fp long, fn long, tn long, n_positive long, n_negative long"
@@ -71,6 +75,68 @@ def histograms(scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return s, np.where(last, pos - get(pos), 0), np.where(last, neg - get(neg), 0)
 
 
+class Fans:
+    """Histograms of subsets, each prefix's at once.
+
+    ``columns`` (items, patterns) are scores, ``weights`` the counts of patterns, any number
+    of kinds.  With few whole values an item's value and the prefix's score say the score, so
+    that one product of indicators, (prefix and score, pattern) by (pattern, item and value,
+    weighted), counts both for all items that may follow.
+    """
+
+    def __init__(self, columns: np.ndarray, weights: Sequence[np.ndarray], max_items: int):
+        self.columns, self.weights = columns, [*weights]
+        low, high = columns.min(1, initial=np.inf), columns.max(1, initial=-np.inf)
+        spans = high - low
+        self.small = columns.shape[1] > 0 and bool(np.isfinite(spans).all() and (columns == np.floor(columns)).all() and np.abs(columns).max() < 2**40)
+        if self.small:
+            self.n_values = int(spans.max()) + 1
+            scores = int(np.sort(spans)[::-1][: max(1, max_items - 1)].sum()) + 1
+            total = max(int(w.sum(dtype=float)) for w in self.weights)
+            self.kind = np.float32 if total < 2**24 else np.float64  # in which such sums are exact
+            size = columns.size * self.n_values * len(self.weights) * np.dtype(self.kind).itemsize
+            self.small = scores * self.n_values <= PRODUCT_CELLS and size <= PRODUCT_BYTES and total < 2**53
+        if self.small:
+            self.low, self.index = low, (columns - low[:, None]).astype(np.int64)
+            marks = (self.index[:, :, None] == np.arange(self.n_values)).transpose(1, 0, 2).astype(self.kind)
+            self.marked = [np.ascontiguousarray(marks * w[:, None, None].astype(self.kind)).reshape(columns.shape[1], -1) for w in self.weights]
+
+    def prefix_sums(self, part: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first rows of runs of one prefix, sums of its items left to right)."""
+        first = np.flatnonzero(np.append(True, (part[1:, :-1] != part[:-1, :-1]).any(1)))
+        heads = part[first, :-1]
+        sums = np.zeros((len(first), of.shape[1]), of.dtype)
+        for j in range(heads.shape[1]):
+            sums += of[heads[:, j]]
+        return first, sums
+
+    def scores(self, part: np.ndarray) -> np.ndarray:
+        """The scores of subsets that follow one another in order."""
+        first, sums = self.prefix_sums(part, self.columns)
+        return np.repeat(sums, np.diff(np.append(first, len(part))), 0) + self.columns[part[:, -1]]
+
+    def histograms(self, part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(scores, counts of each kind), a row for each subset, where values are few."""
+        first, sums = self.prefix_sums(part, self.index)
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part))))
+        n_scores, v = int(sums.max(initial=0)) + 1, self.n_values
+        made = [np.zeros((len(part), n_scores + v - 1), self.kind) for _ in self.weights]
+        following = part[first, -2] + 1 if part.shape[1] > 1 else np.zeros(len(first), np.int64)
+        step = max(1, BATCH_BYTES // (8 * n_scores * max(1, self.columns.shape[1])))
+        for start in np.unique(following):
+            own = np.flatnonzero(following == start)
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                rows = np.flatnonzero((which >= some[0]) & (which <= some[-1]) & (following[which] == start))
+                place, item = np.searchsorted(some, which[rows]), part[rows, -1] - start
+                marks = (sums[some, None, :] == np.arange(n_scores)[None, :, None]).astype(self.kind).reshape(-1, sums.shape[1])
+                for out, marked in zip(made, self.marked):
+                    both = (marks @ marked[:, start * v :]).reshape(len(some), n_scores, -1, v)[place, :, item]
+                    for value in range(v):  # a score is a prefix's and a value
+                        out[rows, value : value + n_scores] += both[:, :, value]
+        return self.low[part].sum(1)[:, None] + np.arange(n_scores + v - 1, dtype=float), [m.astype(np.int64) for m in made]
+
+
 def statistics(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, method: str) -> dict[str, np.ndarray]:
     """The candidate table's columns, a value for each row of histograms."""
     total_p, total_n = pos.sum(1), neg.sum(1)
@@ -126,6 +192,7 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, p, n = shared.value
+        fans = Fans(columns, (p, n), levels[-1][0])
         held: list[pd.DataFrame] = []
         floor = -np.inf
         for b in batches:
@@ -133,10 +200,11 @@ def score(spark: SparkSession, patterns: DataFrame, items: Sequence[str], min_it
             for at, idx in unrank_global(len(names), levels, ids):
                 for lo in range(0, len(at), step):
                     part, own = idx[lo : lo + step], ids[at[lo : lo + step]]
-                    scores = columns[part[:, 0]].copy()
-                    for j in range(1, part.shape[1]):
-                        scores += columns[part[:, j]]
-                    found = statistics(*histograms(scores, p, n), method)
+                    if fans.small:
+                        values, (pos, neg) = fans.histograms(part)
+                        found = statistics(values, pos, neg, method)
+                    else:
+                        found = statistics(*histograms(fans.scores(part), p, n), method)
                     if top_n is not None:
                         # Rows below the worst of the best so far needn't become a table.
                         v = np.nan_to_num(found[order[0][0]].astype(float), nan=-np.inf)
@@ -185,6 +253,7 @@ def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], mi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, (p, n), of = shared.value
+        fans = Fans(columns, [w for g in range(len(of)) for w in (p[g], n[g])], levels[-1][0])
         held: list[list[pd.DataFrame]] = [[] for _ in of]
         first = lambda parts: pd.concat(parts).sort_values(by, ascending=up, na_position="last", kind="stable").head(top_n)
         for b in batches:
@@ -192,12 +261,17 @@ def score_folds(spark: SparkSession, counts: DataFrame, items: Sequence[str], mi
             for places, idx in unrank_global(len(names), levels, ids):
                 for lo in range(0, len(places), step):
                     part, combo = idx[lo : lo + step], ids[places[lo : lo + step]]
-                    scores = columns[part[:, 0]].copy()
-                    for j in range(1, part.shape[1]):
-                        scores += columns[part[:, j]]
+                    if fans.small:
+                        values, counted = fans.histograms(part)
+                    else:
+                        scores = fans.scores(part)
                     for g in range(len(of)):
-                        there = (p[g] + n[g]) > 0
-                        made = pd.DataFrame({"combo_id": combo, "n_items": np.int32(part.shape[1]), **statistics(*histograms(scores[:, there], p[g][there], n[g][there]), method)})
+                        if fans.small:
+                            found = statistics(values, counted[2 * g], counted[2 * g + 1], method)
+                        else:
+                            there = (p[g] + n[g]) > 0
+                            found = statistics(*histograms(scores[:, there], p[g][there], n[g][there]), method)
+                        made = pd.DataFrame({"combo_id": combo, "n_items": np.int32(part.shape[1]), **found})
                         made["item_idx"] = [*part]
                         held[g] = [first([*held[g], made])]
         for (r, f), parts in zip(of, held):

@@ -39,14 +39,16 @@ def ranked(df: DataFrame, order: Sequence[Column], top_n: int | None = None) ->
         top_n = whole(top_n, "top_n")
         df = df.orderBy(*order).limit(top_n)
         return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    # A range sort spreads all rows; a rank is the rows of earlier parts and those before in its own.
-    # The parts are written once: computed twice, their bounds would be drawn twice and needn't agree.
-    parts = staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
-    parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))
-    return parts.join(F.broadcast(offsets), "part").withColumn("rank", (F.col("nth") + F.col("before")).cast("int")).drop("part", "nth", "before")
+    # A range sort spreads all rows; a rank is the rows of earlier parts and those before in its own, which
+    # the sorted part's running number counts.  The parts are written: computed twice, their bounds would be
+    # drawn twice and needn't agree.
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    parts = staged(parts, "ranked", result=True).withColumn("_part", F.shiftright("_at", 33))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(offsets), "_part").withColumn("rank", (nth + F.col("_before")).cast("int")).drop("_part", "_at", "_before")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, position: str = "position") -> DataFrame:

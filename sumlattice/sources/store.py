@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import CONDITION_COLUMNS, choice, filter_conditions
 from ..operators.ranking import ranked, result_order
-from .staging import file_system, shared_folder, staged
+from .staging import file_system, scratch, shared_folder, staged
 
 STORAGE = ("auto", "memory", "rds", "none", "parquet")
 CACHE = ("off", "reuse", "refresh")
 MEMORY_LIMIT = 100_000
 FORMAT = 2
+#: Bytes of a row group of a stored result, about.
+GROUP_BYTES = 1 << 20
 
 
 def check_storage(mode: str) -> str:
@@ -70,10 +72,19 @@ def _read_text(spark: SparkSession, at: str) -> str:
         source.close()
 
 
-def write_results(df: DataFrame, path: str, metadata: dict) -> str:
-    """Spark's commit protocol makes the table appear whole; the description stands beside it."""
-    df.write.mode("errorifexists").parquet(path)
-    _write_text(df.sparkSession, path + ".json", json.dumps(metadata | {"complete": True, "written": datetime.now(timezone.utc).isoformat()}, default=str))
+def write_results(df: DataFrame, path: str, metadata: dict, cluster_by: str | None = None) -> str:
+    """Spark's commit protocol makes the table appear whole; the description stands beside it.
+
+    With ``cluster_by`` rows are sorted by that statistic over all files, largest first, in
+    small row groups, so that conditions on it and on what goes with it read few of them.
+    ``df`` is computed twice then, as the sort draws a sample: give a written table.
+    """
+    write = df.write
+    if cluster_by is not None:
+        order = F.desc_nulls_last(cluster_by)
+        write = df.repartitionByRange(order).sortWithinPartitions(order).write.option("parquet.block.size", GROUP_BYTES)
+    write.mode("errorifexists").parquet(path)
+    _write_text(df.sparkSession, path + ".json", json.dumps(metadata | {"complete": True, "clustered_by": cluster_by, "written": datetime.now(timezone.utc).isoformat()}, default=str))
     return path
 
 
@@ -158,7 +169,8 @@ def keep(patterns: DataFrame, build: Callable[[int | None], DataFrame], settings
     policy = storage_policy(storage, total)
     if policy == "parquet":
         path = results_path(folder or f"{shared_folder(spark)}/results", "search", settings["outcome"], len(settings["items"]), settings["min_items"], settings["max_items"], settings["rank_by"])
-        write_results(build(None), path, settings)
+        with scratch(spark, results=False):
+            write_results(staged(build(None), "unsorted"), path, settings, settings["rank_by"])
         return spark.read.parquet(path), path, False
     return staged(build(best if policy == "none" else None), "results", result=True), None, False
 

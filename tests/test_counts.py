@@ -62,3 +62,25 @@ def test_three_thousand_million_a_class(spark):
     freq = spark.createDataFrame([(0, 1, 1.0, n, 0), (0, 1, 0.0, 0, n)], "combo_id long, n_items int, score double, p long, n long")
     assert roc.candidate_table(freq).first()["auc"] == 1.0 == roc.auc_of(freq, ["combo_id"]).first()["auc"]
     assert tuple(intervals.delong(freq).first())[1:] == (1.0, 0.0, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("kind", ["few", "uneven", "negative", "wide", "real", "large"])
+def test_prefixes_share_their_sums(kind):
+    """Histograms of a prefix's subsets at once equal those of each subset's own scores."""
+    rng = np.random.default_rng(6)
+    columns = {"few": rng.integers(0, 3, (7, 40)), "uneven": rng.integers(0, 4, (7, 40)) * np.array([[1], [0], [1], [1], [0], [1], [1]]) + 5, "negative": rng.integers(-2, 1, (7, 40)), "wide": rng.integers(0, 90, (7, 40)), "real": rng.standard_normal((7, 40)), "large": rng.integers(0, 2, (7, 40))}[kind].astype(float)
+    p, n = rng.integers(0, 2**58 // 40 if kind == "large" else 9, (2, 40))
+    fans = kernel.Fans(columns, (p, n), 4)
+    assert fans.small == (kind in ("few", "uneven", "negative"))
+    from sumlattice.functions.combos import level_sizes, unrank_global
+
+    for ranks in (np.arange(98), np.arange(13, 71), np.array([3]), np.arange(60, 63)):
+        for _, part in unrank_global(7, level_sizes(7, 1, 4), ranks):
+            scores = np.zeros((len(part), 40))
+            for j in range(part.shape[1]):
+                scores += columns[part[:, j]]
+            assert (fans.scores(part) == scores).all()
+            if fans.small:
+                values, (pos, neg) = fans.histograms(part)
+                a, b = kernel.statistics(values, pos, neg, "youden"), kernel.statistics(*kernel.histograms(scores, p, n), "youden")
+                assert all(np.array_equal(a[c], b[c], equal_nan=True) for c in a)

@@ -98,3 +98,54 @@ def test_csv_of_a_store(spark, source, tmp_path):
     (tmp_path / "file").write_text("")
     with pytest.raises(Exception):
         store.write_csv(spark, str(tmp_path / "file"), {"one": df})
+
+
+def rows_read(df):
+    """Rows that the scan of a collected table read from the row groups it didn't skip."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(p.metrics().apply("numOutputRows").value())
+        if hasattr(p, "plan") and p.getClass().getSimpleName().endswith("StageExec"):
+            walk(p.plan())
+        children = p.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sum(found)
+
+
+def test_conditions_skip_row_groups_of_stored_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "GROUP_BYTES", 1 << 14)
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (60, 14))
+    y = (x[:, 0] + x[:, 1] + rng.integers(0, 2, 60) > 2).astype(int)
+    items = [f"q{i}" for i in range(14)]
+    df = spark.createDataFrame([(int(y[i]), *map(int, x[i])) for i in range(60)], ", ".join(["y int", *(f"{q} int" for q in items)]))
+    run = lambda rank_by: search.brute_force(df, "y", items, max_items=4, rank_by=rank_by, results_storage="parquet", results_dir=str(tmp_path))
+    found = run("sensitivity")
+    full = spark.read.parquet(found.results_path)
+    every, good = rows_read(full.select("items", "sensitivity")), full.select("items", "sensitivity").where("sensitivity >= 0.9")
+    assert every == found.total_combinations == 1470 and good.count() <= rows_read(good) < every / 2
+    plain = search.brute_force(df, "y", items, max_items=4, top_n=None).candidates
+    show = lambda t: sorted(map(str, t.select("items", "auc", "sensitivity", "cutoff").collect()))
+    assert show(good.select("*").join(full, ["items", "sensitivity"])) == show(plain.where("sensitivity >= 0.9")) and show(full) == show(plain)
+
+
+def test_ranks_of_all_rows_shuffle_them_once(spark):
+    df = spark.range(0, 5000, 1, 3).select("id", (F.xxhash64("id") % 50).alias("v"))
+    seen = spark.sparkContext.accumulator(0)
+    counted = df.mapInPandas(lambda frames: (f for f in frames if seen.add(len(f)) or True), df.schema)
+    from sumlattice.operators import ranking
+
+    with staging.scratch(spark):
+        got = ranking.ranked(counted, [F.desc("v"), F.asc("id")])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Exchange hashpartitioning(_at" not in plan and plan.count("Sort [") <= 1
+        rows = got.orderBy("rank").collect()
+        assert [r["rank"] for r in rows] == [*range(1, 5001)] and [(r["v"], r["id"]) for r in rows] == sorted(((r["v"], r["id"]) for r in df.collect()), key=lambda t: (-t[0], t[1]))
