@@ -26,6 +26,8 @@ from .folds import fold_key
 
 #: Rows of a prefix that are sorted where a fold begins, about.
 PREFIX_ROWS = 4096
+#: Beginnings that a row is compared with one by one.
+COMPARED = 128
 
 
 def prefix_digits(n_rows: int) -> int:
@@ -60,11 +62,15 @@ def divided(folds: DataFrame, wanted: DataFrame, k: int, digits: int = 2) -> Dat
     near = hashed().join(begins, [*at, "_b"]).where("fold <> outer_fold")
     nth = F.row_number().over(Window.partitionBy(*division, "y", "m").orderBy("_h", "row_id")) - 1
     first = staged(near.withColumn("_n", nth).where("_n = nth").select(*division, "y", F.struct("_h", "row_id").alias("first")), "fold-firsts")
-    cuts = first.groupBy(*at).agg(F.array_sort(F.collect_set("first")).alias("cuts"))  # a row for each seed of a repeat and class
+    cuts = few(first.groupBy(*at).agg(F.array_sort(F.collect_set("first")).alias("cuts")))  # a row for each seed of a repeat and class
+    most = first.groupBy(*at).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # folds that begin in a repeat, outer folds times inner ones at most
 
-    placed = hashed("x").join(few(cuts), at).withColumn("stretch", F.size(F.filter("cuts", lambda c: c <= F.struct("_h", "row_id"))))
+    # Written out, comparisons are compiled with their stage; very many would make too large an expression.
+    here = F.struct("_h", "row_id")
+    passed = sum((F.when(F.get("cuts", F.lit(i)) <= here, 1).otherwise(0) for i in range(most)), F.lit(0)) if most <= COMPARED else F.size(F.filter("cuts", lambda c: c <= here))
+    placed = hashed("x").join(cuts, at).withColumn("stretch", passed)
     cells = staged(placed.groupBy(*at, "fold", "stretch", "x").agg(F.count("*").alias("c")), "hash-patterns")
-    places = first.join(few(cuts), at).groupBy(*division, "y").agg(F.collect_list(F.array_position("cuts", F.col("first"))).alias("places"), F.first(F.size("cuts")).alias("last"))
+    places = first.join(cuts, at).groupBy(*division, "y").agg(F.collect_list(F.array_position("cuts", F.col("first"))).alias("places"), F.first(F.size("cuts")).alias("last"))
     stretches = places.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("inner", F.size(F.filter("places", lambda p: p <= F.col("stretch"))) + 1)
     met = cells.join(stretches.select(*division, "y", "stretch", "inner"), [*at, "stretch"]).where("fold <> outer_fold")
     return met.groupBy("repeat", "outer_fold", "seed", "inner", "x").agg(F.sum(F.col("c") * F.col("y")).alias("p"), F.sum(F.col("c") * (1 - F.col("y"))).alias("n"))

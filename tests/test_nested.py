@@ -30,7 +30,8 @@ def by_hand(rows, wanted, k):
 
 
 @pytest.mark.parametrize("n,share,digits", [(40, 0.5, 1), (400, 0.2, 2)])
-def test_divisions(spark, n, share, digits):
+def test_divisions(spark, monkeypatch, n, share, digits):
+    monkeypatch.setattr(inner, "COMPARED", 128 if digits == 1 else 2)
     rng = np.random.default_rng(n)
     y = np.zeros(n, int)
     y[rng.choice(n, max(4, int(n * share)), replace=False)] = 1
