@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,16 +109,16 @@ def candidates(spark: SparkSession, items: Sequence[str], min_items: int = 1, ma
         raise ValueError("the chunk starts beyond the last subset")
     end = total if size is None else min(total, start + whole(size, "size"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranks = b["id"].to_numpy()
-            idx: list = [None] * len(ranks)
-            for at, c in unrank_global(len(names), levels, ranks):
-                for i, row in zip(at.tolist(), c):
-                    idx[i] = row
-            yield pd.DataFrame({"combo_id": ranks, "n_items": [len(x) for x in idx], "item_idx": idx, "items": [", ".join(names[i] for i in x) for x in idx]})
-
-    return spark.range(start, end, 1, partitions or max(1, min(spark.sparkContext.defaultParallelism, (end - start) // 1000))).mapInPandas(run, "combo_id long, n_items int, item_idx array<int>, items string")
+            ranks = b.column(0).to_numpy()
+            for at, idx in unrank_global(len(names), levels, ranks):
+                size = idx.shape[1]
+                lists = pa.ListArray.from_arrays(np.arange(0, idx.size + 1, size, dtype=np.int32), idx.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ranks[at]), pa.array(np.full(len(at), size, np.int32)), lists], ["combo_id", "n_items", "item_idx"])
+
+    made = spark.range(start, end, 1, partitions or max(1, min(spark.sparkContext.defaultParallelism, (end - start) // 1000))).mapInArrow(run, "combo_id long, n_items int, item_idx array<int>")
+    return made.withColumn("items", F.array_join(F.transform("item_idx", lambda i: F.get(F.array(*map(F.lit, names)), i)), ", "))
 
 
 def candidate_rows(spark: SparkSession, items: Sequence[str], min_items: int = 1, max_items: int = 4) -> DataFrame:
