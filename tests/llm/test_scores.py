@@ -21,6 +21,10 @@ def test_plain_patterns():
     ("to john (at) example (dot) com now", "email", "john (at) example (dot) com"), ("jane dot doe at mail dot example dot org", "email", "jane dot doe at mail dot example dot org"),
     ("x jоhn@exаmple.com y", "email", "jоhn@exаmple.com"), ("call plus four nine one five one two three four five six seven", "phone", "plus four nine one five one two three four five six seven"),
     ("one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"), ("j​ohn@ex.com", "email", "j​ohn@ex.com"),
+    ("maria punto lopez arroba ejemplo punto com.", "email", "maria punto lopez arroba ejemplo punto com"), ("hans at beispiel punkt de", "email", "hans at beispiel punkt de"),
+    ("à jean arobase exemple point fr demain", "email", "jean arobase exemple point fr"), ("hans klammeraffe beispiel.de", "email", "hans klammeraffe beispiel.de"), ("von ԁan@ex.com an", "email", "ԁan@ex.com"),
+    ("call +49 151 two three four five six", "phone", "+49 151 two three four five six"), ("más tres cuatro nueve uno dos tres cuatro cinco seis", "phone", "más tres cuatro nueve uno dos tres cuatro cinco seis"),
+    ("4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"), ("10 dot zero dot 0 punkt eins", "ip", "10 dot zero dot 0 punkt eins"), ("jane＠ex。com", "email", "jane＠ex。com"),
 ])
 def test_disguises(text, kind, span):
     assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
@@ -28,10 +32,55 @@ def test_disguises(text, kind, span):
 
 
 def test_clean_texts_stay():
-    for t in ("meet me at noon. The dot at home", "look at one two three", "at the end (at last) dots", "Привет мир", "x" * 100_000):
+    for t in ("meet me at noon. The dot at home", "look at one two three", "at the end (at last) dots", "Привет мир", "x" * 100_000, "look at any point of this", "at this point in time at home dot",
+              "un point de vue", "ein Punkt um null Uhr", "cinco punto dos", "x " * 50_000 + "dot " * 50_000, "one " * 7):
         assert pii.find(t) == ([], [])
 
 
+def test_base_spans_are_not_lengthened_by_prose():
+    for t, k in (("écrivez à a@b.fr point final", "email"), ("tel +1 (848) 555-1373 Un homme", "phone"), ("un 10.0.0.1", "ip"), ("a@b.com dot the", "email")):
+        base, every = pii.find(t)
+        assert base == every and [x[0] for x in base] == [k]
+
+
+def test_random_disguises_map_back_to_their_source():
+    rng = np.random.default_rng(8)
+    pick = lambda *x: str(x[rng.integers(0, len(x))])
+    names, ends = ("maria", "jan9", "a_b", "x-y"), ("com", "org", "de", "fr", "es")
+    signs = {"@": (" at ", " (at) ", "[AT]", " arroba ", " arobase ", "@"), ".": (" dot ", "(dot)", " punto ", " PUNKT ", " point ", " [.] ")}
+    number = {d: [w for w, x in pii._DIGIT_WORDS.items() if x == d] for d in "0123456789"}
+    for _ in range(1500):
+        if rng.random() < 0.6:
+            kind, plain = "email", f"{pick(*names)}.{pick(*names)}@{pick('mail', 'ex-1')}.{pick(*ends)}"
+            source = "".join(pick(*signs[c]) if c in signs else c for c in plain)
+        else:
+            kind, plain = "phone", "+" + "".join(pick(*"123456789") for _ in range(rng.integers(9, 16)))
+            source = " ".join("plus" if c == "+" else pick(*number[c]) for c in plain)
+        before, after = pick("", "so: ", "Привет, ", "é | "), pick("", ", ja", " | x", "; é")
+        text = before + source + after
+        m = pii.Mapped(text)
+        for step in pii.CHAIN:
+            m = step(m)
+        base, every = pii.find(text)
+        assert plain in m.text, text
+        assert (kind, len(before), len(before) + len(source)) in every, text
+
+
+def test_offset_tape_is_in_order():
+    rng = np.random.default_rng(9)
+    parts = ["one", "two", " ", " ", "dot", "at", "(at)", "@", ".", "5", "a", "б", "е", "\u200b", "arroba", "point", "com", "+", "plus", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 16)))
+        m = pii.Mapped(text)
+        for step in pii.CHAIN:
+            m = step(m)
+        if m.lo:
+            assert len(m.lo) == len(m.hi) == len(m.made) == len(m.text) and m.lo == sorted(m.lo) and m.hi == sorted(m.hi)
+            assert all(made or (text[a:b] == c) for c, a, b, made in zip(m.text, m.lo, m.hi, m.made))
+        base, every = pii.find(text)
+        assert set(base) <= set(every) and all(0 <= a < b <= len(text) for _, a, b in every)
+
+
 def test_pii_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (None, "", 0), (2, "é a@b.co", 0), (2, "é a@b.co", 0)], "doc_id long, text string, spans int")
     got = {(r["doc_id"], r["n_email"], r["spans"], r["redacted"]) for r in pii.detect(df).collect()}
