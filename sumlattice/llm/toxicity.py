@@ -5,12 +5,14 @@ terms stand in one trie; a word is run through the product of the trie with the
 automaton that allows one edit, whose states are made as words ask for them.  A hit
 counts by its term's weight, apart for exact and misspelled ones, and apart for
 contexts of quotation and of speech to someone; a logistic regression weighs these.
+Which terms may be misspelled is measured: words one edit away must be rare in clean texts.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +26,10 @@ from .common import Stage, table
 
 #: Labelled rows that lexicon and weights are learnt from, at most.
 FIT_ROWS = 20_000
-#: Terms of the lexicon, at most; and the least log ratio of their rates in toxic and other texts.
-TERMS = 2000
+#: The least log ratio of a term's rates in toxic and other texts, for the term and for its misspellings.
 LEAST_WEIGHT = 2.5
-CANDIDATES = 50_000
-#: Letters of a word from which one edit is allowed, and lengths of stems.
-FUZZY_LETTERS = 5
+#: Lengths of stems.
 STEMS = (4, 5, 6, 7, 8)
-#: Share of the toxic texts that a term must be in for its misspellings to count.
-FUZZY_SHARE = 0.03
 WINDOW = 8
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
@@ -48,13 +45,15 @@ class Automaton:
     """The lexicon's trie and the one-edit automaton, as a deterministic automaton made on demand."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: frozenset[str] | None = None):
-        """Words of ``fuzzy`` (all, if None) of at least FUZZY_LETTERS letters may be misspelled."""
+        """Words of ``fuzzy`` (all, if None) may be misspelled."""
         self.child: list[dict[str, int]] = [{}]
         self.term: dict[int, tuple[float, bool]] = {}
         self.stem: dict[int, float] = {}
-        loose = {t for t in terms if len(t) >= FUZZY_LETTERS and (fuzzy is None or t in fuzzy)}
+        loose = {t for t in terms if fuzzy is None or t in fuzzy}
+        self.name: dict[int, str] = {}
         for t, w in terms.items():
-            self.term[self._node(t)] = (w, t in loose)
+            n = self._node(t)
+            self.term[n], self.name[n] = (w, t in loose), t
         for t, w in stems.items():
             self.stem[self._node(t)] = w
         # Nodes below which some term may be misspelled; elsewhere an edit leads nowhere.
@@ -123,15 +122,26 @@ class Automaton:
         to = self.next[s][c] = self._state(self._close(out)) if out else self.dead
         return to
 
-    def match(self, word: str) -> tuple[float, int] | None:
-        """(weight, edits) of the best term that the word is, a term with one edit, or a stem's word."""
+    def _end(self, word: str) -> int:
         s, nxt, dead = self.start, self.next, self.dead
         for c in word:
             to = nxt[s].get(c)
             s = to if to is not None else self._step(s, c)
             if s == dead:
-                return None
-        return self.accept[s]
+                break
+        return s
+
+    def match(self, word: str) -> tuple[float, int] | None:
+        """(weight, edits) of the best term that the word is, a term with one edit, or a stem's word."""
+        return self.accept[self._end(word)]
+
+    def near(self, word: str) -> list[str]:
+        """All terms that the word misspells, none if it is a term or a stem's word itself."""
+        s = self._end(word)
+        best = self.accept[s]
+        if best is None or best[1] == 0:
+            return []
+        return [self.name[n] for n, e in self.sets[s] if e == 1 and n in self.term and self.term[n][1]]
 
 
 @dataclass
@@ -178,9 +188,9 @@ class Scanner:
             out[5] += weight * (not _ADDRESS.isdisjoint(near))
             out[6] = max(out[6], weight if not edits else 0.0)
             out[7] = max(out[7], weight if edits else 0.0)
-        out[8] = np.log1p(sum(1 for _, h in hits if not h[1]))
+        out[8] = sum(1 for _, h in hits if not h[1])
         out[9] = 100 * len(hits) / len(found)
-        return [out[0], *(min(x, 30.0) for x in out[1:])]
+        return [out[0], *(float(np.log1p(x)) for x in out[1:])]
 
 
 _SCANNERS: dict[str, Scanner] = {}
@@ -195,7 +205,34 @@ def _scanner(key: str, model: Model) -> Scanner:
 
 def _terms_of(text: str) -> set[str]:
     found = set(_WORD.findall(text.lower()))
-    return {w for w in found if 3 <= len(w) <= 24} | {w[:k] + "*" for w in found for k in STEMS if len(w) >= k}
+    return found | {w[:k] + "*" for w in found for k in STEMS if len(w) >= k}
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n1, n0) from (y, text): texts of either label with the term, counted by batch."""
+    for b in words.grouped(batches, 1, 1 << 20):
+        n: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n[y].update(_terms_of(text or ""))
+        terms = [*(n[0] | n[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "n1", "n0"])
+
+
+def _collisions(spark: SparkSession, counted: DataFrame, model: Model) -> dict[str, int]:
+    """Texts of label 0 by the term that some word of theirs would misspell, a text once for each such word."""
+    shared = spark.sparkContext.broadcast(model)  # a lexicon of FIT_ROWS texts at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value.terms, shared.value.stems)
+        for b in batches:
+            n: Counter[str] = Counter()
+            for word, n0 in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for t in automaton.near(word):
+                    n[t] += n0
+            yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], ["term", "n0"])
+
+    clean = counted.where("n0 > 0 AND term NOT LIKE '%*'").select("term", "n0")
+    return {r["term"]: r["n0"] for r in clean.mapInArrow(run, "term string, n0 long").groupBy("term").agg(F.sum("n0").alias("n0")).collect()}
 
 
 def learn(spark: SparkSession, own: DataFrame, least: int = 5) -> Model | float:
@@ -217,26 +254,19 @@ def learn(spark: SparkSession, own: DataFrame, least: int = 5) -> Model | float:
     if not n.get(0) or not n.get(1):
         return float(n.get(1, 0) > 0)
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.grouped(batches, 0, 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array([t for x in b.column(0).to_pylist() for t in _terms_of(x or "")], pa.string())], ["term"])
-
-    toxic = rows.where("y = 1").select("text").mapInArrow(terms, "term string").groupBy("term").agg(F.count("*").alias("n1")).where(F.col("n1") >= least)
-    # What is in many toxic texts, but not in most: at most CANDIDATES terms to count elsewhere.
-    seen = {r["term"]: r["n1"] for r in toxic.where(F.col("n1") <= 0.8 * n[1]).orderBy(F.desc("n1"), "term").limit(CANDIDATES).collect()}
-    shared = spark.sparkContext.broadcast(frozenset(seen))
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        for b in words.grouped(batches, 0, 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array([t for x in b.column(0).to_pylist() for t in _terms_of(x or "") & asked], pa.string())], ["term"])
-
-    rest = {r["term"]: r["n0"] for r in rows.where("y = 0").select("text").mapInArrow(others, "term string").groupBy("term").agg(F.count("*").alias("n0")).collect()}
-    weight = {t: float(np.log((n1 + 0.5) / (n[1] + 1)) - np.log((rest.get(t, 0) + 0.5) / (n[0] + 1))) for t, n1 in seen.items()}
-    best = sorted((t for t, w in weight.items() if w >= LEAST_WEIGHT and rest.get(t, 0) * n[1] < 0.2 * seen[t] * n[0]), key=lambda t: (-weight[t], t))[:TERMS]
-    model = Model({t: weight[t] for t in best if t[-1] != "*"}, {t[:-1]: weight[t] for t in best if t[-1] == "*"}, frozenset(t for t in best if seen[t] >= FUZZY_SHARE * n[1]), np.zeros(N_FEATURES))
+    counted = stage.write(rows.select("y", "text").mapInArrow(_counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
+    # What is in toxic texts, but not in most of them, and hardly elsewhere.
+    lean = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
+    known = counted.where((F.col("n1") >= least) & (F.col("n1") <= 0.8 * n[1]) & (F.col("n0") * n[1] < 0.2 * F.col("n1") * n[0])).withColumn("lean", lean).where(F.col("lean") >= LEAST_WEIGHT)
+    seen, weight = {}, {}
+    for r in known.collect():  # words of FIT_ROWS texts at most
+        seen[r["term"]], weight[r["term"]] = r["n1"], r["lean"]
+    model = Model({t: w for t, w in weight.items() if t[-1] != "*"}, {t[:-1]: w for t, w in weight.items() if t[-1] == "*"}, frozenset(), np.zeros(N_FEATURES))
     # A word that a stem of its own rate covers adds nothing, and a stem of one frequent word claims too much.
     model.stems = {s: w for s, w in model.stems.items() if seen[s + "*"] > 1.5 * max((seen.get(t, 0) for t in model.terms if t.startswith(s)), default=0)}
+    # A term may be misspelled if words like it are as much rarer in clean texts as the term itself must be.
+    met = _collisions(spark, counted, model)
+    model.fuzzy = frozenset(t for t in model.terms if (met.get(t, 0) + 1) * (n[1] + 1) * np.exp(LEAST_WEIGHT) <= seen[t] * (n[0] + 1))
     x, y = [], []
     for r in _scan(spark, rows, model).collect():  # FIT_ROWS at most
         x.append(r["x"]), y.append(r["y"])
@@ -245,7 +275,7 @@ def learn(spark: SparkSession, own: DataFrame, least: int = 5) -> Model | float:
 
 
 def _scan(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
-    shared = spark.sparkContext.broadcast(model)  # TERMS terms at most
+    shared = spark.sparkContext.broadcast(model)  # a lexicon of FIT_ROWS texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -271,14 +301,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def score(spark: SparkSession, docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row.
 
-    A null or empty text has no hits and is scored so; null ids and repeated rows are
+    A text is read whole, however long; a null or empty one has no hits and is scored
+    so; null ids and repeated rows are
     rows like others; extra columns aren't read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     if not isinstance(model, Model):
         return own.select("doc_id", F.lit(float(model)).alias("score"))
-    shared = spark.sparkContext.broadcast(model)  # TERMS terms at most
+    shared = spark.sparkContext.broadcast(model)  # a lexicon of FIT_ROWS texts at most
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +328,7 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, from labels of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score(spark, docs, trained(spark, docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", stats.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -100,7 +100,8 @@ def within_one(a, b):
 
 def test_automaton_against_distances():
     terms = {"stupid": 3.0, "idiot": 4.0, "scum": 5.0, "idiots": 2.0}
-    auto, rng = toxicity.Automaton(terms, {"loweia": 6.0}), np.random.default_rng(2)
+    auto, rng = toxicity.Automaton(terms, {"loweia": 6.0}, frozenset(terms) - {"scum"}), np.random.default_rng(2)
+    loose = toxicity.Automaton(terms, {"loweia": 6.0})
     tried = {"scun", "idiot", "loweiabc", "loweib", "", "stpid"}
     for w in terms:
         for _ in range(400):
@@ -111,13 +112,69 @@ def test_automaton_against_distances():
             tried.add("".join(x))
     for x in tried:
         exact = x in terms or x.startswith("loweia")
-        near = any(within_one(x, w) for w in terms if len(w) >= 5)
+        near = any(within_one(x, w) for w in terms if w != "scum")
         got = auto.match(x)
         assert (got is not None) == (exact or near), x
         assert got is None or (got[1] == 0) == exact
+        assert sorted(loose.near(x)) == ([] if exact else sorted(w for w in terms if within_one(x, w)))
     assert auto.match("idiot") == (4.0, 0) and auto.match("idoot") == (4.0, 1)
 
 
+def test_features_against_plain_distances():
+    terms, stems, fuzzy = {"scum": 3.0, "idiot": 4.0, "idiots": 2.5}, {"blar": 5.0}, frozenset({"idiot", "idiots"})
+    scanner = toxicity.Scanner(toxicity.Model(terms, stems, fuzzy, np.zeros(toxicity.N_FEATURES)))
+    rng, parts = np.random.default_rng(10), ["scum", "Idiot", "idoot", "idiotts", "scun", "blargh", "blar", "you", "said", '"', ",", "river", "the", "day", "«", "»", "x1y"]
+
+    def plain(text):
+        low = text.lower()
+        found = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", low)]
+        out = [0.0] * toxicity.N_FEATURES
+        n = exact = 0
+        for i, (at, w) in enumerate(found):
+            own = [v for t, v in terms.items() if t == w] + [v for s, v in stems.items() if w.startswith(s)]
+            close = [terms[t] for t in fuzzy if within_one(w, t)]
+            if not own and not close:
+                continue
+            n, exact, edits, v = n + 1, exact + bool(own), int(not own), max(own or close)
+            near = {x for _, x in found[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]}
+            quoted = sum(c in '"“”„«»' for c in low[:at]) % 2 == 1 or bool(near & toxicity._REPORT)
+            out[(3 if quoted else 1) + edits] += v
+            out[5] += v * bool(near & toxicity._ADDRESS)
+            out[6 + edits] = max(out[6 + edits], v)
+        out[8], out[9] = exact, 100 * n / max(len(found), 1)
+        return [1.0, *np.log1p(out[1:])]
+
+    for _ in range(1500):
+        text = " ".join(rng.choice(parts, rng.integers(0, 40)))
+        assert np.allclose(scanner.features(text), plain(text)), text
+    assert np.allclose(scanner.features("river " * 200_000 + "scum"), plain("river " * 200_000 + "scum"))
+
+
+def test_terms_and_collisions_against_plain_counts(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i % 3 == 0), " ".join(rng.choice(["idiot", "idiom", "idio", "scum", "skum", "river", "a", "scam", "rivers"], rng.integers(0, 9)))) for i in range(90)] + [(0, None), (1, "")]
+    counted = spark.createDataFrame(rows, "y int, text string").repartition(4).mapInArrow(toxicity._counts, "term string, n1 long, n0 long").groupBy("term").agg({"n1": "sum", "n0": "sum"}).toDF("term", "a", "b").selectExpr("term", "`a` AS x", "`b` AS z")
+    got = {r[0]: {r[1], r[2]} for r in counted.collect()}
+    sets = [(y, toxicity._terms_of(t or "")) for y, t in rows]
+    n1, n0 = ({t: sum(t in s for z, s in sets if z == y) for t in set().union(*(s for _, s in sets))} for y in (1, 0))
+    assert got == {t: {n1[t], n0[t]} for t in n1}
+    terms = {"idiot": 3.0, "scum": 3.0}
+    clean = spark.createDataFrame([(t, 0, n) for t, n in n0.items()], "term string, n1 long, n0 long")
+    met = toxicity._collisions(spark, clean, toxicity.Model(terms, {"riv": 1.0}, frozenset(), np.zeros(1)))
+    assert met == {t: sum(n for w, n in n0.items() if w[-1] != "*" and w not in terms and within_one(w, t)) for t in terms}
+
+
+def test_words_near_clean_ones_may_not_be_misspelled(spark):
+    rng = np.random.default_rng(12)
+    docs = []
+    for i in range(600):
+        w = [f"{rng.choice([*'bcdfg'])}{rng.choice([*'aeiou'])}lm{rng.choice([*'aeiou'])}r" for _ in range(20)]
+        w += ["grubnak" if i % 8 else "snark"] if i % 4 == 0 else ["shark"] * (i % 3 == 0)
+        docs.append((i, int(i % 4 == 0), " ".join(rng.permutation(w))))
+    model = toxicity.learn(spark, spark.createDataFrame(docs, "id long, y int, text string"))
+    assert {"grubnak", "snark"} <= set(model.terms) and "grubnak" in model.fuzzy and "snark" not in model.fuzzy
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(3)
     docs = []
