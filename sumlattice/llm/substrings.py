@@ -1,17 +1,18 @@
 """Substring deduplication on a log-structured index of window fingerprints.
 
-The index is a folder of runs: immutable bucketed tables, each sorted by hash, of which
-a newer one goes before an older one.  A batch of documents is dealt to the buckets once
-and merge-joined with each run, which stay where they are; what the batch adds becomes a
-run, and too many runs are compacted into one.  An index outlives its session: a later
-batch, given the folder and the documents added so far, is deduplicated against them.
+The index is a folder of runs: immutable bucketed tables, each sorted by hash, one file a
+bucket.  A batch of documents is dealt to the buckets once and merge-joined with each run,
+which are neither shuffled nor sorted again; what the batch adds becomes a run, and too
+many runs are merged, bucket by bucket.  An index outlives its session: a later
+call, given the folder, is deduplicated against all that was added before.  A call's
+batches count once all of it is done; what one that broke off left behind isn't read.
 
 Of each window one fingerprint is chosen by its words alone (the least hash of its
 sub-windows), so that equal windows choose the same.  Fingerprint runs have those of
 all windows ever added, with the document where there has been one only; a window
 whose fingerprint was never met before is new.  When a fingerprint is met again, the
-windows behind it, of the one earlier document too, go to window runs, by a hash of
-64 bits; a match is verified by 32 bits of an independent hash of the bytes of its words.
+windows behind it, of the one earlier document too, whose text the index keeps, go to
+window runs, by a hash of 64 bits; a match is verified by 32 bits of an independent hash of the bytes of its words.
 Documents that equal an earlier one word for word are removed whole beforehand, on runs
 of digests.
 """
@@ -21,10 +22,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
@@ -53,27 +55,46 @@ def anchors(h: np.ndarray, window: int, sub: int = SUB) -> np.ndarray:
     return np.where(take, at[span - step : span - step + n], at[:n])
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Let Spark take a bucket of one file as sorted, which it does on request only."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Runs:
     """Immutable tables of rows with distinct keys, bucketed and sorted by them, in one folder.
 
-    A run's folder is named after the batches that it holds.  One without Spark's mark of
-    success, or whose batches a complete one holds as well, is left over from a run that
-    broke off and isn't read.
+    A run's folder is named after the batches that it holds.  One whose last batch comes
+    after ``last`` is left over from a call that broke off and is deleted; so is one
+    whose batches another holds as well.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str]):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], last: int):
         self.spark, self.folder, self.schema, self.keys = spark, folder, schema, keys
         self.tables: dict[str, str] = {}
-        found = []
-        at = self._path(folder)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(at):
-            found = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(self._path(f"{folder}/{s.getPath().getName()}/_SUCCESS"))]
+        found = _names(spark, folder)
         span = {n: tuple(map(int, n.split("-")[1:3])) for n in found}
-        self.names = sorted(n for n in found if not any(m != n and span[m][0] <= span[n][0] and span[n][1] <= span[m][1] for m in found))
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        whole = [n for n in found if span[n][1] <= last]
+        self.names = sorted(n for n in whole if not any(m != n and span[m][0] <= span[n][0] and span[n][1] <= span[m][1] for m in whole))
+        self.old = [n for n in found if n not in self.names]
+        self.tidy()
 
     def read(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -99,17 +120,34 @@ class Runs:
         # Read without its buckets, so that Spark can split the batch's frequent keys in joins with it.
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.names[-1]}")
 
-    def compact(self, merged) -> None:
-        """One run in place of all; ``merged`` makes one row of those of a key."""
-        rows = None
-        for run in self.every():
-            rows = run if rows is None else rows.unionByName(run)
-        old = self.names
-        self.names = [self._write(merged(rows), int(old[0].split("-")[1]), int(old[-1].split("-")[2]))]
-        self.forget(*old)
-        for n in old:
-            at = self._path(f"{self.folder}/{n}")
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def compact(self, most: int, *values: Column) -> None:
+        """Merge neighbours of least size until ``most`` runs are left.
+
+        ``values`` are the other columns of a key, of its rows ``a`` and ``b`` in the older
+        and the newer run.  Runs are merge-joined: a union of bucketed tables isn't
+        shuffled before an aggregate by Spark 4.1, though its parts lie in different tasks,
+        and leaves a key in several rows.
+        """
+        while len(self.names) > most:
+            size = [self._bytes(n) for n in self.names]
+            k = min(range(len(size) - 1), key=lambda k: size[k] + size[k + 1])
+            a, b = self.names[k : k + 2]
+            same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in self.keys]
+            both = self.read(a).alias("a").join(self.read(b).alias("b").hint("merge"), same, "full")
+            rows = both.select(*(F.coalesce(f"a.{x}", f"b.{x}").alias(x) for x in self.keys), *values)
+            self.names[k : k + 2] = [self._write(rows, int(a.split("-")[1]), int(b.split("-")[2]))]
+            self.forget(a, b)
+            self.old += [a, b]
+
+    def _bytes(self, name: str) -> int:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+    def tidy(self) -> None:
+        """Delete runs that others hold as well."""
+        for n in self.old:
+            _delete(self.spark, f"{self.folder}/{n}")
+        self.old = []
 
     def forget(self, *names: str) -> None:
         """Take runs off the session's catalog; their files stay."""
@@ -119,21 +157,37 @@ class Runs:
 
 
 class FingerprintIndex:
-    """Fingerprints, repeated windows and digests of all documents added so far, in ``folder``."""
+    """Fingerprints, repeated windows, digests and texts of all documents added so far, in ``folder``.
+
+    It has one writer at a time.  Batches count from ``commit`` on.  With ``keep`` false
+    the index serves one call only: it keeps no texts, and merged runs go at once.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, window: int = 20, max_runs: int = MAX_RUNS):
-        self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.fingerprints = Runs(spark, f"{folder}/fingerprints", "key BIGINT, doc BIGINT, was BIGINT", ["key"])
-        self.windows = Runs(spark, f"{folder}/windows", "key BIGINT, check INT, doc BIGINT, pos INT, hist BOOLEAN, again BOOLEAN", ["key", "check"])
-        self.wholes = Runs(spark, f"{folder}/wholes", "whole BINARY, first BIGINT, hist BOOLEAN", ["whole"])
+    def __init__(self, spark: SparkSession, folder: str, window: int = 20, max_runs: int = MAX_RUNS, keep: bool = True):
+        self.spark, self.folder, self.window, self.max_runs, self.keep = spark, folder, window, max_runs, keep
+        last = self.batch = max(map(int, _names(spark, f"{folder}/done")), default=0)
+        self.fingerprints = Runs(spark, f"{folder}/fingerprints", "key BIGINT, doc BIGINT, was BIGINT", ["key"], last)
+        self.windows = Runs(spark, f"{folder}/windows", "key BIGINT, check INT, doc BIGINT, pos INT, hist BOOLEAN, again BOOLEAN", ["key", "check"], last)
+        self.wholes = Runs(spark, f"{folder}/wholes", "whole BINARY, first BIGINT, hist BOOLEAN", ["whole"], last)
+        self.kinds = (self.fingerprints, self.windows, self.wholes)
+        for name in _names(spark, f"{folder}/texts"):
+            if int(name) > last:
+                _delete(spark, f"{folder}/texts/{name}")
+
+    def texts(self) -> DataFrame | None:
+        """(id, text) of the documents added so far, but whole copies and those too short for a window."""
+        paths = [f"{self.folder}/texts/{n}" for n in _names(self.spark, f"{self.folder}/texts")]
+        return self.spark.read.schema("id long, text string").parquet(*paths) if paths else None
 
     def add(self, stage: Stage, docs: DataFrame, texts: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Add a batch; (id, whole) of its whole copies and (id, starts) of its other repeated windows.
 
         ``docs`` has what ``_documents`` tells of the batch, ``texts`` its (id, text), and
-        ``history`` those of all earlier batches.  What is in the index goes before the
+        ``history`` those of all earlier batches, where the index doesn't keep them.  What is in the index goes before the
         batch; within the batch smaller ids go first.
         """
+        history = self.texts() if self.keep else history
+        self.batch += 1
         long = docs.where(f"n >= {self.window} AND id IS NOT NULL")
         first = long.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         for k, run in enumerate(self.wholes.every()):
@@ -173,19 +227,33 @@ class FingerprintIndex:
         late = late.where(F.col("hist") | (F.struct("id", "pos") > F.col("first"))).groupBy("id").agg(F.collect_list("pos").alias("starts"))
         late = stage.write(late, "late")
         stage.drop(found, hit)
-        if len(self.fingerprints.names) > self.max_runs:
-            self.compact()
+        if self.keep:
+            own = stage.write(long.join(small(copies), ["id", "whole"], "left_anti").select("id").distinct(), "own")
+            texts.join(small(own), "id", "left_semi").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/texts/{self.batch:06d}")
+        self.compact()
         stage.release()
         return copies, late
 
     def compact(self) -> None:
-        none = F.lit(None).cast("long")
-        self.fingerprints.compact(lambda r: r.groupBy("key").agg(F.count("*").alias("n"), F.first("doc").alias("doc")).select("key", F.when(F.col("n") == 1, F.col("doc")).alias("doc"), none.alias("was")))
-        self.windows.compact(lambda r: r.groupBy("key", "check").agg(F.lit(True).alias("again")).select("key", "check", none.alias("doc"), F.lit(None).cast("int").alias("pos"), F.lit(True).alias("hist"), "again"))
-        self.wholes.compact(lambda r: r.groupBy("whole").agg(F.lit(True).alias("hist")).select("whole", none.alias("first"), "hist"))
+        true, none = F.lit(True), F.lit(None).cast("long")
+        one = F.when(F.col("a.key").isNull() | F.col("b.key").isNull(), F.coalesce("a.doc", "b.doc"))
+        self.fingerprints.compact(self.max_runs, one.alias("doc"), none.alias("was"))
+        self.windows.compact(self.max_runs, none.alias("doc"), F.lit(None).cast("int").alias("pos"), true.alias("hist"), true.alias("again"))
+        self.wholes.compact(self.max_runs, none.alias("first"), true.alias("hist"))
+        if not self.keep:
+            self._tidy()
+
+    def commit(self) -> None:
+        """From now on all batches added count, whatever happens to the session."""
+        self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/done/{self.batch:06d}")
+        self._tidy()
+
+    def _tidy(self) -> None:
+        for runs in self.kinds:
+            runs.tidy()
 
     def close(self) -> None:
-        for runs in (self.fingerprints, self.windows, self.wholes):
+        for runs in self.kinds:
             runs.forget()
 
 
@@ -249,7 +317,7 @@ def _digest(joined: bytes) -> bytes:
     return hashlib.blake2b(joined, digest_size=16).digest()
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, batches: int = BATCHES, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, batches: int = BATCHES, index: str | None = None) -> DataFrame:
     """(doc_id, whole, n_words, n_removed, kept_sha256, kept) of every document.
 
     A word goes if a window of ``window`` words that covers it starts earlier too, in
@@ -262,38 +330,37 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     table gives no rows.
 
     With a folder ``index`` the documents are added to the index there, and all that
-    earlier calls added goes before them; ``history`` must then have the rows of those
-    calls, in the same columns.
+    earlier calls added goes before them.  A call that fails adds nothing and can be made
+    again; calls on one folder go one after another.
     """
     bound_batches(spark)
     stage = Stage(spark, "substrings")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    old = history.select(history[id_col].cast("long").alias("id"), history[text_col].alias("text")).where("id IS NOT NULL") if history is not None else None
     every = stage.write(_documents(texts, window), "documents")
-    runs = FingerprintIndex(spark, index or f"{stage.root}/index", window)
     edges = every.where("id IS NOT NULL").approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({*map(int, edges)}), None]
     copies = dup = None
-    for lo, hi in zip(bounds, bounds[1:]):
-        within = F.lit(True) if lo is None else F.col("id") > lo
-        within = within if hi is None else within & (F.col("id") <= hi)
-        before = None if lo is None else texts.where(F.col("id") <= lo)
-        before = before if old is None else old if before is None else old.unionByName(before)
-        found = runs.add(stage, every.where(within), texts.where(within), before)
-        copies, dup = found if dup is None else (copies.unionByName(found[0]), dup.unionByName(found[1]))
-    cut = texts.join(small(dup.select("id")), "id").join(dup, "id")
-    changed = stage.write(_cut(cut, window), "changed").dropDuplicates(["id", "whole"])
-    changed = changed.select("id", "whole", F.col("n_removed").alias("r"), F.col("digest").alias("d"), F.col("kept").alias("k"))
-    out = every.select("id", "n", "digest", "whole").join(small(copies).withColumn("copy", F.lit(True)), ["id", "whole"], "left").join(changed, ["id", "whole"], "left")
-    nothing = hashlib.sha256(b"").hexdigest()
-    out = out.select(
-        F.col("id").alias("doc_id"), "whole", F.col("n").alias("n_words"),
-        F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("d", "digest")).alias("kept_sha256"),
-        F.when(F.col("copy"), F.lit("")).otherwise(F.col("k")).alias("kept"),
-    )
-    out = stage.finish(out)
-    runs.close()
+    with closing(FingerprintIndex(spark, index or f"{stage.root}/index", window, keep=index is not None)) as runs, _sorted_buckets(spark):
+        for lo, hi in zip(bounds, bounds[1:]):
+            within = F.lit(True) if lo is None else F.col("id") > lo
+            within = within if hi is None else within & (F.col("id") <= hi)
+            before = None if lo is None else texts.where(F.col("id") <= lo)
+            found = runs.add(stage, every.where(within), texts.where(within), before)
+            copies, dup = found if dup is None else (copies.unionByName(found[0]), dup.unionByName(found[1]))
+        cut = texts.join(small(dup.select("id")), "id").join(dup, "id")
+        changed = stage.write(_cut(cut, window), "changed").dropDuplicates(["id", "whole"])
+        changed = changed.select("id", "whole", F.col("n_removed").alias("r"), F.col("digest").alias("d"), F.col("kept").alias("k"))
+        out = every.select("id", "n", "digest", "whole").join(small(copies).withColumn("copy", F.lit(True)), ["id", "whole"], "left").join(changed, ["id", "whole"], "left")
+        nothing = hashlib.sha256(b"").hexdigest()
+        out = out.select(
+            F.col("id").alias("doc_id"), "whole", F.col("n").alias("n_words"),
+            F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"),
+            F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("d", "digest")).alias("kept_sha256"),
+            F.when(F.col("copy"), F.lit("")).otherwise(F.col("k")).alias("kept"),
+        )
+        out = stage.finish(out)
+        if index is not None:
+            runs.commit()
     if index is None:
         stage.delete(f"{stage.root}/index")
     return out

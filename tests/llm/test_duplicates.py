@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sumlattice.llm import components, jaccard, substrings, words
@@ -149,20 +150,33 @@ def test_substrings_against_plain(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in substrings.dedup(spark, alone).collect()} == {(None, 0), (1, 38)}
 
 
-def test_index_across_calls(spark, tmp_path):
+def test_index_across_calls(spark, tmp_path, monkeypatch):
     rows = corpus(5)[:-4]  # ids ascend
     df = spark.createDataFrame(rows, "doc_id long, text string, whole string")
     got, n = set(), len(rows)
     for k, (lo, hi) in enumerate(((0, n // 4), (n // 4, n // 2), (n // 2, 3 * n // 4), (3 * n // 4, n))):
         part = lambda a, b: spark.createDataFrame(rows[a:b], df.schema).repartition(3)
-        found = substrings.dedup(spark if k < 2 else spark.newSession(), part(lo, hi), batches=1, index=str(tmp_path / "index"), history=part(0, lo) if lo else None)
+        if k == 2:  # a call breaks off before its result is written, and is made again
+            with monkeypatch.context() as broken, pytest.raises(ZeroDivisionError):
+                broken.setattr(substrings, "_cut", lambda *_: 1 // 0)
+                substrings.dedup(spark, part(lo, hi), batches=2, index=str(tmp_path / "index"))
+        found = substrings.dedup(spark if k < 2 else spark.newSession(), part(lo, hi), batches=1, index=str(tmp_path / "index"))
         got |= {tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
     assert got == cut(rows, 20)
     index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
-    assert [len(r.names) for r in (index.fingerprints, index.windows, index.wholes)] == [2, 2, 2]  # three were compacted
+    assert [len(r.names) for r in (index.fingerprints, index.windows, index.wholes)] == [2, 2, 2]  # others were merged
+    for r in index.kinds:
+        for run in r.every():
+            assert run.count() == run.select(*r.keys).distinct().count() > 0
+    physical = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     batch = spark.range(5).select("id", F.col("id").alias("key")).groupBy("key").count()
-    plan = batch.join(index.fingerprints.every()[0].hint("merge"), "key")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    assert plan.count("Exchange") == 1  # of the batch; the run stays where it is
+    with substrings._sorted_buckets(spark):
+        plan = physical(batch.join(index.fingerprints.every()[0].hint("merge"), "key"))
+        assert plan.count("Exchange") == plan.count("Sort [") == 1  # of the batch; the run stays where and as it is
+        merged = []
+        monkeypatch.setattr(index.fingerprints, "_write", lambda rows, first, last: merged.append(physical(rows)) or "run")
+        index.fingerprints.compact(1, F.coalesce("a.doc", "b.doc").alias("doc"))
+        assert len(merged) == 1 and "SortMergeJoin" in merged[0] and "Exchange" not in merged[0] and "Sort [" not in merged[0]
     index.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
