@@ -233,6 +233,7 @@ def _pass(spark: SparkSession, index: DataFrame, ids: np.ndarray, unit: np.ndarr
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector against all rows."""
     df = table(spark, sf_dir, "embeddings")
     return search(spark, df, df.where("vec_id % 50 = 0"))
 

@@ -568,6 +568,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digest of the ids of every document, and digest of their decoded text."""
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 

@@ -130,9 +130,9 @@ def fit(spark: SparkSession, own: DataFrame, seed: int = 3) -> Model | float:
 def score(spark: SparkSession, docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row.
 
-    A null or empty text has all statistics zero and is scored like others; null ids and
-    repeated rows are rows like others; extra columns aren't read; an empty table gives
-    no rows.
+    A text is read whole, however long; a null or empty one has all statistics zero and is
+    scored like others; null ids and repeated rows are rows like others; extra columns
+    aren't read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -157,7 +157,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: Model | float, text_c
     """The rows whose score reaches the threshold, with all their columns.
 
     All rows stay where nothing could be learnt: ``fit`` gives 0.5 without rows only, and 0
-    or 1 where all labels are the same.
+    or 1 where all labels are the same.  Null and empty texts are scored like others, and
+    repeated rows stay or go together.
     """
     if not isinstance(model, Model):
         return docs if model == 0.5 or model >= threshold else docs.limit(0)
@@ -172,6 +173,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: Model | float, text_c
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, from labels of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score(spark, docs, trained(spark, docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", stats.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -392,6 +392,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and links of every document, for sets of four-word shingles and 85 percent."""
     return join(spark, table(spark, sf_dir, "documents"), size=4, percent=85)
 
 

@@ -130,7 +130,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
     """Every piece of every document with its sequence and its place there.
 
     A null or empty text is one piece of length 1 (END_ID alone); null ids and
-    repeated rows are packed like others.  An empty table packs into nothing.
+    repeated rows are packed like others.  A very long text is encoded whole, in one task,
+    and cut into pieces.  Extra columns aren't read; an empty table packs into nothing.
     """
     stage = Stage(spark, "packing")
     cut = stage.write(pieces(docs, path, capacity, id_col, text_col), "pieces")
@@ -158,6 +159,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
     return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 

@@ -227,6 +227,7 @@ def judge(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document, by the labels of its lines."""
     docs = table(spark, sf_dir, "documents")
     return judge(spark, docs, train(docs, table(spark, sf_dir, "labels")))
 

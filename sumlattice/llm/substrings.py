@@ -367,7 +367,11 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """All rows, with what ``dedup`` keeps of their texts; texts in which nothing repeats stay as they are."""
+    """All rows, with what ``dedup`` keeps of their texts; texts in which nothing repeats stay as they are.
+
+    So do null and empty texts and rows without id.  Of repeated rows of one id and text all
+    are treated alike.  A very long text is read whole; other columns stay.
+    """
     stage = Stage(spark, "without-repeats")
     found = dedup(spark, docs, id_col, text_col, window).where("n_removed > 0").select(F.col("doc_id").alias(id_col), F.struct("whole", "kept").alias("new"))
     found = stage.write(found.groupBy(id_col).agg(F.collect_set("new").alias("new_texts")), "changed")  # one for each text of an id
@@ -389,6 +393,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and digest of what is left of every document, for windows of 20 words."""
     return dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -218,7 +218,7 @@ def checked(spark: SparkSession, records: DataFrame) -> DataFrame:
     """The records, read once; a revisit whose response is missing or has another digest or length is an error.
 
     Of several responses of one id one must agree.  Only revisits and the responses
-    that they name meet, by id and digest.
+    that they name meet, by id and digest.  No records are no error.
     """
     stage = Stage(spark, "warc-records")
     records = stage.write(records, "records")
@@ -236,7 +236,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
 
     A null text has an empty payload, a null url the target about:blank.  Of rows of
     one id and payload each is a response if one is.  Rows with a null id are always
-    responses and no row refers to them.
+    responses and no row refers to them.  A text may be of any length that a row can have.
+    Extra columns aren't read; an empty table gives an empty archive table.
     """
     stage = Stage(spark, "warc")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.encode(F.coalesce(pages[text_col], F.lit("")), "UTF-8").alias("payload"))
@@ -249,6 +250,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that were written of all of them."""
     return checked(spark, read_archives(write_archives(spark, table(spark, sf_dir, "pages"))))
 
 

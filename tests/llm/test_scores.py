@@ -325,3 +325,20 @@ def test_repeated_rows_are_fitted_on_once(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (4, 7)], "doc_id long, quality int")
     assert sorted(map(tuple, stats.labelled(docs, labels, "quality", 10).collect())) == [(1, 1, "a"), (2, 0, None)]
+
+
+def test_repeated_and_long_rows_score_alike(spark):
+    from sumlattice.llm import classifier
+
+    texts = ["good plain words of a text . " * (k + 1) if k % 2 else "BUY $$$ now !!! " * (k + 1) for k in range(20)]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    model = classifier.trained(spark, docs, labels)
+    rows = [(1, texts[1], 0), (1, texts[1], 0), (None, texts[1], 0), (2, "word " * 400_000, 0), (3, None, 0), (4, "", 0)]
+    many = spark.createDataFrame(rows, docs.schema)
+    got = [tuple(r) for r in classifier.score(spark, many, model).collect()]
+    assert len(got) == 6 and all(0 <= s <= 1 for _, s in got)
+    by = {i: {s for k, s in got if k == i} for i in (1, None, 3, 4)}
+    assert by[1] == by[None] and len(by[1]) == 1 and by[3] == by[4]
+    kept = [tuple(r) for r in classifier.keep_good(spark, many, model, threshold=0.5).collect()]
+    assert [r for r in kept if r[1] == texts[1]] in ([], rows[:3]) and classifier.keep_good(spark, many.limit(0), model).count() == 0

@@ -135,3 +135,14 @@ def test_search_of_unlike_dimensions_and_repeated_queries(spark):
             want = sorted((-(a @ np.array(v)) / np.linalg.norm(a) / np.linalg.norm(v), i) for i, v in rows if len(v) == dims and i != q)[:5]
             own = got[got.query_id == q].sort_values("rank")
             assert own["vec_id"].tolist() == [i for _, i in want] and np.allclose(own["score"], [-s for s, _ in want])
+
+
+def test_long_pages_clashing_columns_and_empty_tables(spark):
+    long = "<p>é</p>" * 300_000
+    rows = [(1, "u", long, "x", 7, "y"), (2, "u", long, "x", 7, "y"), (3, None, "q", "x", 7, None), (3, None, "q", "x", 7, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_to long, digest string")
+    got = warc.checked(spark, warc.read_archives(warc.write_archives(spark, pages)))
+    size, digest = len(long.encode()), hashlib.sha256(long.encode()).hexdigest()
+    small = (3, 1, hashlib.sha256(b"q").hexdigest(), "response", None)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, size, digest, "response", None), (2, size, digest, "revisit", 1), small, small], key=str)
+    assert warc.checked(spark, warc.read_archives(warc.write_archives(spark, pages.limit(0)))).count() == 0
