@@ -64,6 +64,30 @@ def test_three_thousand_million_a_class(spark):
     assert tuple(intervals.delong(freq).first())[1:] == (1.0, 0.0, 1.0, 1.0)
 
 
+@pytest.mark.parametrize("most", [9, 2**40, 2**62])
+def test_weights_whose_sums_are_beyond_longs(spark, most):
+    rng = np.random.default_rng(5)
+    x = [[float(i), j / 2] for i in range(3) for j in range(4)] * 4
+    rows = [(int(y), v, int(t)) for v, y, t in zip(x, rng.integers(0, 2, 48), rng.integers(most // 2, most, 48))]
+    patterns = roc.compress(spark.createDataFrame(rows, "y int, x array<double>, times long"), times="times")
+    count = "decimal(38,0)" if most == 2**62 else "bigint"
+    assert dict(patterns.dtypes)["p"] == dict(patterns.dtypes)["n"] == count
+    sets = spark.createDataFrame([(0, 1, [0]), (1, 1, [1]), (2, 2, [0, 1])], "combo_id long, n_items int, item_idx array<int>")
+    freq = roc.score_frequencies(patterns, sets)
+    columns = ["combo_id", "auc", "cutoff", "sensitivity", "specificity", "youden", "accuracy", "ppv", "npv", "tp", "fp", "fn", "tn", "n_positive", "n_negative"]
+    a = sorted(map(tuple, roc.candidate_table(freq).select(*columns).collect()))
+    assert a == sorted(map(tuple, kernel.score(spark, patterns, ["u", "v"], 1, 2).select(*columns).collect()))
+    assert {tuple(map(int, r[-2:])) for r in a} == {(sum(t for y, _, t in rows if y == 1), sum(t for y, _, t in rows if y == 0))}
+    whole = kernel.score(spark, patterns.withColumn("x", roc.F.transform("x", lambda v: 2 * v)), ["u", "v"], 1, 2).drop("cutoff")
+    assert sorted(map(tuple, whole.select("combo_id", "auc").collect())) == [r[:2] for r in a if r[0] < 2] + [tuple(whole.where("combo_id = 2").select("combo_id", "auc").first())]
+    scores = {0: lambda v: v[0], 1: lambda v: v[1], 2: sum}
+    for r in intervals.delong(freq).collect():
+        found = {}
+        for y, v, t in rows:
+            found.setdefault(scores[r["combo_id"]](v), [0, 0])[1 - y] += t
+        assert (r["auc"], r["auc_se"]) == plain([(s, *c) for s, c in found.items()]) and r["auc"] == a[r["combo_id"]][1]
+
+
 @pytest.mark.parametrize("kind", ["few", "uneven", "negative", "wide", "real", "large"])
 def test_prefixes_share_their_sums(kind):
     """Histograms of a prefix's subsets at once equal those of each subset's own scores."""
