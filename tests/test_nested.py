@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumlattice.functions import combos
+from sumlattice.operators import folds as by_rank
 from sumlattice.operators import inner, nested, roc
 from sumlattice.operators.folds import stratified_folds
 from sumlattice.plans import search
@@ -53,6 +54,29 @@ def test_division_of_a_tiny_class(spark):
         nested.nested_cv(rows, combos.candidate_rows(spark, ["a"], 1, 1), 2, 2, 1, 1)
 
 
+@pytest.mark.parametrize("deviations", [8, 0.01])
+def test_folds_from_windows(spark, monkeypatch, deviations):
+    """Beginnings are found in windows in one pass; where windows are too narrow, by ranks."""
+    monkeypatch.setattr(by_rank, "DEVIATIONS", deviations)
+    monkeypatch.setattr(by_rank, "BESIDES", 40 if deviations == 8 else 0)
+    rows = spark.createDataFrame([(i * 7, int(i % 5 == 0), [float(i % 3), float(i % 4)]) for i in range(4000)], "row_id long, y int, x array<double>").persist()
+    every, seed, sizes = rows.withColumn("repeat", F.explode(F.lit([1, 2]))), F.lit(5) + F.col("repeat") - 1, {0: 3200, 1: 800}
+    show = lambda df: sorted(map(tuple, df.select("row_id", "repeat", "y", "fold").collect()))
+    made = by_rank.cut(every, seed, 3, sizes, "y", "row_id")
+    assert (made is None) == (deviations < 1) and (made is None or "Window" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan)
+    want = show(by_rank.assign(every, seed, F.lit(3), ["repeat"]))
+    assert (made is None or show(made) == want) and show(stratified_folds(rows, 3, 2, 5)) == want
+    assert by_rank.cut(every.withColumn("row_id", F.lit(1)), seed, 3, sizes, "y", "row_id") is None
+
+    folds = stratified_folds(rows, 3, 2, 5).persist()
+    wanted = [(r, f, 5 + (r - 1) * 3 + f + j) for r in (1, 2) for f in (1, 2, 3) for j in range(2)]
+    asked = spark.createDataFrame(wanted, "repeat int, outer_fold int, seed int")
+    for k in (2, 4):
+        assert (inner.by_windows(folds, asked, k) is None) == (deviations < 1)
+        got = inner.divided(folds, asked, k).collect()
+        assert {(r["repeat"], r["outer_fold"], r["seed"], r["inner"], tuple(r["x"]), r["p"], r["n"]) for r in got} == by_hand(folds.collect(), wanted, k)
+
+
 def test_prefix_digits():
     assert [inner.prefix_digits(n) for n in (0, 10, 10**6, 10**7, 10**9, 10**13)] == [2, 2, 2, 3, 5, 6]
 
