@@ -106,3 +106,9 @@ def test_no_cartesian_product_at_millions_of_candidates(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") == 1 and "SortMergeJoin" not in plan
     assert search.CANDIDATE_BLOCK == nested.CANDIDATE_BLOCK
+
+
+def test_beginnings_of_folds_are_columns(spark):
+    rows = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "row_id long, y int").withColumn("repeat", F.lit(1))
+    made = by_rank.cut(rows, F.lit(3), 3, {0: 200, 1: 100}, "y", "row_id")
+    assert "array" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "_cuts" not in plan and made.count() == 300
