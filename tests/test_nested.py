@@ -108,6 +108,18 @@ def test_no_cartesian_product_at_millions_of_candidates(spark):
     assert search.CANDIDATE_BLOCK == nested.CANDIDATE_BLOCK
 
 
+def test_rows_carry_numbers_of_patterns(spark, monkeypatch):
+    """What is written of each row and repeat has no array, and results are the same where patterns are too many to number."""
+    df = spark.createDataFrame([(i, int(i * 7 % 11 > 4), i % 3, i % 4) for i in range(90)], "row_id long, y int, a int, b int")
+    rows, pool, kinds = prepare.strict(df, "y", ["a", "b"], row_id="row_id"), combos.candidate_rows(spark, ["a", "b"], 1, 2), []
+    write = nested.staged
+    monkeypatch.setattr(nested, "staged", lambda t, label="table", **kw: (kinds.append(t.schema["x"].dataType.simpleString()) if label == "folds" else None) or write(t, label, **kw))
+    run = lambda: [sorted(map(str, t.collect())) for t in (lambda r: (r.outer_results, r.outer_predictions))(nested.nested_cv(rows, pool, 3, 2, 2, 2, seed=5))]
+    want = run()
+    monkeypatch.setattr(roc, "NUMBERED_VALUES", 3)
+    assert run() == want and len(want[1]) == 180 and kinds == ["bigint", "array<double>"]
+
+
 def test_beginnings_of_folds_are_columns(spark):
     rows = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "row_id long, y int").withColumn("repeat", F.lit(1))
     made = by_rank.cut(rows, F.lit(3), 3, {0: 200, 1: 100}, "y", "row_id")
