@@ -149,3 +149,12 @@ def test_ranks_of_all_rows_shuffle_them_once(spark):
         assert "rangepartitioning" not in plan and "Exchange hashpartitioning(_at" not in plan and plan.count("Sort [") <= 1
         rows = got.orderBy("rank").collect()
         assert [r["rank"] for r in rows] == [*range(1, 5001)] and [(r["v"], r["id"]) for r in rows] == sorted(((r["v"], r["id"]) for r in df.collect()), key=lambda t: (-t[0], t[1]))
+
+
+def test_complete_rows_have_no_flags(spark, monkeypatch):
+    tables, write = {}, prepare.staged
+    monkeypatch.setattr(prepare, "staged", lambda t, label="table", **kw: tables.setdefault(label, write(t, label, **kw)))
+    rows = spark.createDataFrame([(1, 1, 2.0, 1.0), (2, 0, None, 2.0), (3, 0, 3.0, 4.0)], "id long, y int, a double, b double")
+    got = prepare.prepared(rows, "y", ["a", "b"], row_id="id", lenient=True)
+    assert {(r["row_id"], r["gaps"] and tuple(r["gaps"]), r["bad"]) for r in tables["rows"].collect()} == {(1, None, None), (2, (True, False), None), (3, None, None)}
+    assert (got.n_original, got.n_analyzed, got.rows.count()) == (3, 2, 2)
