@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sumlattice.functions import combos
 from sumlattice.operators import intervals, kernel, nested, ranking, roc
 from sumlattice.operators.folds import stratified_folds
-from sumlattice.plans import analyze, search
+from sumlattice.plans import analyze, queries, search
 from sumlattice.sources import prepare, store
 from sumlattice.streaming import patterns as stream
 
@@ -143,6 +143,22 @@ def test_intervals_of_names_with_commas(spark, clear):
     assert [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in got] == [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in want] and len(got) == 4
 
 
+@pytest.mark.parametrize("name", ["clopper_pearson_ci"])
+def test_interval_queries_equal_their_sql_by_position(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    con, (query, sql) = duckdb.connect(), queries.CATALOGUE[name]
+    tables = {
+        "customer": "SELECT i AS c_custkey, (i * 37 % 110) * 100.0::DOUBLE - 1000 AS c_acctbal, CASE i % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS c_mktsegment FROM range(20) t(i)",
+        "orders": "SELECT i AS o_orderkey, i * 7 % 20 AS o_custkey, CASE WHEN i * i % 7 < 3 THEN 'F' ELSE 'O' END AS o_orderstatus, (i * 11 % 5 + 1) || '-X' AS o_orderpriority, (i * 131 % 450) * 1000.0::DOUBLE AS o_totalprice, DATE '1995-01-01' + CAST(i * 13 % 365 AS INTEGER) AS o_orderdate FROM range(200) t(i)",
+    }
+    for t, made in tables.items():
+        con.execute(f"CREATE TABLE {t} AS {made}")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    want, got = con.execute(sql), query(spark, str(tmp_path))
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i, int(i < 30)) for i in range(100)], "row_id long, y int")
     made = stratified_folds(rows, 5, 2, 9).toPandas()
