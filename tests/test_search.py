@@ -143,7 +143,7 @@ def test_intervals_of_names_with_commas(spark, clear):
     assert [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in got] == [(r["auc"], r["auc_lower"], r["auc_upper"]) for r in want] and len(got) == 4
 
 
-@pytest.mark.parametrize("name", ["clopper_pearson_ci"])
+@pytest.mark.parametrize("name", ["clopper_pearson_ci", "intervals_of_csv"])
 def test_interval_queries_equal_their_sql_by_position(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     con, (query, sql) = duckdb.connect(), queries.CATALOGUE[name]
