@@ -30,6 +30,11 @@ def count(mask: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(mask), bound))
 
 
+def row_sums(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sum of each row, equal for equal rows; those of a matrix product depend on a row's place."""
+    return (x * weights).sum(1)
+
+
 def repeated(key: np.ndarray, size: int = 8) -> int:
     """Words in windows of ``size`` words that are found twice or more, the first included."""
     h = words.windows(key, size)

@@ -327,6 +327,19 @@ def test_repeated_rows_are_fitted_on_once(spark):
     assert sorted(map(tuple, stats.labelled(docs, labels, "quality", 10).collect())) == [(1, 1, "a"), (2, 0, None)]
 
 
+def test_scores_do_not_depend_on_the_rows_beside_them():
+    rng, width, n = np.random.default_rng(0), classifier.WIDTH, stats.N_DOCUMENT
+    knots = np.sort(rng.standard_normal(50))
+    model = classifier.Model(np.zeros(n), np.ones(n), rng.standard_normal((n, width)), rng.uniform(0, 6, width), rng.standard_normal(width + 1), knots, np.sort(rng.random(50)))
+    x = rng.standard_normal((400, n))
+    whole, raw = model.score(x), model.raw(x)
+    for size in (1, 2, 3, 7, 64, 99):
+        for at in range(0, 400, size):
+            assert (model.score(x[at : at + size]) == whole[at : at + size]).all() and (model.raw(x[at : at + size]) == raw[at : at + size]).all()
+    z = np.clip(x, -4, 4) @ model.omega + model.phase
+    assert np.allclose(raw, np.append(np.cos(z) * np.sqrt(2 / width), np.ones((400, 1)), 1) @ model.beta, rtol=0, atol=1e-12) and len(model.score(x[:0])) == 0
+
+
 def test_repeated_and_long_rows_score_alike(spark):
     from sumlattice.llm import classifier
 
