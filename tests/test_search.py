@@ -159,6 +159,22 @@ def test_interval_queries_equal_their_sql_by_position(spark, tmp_path, name):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["clopper_pearson_ci", "intervals_of_csv"])
+def test_interval_queries_equal_their_sql_where_a_share_is_of_no_rows(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    con, (query, sql) = duckdb.connect(), queries.CATALOGUE[name]
+    tables = {  # the first item runs against the outcome, so that the best cutoff is the lowest score and nobody is below it
+        "customer": "SELECT i AS c_custkey, i * 3000.0::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(4) t(i)",
+        "orders": "SELECT i AS o_orderkey, i % 4 AS o_custkey, CASE WHEN i % 5 < 2 THEN 'F' ELSE 'O' END AS o_orderstatus, (i % 5 + 1) || '-X' AS o_orderpriority, 1000.0::DOUBLE AS o_totalprice, DATE '1995-01-01' AS o_orderdate FROM range(60) t(i)",
+    }
+    for t, made in tables.items():
+        con.execute(f"CREATE TABLE {t} AS {made}")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got, want = query(spark, str(tmp_path)).collect(), con.execute(sql).fetchall()
+    assert any(r["npv"] is None and (r["npv_lower"], r["npv_upper"]) == (0.0, 1.0) for r in got)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i, int(i < 30)) for i in range(100)], "row_id long, y int")
     made = stratified_folds(rows, 5, 2, 9).toPandas()
